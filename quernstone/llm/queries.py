@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quernstone.llm import mixing, rules, sharding
+from quernstone.llm import mixing, neardup, packing, rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": rules.op1_quality_rules,
+        "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_source_mix": mixing.op3_source_mix,
         "op7_byte_shards": sharding.op7_byte_shards,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
     }
 
 
