@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import mixing, neardup, packing, rules, sharding
+from quernstone.llm import mixing, neardup, packing, rules, sharding, tokens, topk
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_quality_rules": rules.op1_quality_rules,
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_source_mix": mixing.op3_source_mix,
+        "op4_token_counts": tokens.op4_token_counts,
         "op7_byte_shards": sharding.op7_byte_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_exact_top_k": topk.op9_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**rules.oracle(), **mixing.oracle()}
+    return {**rules.oracle(), **mixing.oracle(), **topk.oracle()}
