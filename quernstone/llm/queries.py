@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import crf, mixing, neardup, packing, rules, sharding, tokens, topk
+from quernstone.llm import crf, html, mixing, neardup, packing, rules, sharding, tokens, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_source_mix": mixing.op3_source_mix,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_quality_classifier": crf.op5_quality_classifier,
+        "op6_html_extraction": html.op6_html_extraction,
         "op7_byte_shards": sharding.op7_byte_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_exact_top_k": topk.op9_exact_top_k,
