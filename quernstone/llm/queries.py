@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import crf, html, mixing, neardup, packing, rules, sharding, tokens, topk
+from quernstone.llm import crf, html, mixing, neardup, packing, rules, sharding, suffixes, tokens, topk
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_byte_shards": sharding.op7_byte_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_exact_top_k": topk.op9_exact_top_k,
+        "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
 
 
