@@ -8,10 +8,12 @@ Jaccard similarity as for independent hashes.
 
 Bands of 6 coordinates, 42 of them, propose pairs: a pair at similarity 0.8 is missed with
 probability (1 - 0.8**6)**42, 3 in a million. Documents with equal sets are one class beforehand.
-In a bucket, members are first confirmed against one pivot each (two rounds, other pivots), which
-joins large groups of near copies with as many pairs as members; then each pair of bucket members
-that still lies in different components is confirmed on the full sets. No pair is proposed
-within what is known to be one component, and none is dropped.
+In a bucket, members are first confirmed against two pivots: the member whose buckets are largest,
+which in a group of near copies is the one with the fewest changes, and a random one. That joins
+large groups with twice as many pairs as members. Where a bucket then still holds several
+components, its members are compared across them by their sketches, in blocks; pairs whose sketches
+agree in too few coordinates for the similarity (the bound leaves out 3 in a million of the pairs at
+0.8) are never made, and the others are confirmed. All links are confirmed on full sets.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is kept; rows with
 equal ids are one document, linked by the sets of any of them; rows with a null id are kept, with
@@ -21,6 +23,7 @@ a null component; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from quernstone.sources.tables import forget, table, written
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 EMPTY = np.uint64(2**64 - 1)
+BLOCK = 2000
 
 
 def sketch(x: np.ndarray, edges: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -77,9 +81,11 @@ def _sketched(width: int):
                 x, edges = textbytes.shingle_sets(data, offsets, width)
                 size = np.diff(edges)
                 prints = [hashlib.md5(x[s:e].tobytes()).digest() if e > s else None for s, e in zip(edges[:-1], edges[1:])]
-                bands = band_hashes(sketch(x, edges)).reshape(-1)
+                sk = sketch(x, edges)
+                bands = band_hashes(sk).reshape(-1)
+                digest = [row.tobytes() if n else None for row, n in zip(textbytes.mix(sk).astype(np.uint8), size)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(prints, pa.binary()), lists], names=["doc_id", "n_shingles", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(prints, pa.binary()), lists, pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "print", "bands", "digest"])
 
     return run
 
@@ -96,61 +102,106 @@ def _sets(width: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. Only the texts that stand in a pair are hashed again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity. Merge joins, which split hot pivots' partitions."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge").join(pairs, "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    good = written(both.where((F.size("x") + F.size("y") > F.col("common")) & (100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))).select("a", "b"))
-    forget(sets)
-    return good
+    total = F.size("x") + F.size("y") - F.col("common")
+    return written(both.where((total > 0) & (100 * F.col("common") >= percent * total)).select("a", "b").distinct())
+
+
+def least_agreement(percent: int) -> int:
+    """Coordinates in which two sketches at the similarity agree, less 4.5 standard deviations."""
+    p = percent / 100
+    return math.ceil(BINS * p - 4.5 * math.sqrt(BINS * p * (1 - p)))
+
+
+def _plausible(least: int):
+    """A task's function over rows sorted by (bucket, i, j): pairs of different components whose sketches agree often enough."""
+
+    def pairs_of(rows: pa.Table):
+        ids, comp, blk = (rows.column(c).to_numpy() for c in ("doc_id", "component", "blk"))
+        sk = np.frombuffer(b"".join(rows.column("digest").to_pylist()), np.uint8).reshape(-1, BINS)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        right = np.flatnonzero(blk == j)
+        for k in np.flatnonzero(blk == i):
+            other = right[(comp[right] != comp[k]) & ((ids[right] > ids[k]) if i == j else True)]
+            other = other[(sk[other] == sk[k]).sum(axis=1) >= least]
+            if len(other):
+                yield np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            yield from cut_off(t, False)
+            rest = cut_off.rest
+        if rest is not None and rest.num_rows:
+            yield from cut_off(rest, True)
+
+    def cut_off(t: pa.Table, ends: bool):
+        """The results of all groups of t that are complete."""
+        keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if t.num_rows else np.zeros(0, int)
+        edges = np.append(new, t.num_rows)
+        whole = len(edges) - 1 if ends else len(edges) - 2
+        cut_off.rest = t.slice(edges[whole]) if len(edges) > 1 else t
+        found = [p for k in range(max(whole, 0)) if edges[k + 1] - edges[k] > 1 for p in pairs_of(t.slice(edges[k], edges[k + 1] - edges[k]))]
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            both = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return run
+
+
+def crossing(members: DataFrame, label: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """Plausible pairs of bucket members that lie in different components. Large buckets go out in pairs of blocks of BLOCK rows."""
+    m = members.select("bucket", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    m = m.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    m = m.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "bucket")
+    m = m.join(marks.hint("merge"), "doc_id")
+    m = m.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    m = m.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc_id", "component", "digest")
+    m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+    return m.mapInArrow(_plausible(least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = written(docs.mapInArrow(_sketched(width), "doc_id long, n_shingles long, print binary, bands array<long>"))
+    marks = written(docs.mapInArrow(_sketched(width), "doc_id long, n_shingles long, print binary, bands array<long>, digest binary"))
     ided = marks.where("doc_id IS NOT NULL AND print IS NOT NULL")
     # classes of equal sets
-    copies = ided.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    copies = written(copies.select(F.col("print").alias("p"), "rep"))
-    reps = ided.join(copies, F.col("print") == F.col("p"), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "bands")
+    copies = written(ided.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(F.col("print").alias("p"), "rep"))
+    reps = ided.join(copies, F.col("print") == F.col("p"), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     split_ids = ided.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("doc_id")
     same_id = reps.join(split_ids, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # members of buckets that hold two or more classes
     rows = reps.where("doc_id = rep").select("doc_id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(rows.join(shared, "bucket", "left_semi").distinct())
-    good, tested, label = [same_id], None, None
-    for turn in range(3):
-        m = members
-        if label is not None:
-            m = m.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        else:
-            m = m.withColumn("component", F.lit(None).cast("long"))
-        m = m.withColumn("component", F.coalesce("component", "doc_id"))
-        if turn:
-            mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            m = m.join(mixed, "bucket", "left_semi")
-        if turn < 2:
-            pivots = m.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id"), F.col("doc_id").alias("p"), F.col("component").alias("pc"))).alias("s"))
-            pairs = m.join(pivots.select("bucket", "s.p", "s.pc"), "bucket").where("component <> pc").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-        else:
-            o = m.select("bucket", F.col("doc_id").alias("o"), F.col("component").alias("oc"))
-            pairs = m.join(o, "bucket").where("doc_id < o AND component <> oc").select(F.col("doc_id").alias("a"), F.col("o").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        good.append(confirmed(pairs, docs, width, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = good[0]
-        for g in good[1:]:
-            edges = edges.unionByName(g)
-        label = components(edges)
-    forget(members)
+    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+    members = written(rows.join(shared.hint("merge"), "bucket").distinct())
+    # only texts in such buckets are hashed again, once
+    ids = members.select("doc_id").distinct()
+    needed = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    digests = reps.where("doc_id = rep").select("doc_id", "digest")
+    if not ided.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows with one id and one text count once
+        needed, digests = needed.dropDuplicates(["doc_id", "text"]), digests.distinct()
+    sets = written(needed.mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
+    mass = members.groupBy("doc_id").agg(F.sum("n").alias("mass"))
+    weighed = members.join(mass.hint("merge"), "doc_id")
+    pivots = weighed.groupBy("bucket").agg(F.min(F.struct(-F.col("mass"), F.col("doc_id").alias("p"))).alias("s"), F.min(F.struct(F.xxhash64("doc_id"), F.col("doc_id").alias("p"))).alias("r"))
+    pairs = members.join(pivots.select("bucket", F.explode(F.array("s.p", "r.p")).alias("p")).hint("merge"), "bucket").where("doc_id <> p")
+    pairs = written(pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct())
+    edges = same_id.unionByName(confirmed(pairs, sets, percent))
+    label = components(edges)
+    more = crossing(members, label, digests, least_agreement(percent)).join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    label = components(edges.unionByName(confirmed(written(more), sets, percent)))
+    for done in (members, sets, pairs):
+        forget(done)
     out = marks.select("doc_id", "n_shingles", "print").join(copies, F.col("print") == F.col("p"), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
