@@ -37,3 +37,87 @@ def near(rows, width=4, percent=80):
                 a, b = find(d), find(o)
                 root[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines with a word."""
+    t = text or ""
+    w = WORD.findall(t)
+    seen = defaultdict(list)
+    for i in range(len(w) - 2):
+        seen[tuple(w[i : i + 3])].append(i)
+    repeat = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeat), len(lines)
+
+
+def kept(rows, metrics, fence, least):
+    """Verdicts of (lang, source, text) rows by fences over bucketed quartiles."""
+    feats = []
+    for _, _, text in rows:
+        n, chars, sym, dup, rep, lines = counts(text)
+        m = {"symbols": 10000 * sym // n if n else None, "dup_lines": 10000 * dup // lines if lines else None, "repeats": 10000 * rep // n if n else None, "word_len": 1000 * chars // n if n else None}
+        feats.append((n < 50 or 100 * rep > 50 * n, m))
+    groups = defaultdict(list)
+    for (lang, source, _), (_, m) in zip(rows, feats):
+        for k, v in m.items():
+            if v is not None:
+                s = max(0, v.bit_length() - 6)
+                for g in ((lang, source), (lang,), ()):
+                    groups[g, k].append(v >> s << s)
+    for v in groups.values():
+        v.sort()
+    quart = lambda v, p: v[-(-p * len(v) // 100) - 1]
+    out = []
+    for (lang, source, _), (failed, m) in zip(rows, feats):
+        good = not failed
+        for k, (sides, spread) in metrics.items():
+            if m[k] is None:
+                continue
+            v = next(groups[g, k] for g in ((lang, source), (lang,), ()) if len(groups[g, k]) >= least or not g)
+            lo, hi = quart(v, 25), quart(v, 75)
+            reach = fence * max(hi - lo, spread)
+            good &= m[k] <= hi + reach and (sides == "hi" or m[k] >= lo - reach)
+        out.append(good)
+    return out
+
+
+def mix(rows, weights=(5, 2, 1), share=1.5, most=2):
+    """Words that each (doc_id, source, size) row gives. Hashes are compared whole: rows of one hash go together."""
+    import hashlib
+
+    h = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:9], 16)
+    size = defaultdict(int)
+    for _, s, n in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, full = {}, share * sum(size.values()), set()
+    while True:
+        open_ = [s for s in names if s not in full]
+        given = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if given[s] > most * size[s] + 1e-9]
+        if not over:
+            target |= given
+            break
+        for s in over:
+            target[s] = most * size[s]
+            left -= target[s]
+            full.add(s)
+    out = [0] * len(rows)
+    for s in names:
+        times = int(target[s] / size[s] + 1e-12) if size[s] else 0
+        budget, total, below = target[s] - times * size[s], 0, 0
+        by = defaultdict(int)
+        for d, src, n in rows:
+            if src == s:
+                by[h(d)] += n
+        for x in sorted(by):
+            if total + by[x] > budget + 1e-6:
+                below = x + (2 * (budget - total) > by[x])
+                break
+            total += by[x]
+        for i, (d, src, n) in enumerate(rows):
+            if src == s:
+                out[i] = n * (times + (h(d) < below))
+    return out, target
