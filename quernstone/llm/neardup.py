@@ -37,7 +37,7 @@ from quernstone.sources.tables import forget, table, written
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 EMPTY = np.uint64(2**64 - 1)
-BLOCK = 2000
+SMALL, BLOCK = 64, 1000
 
 
 def sketch(x: np.ndarray, edges: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -117,57 +117,85 @@ def least_agreement(percent: int) -> int:
     return math.ceil(BINS * p - 4.5 * math.sqrt(BINS * p * (1 - p)))
 
 
-def _plausible(least: int):
-    """A task's function over rows sorted by (bucket, i, j): pairs of different components whose sketches agree often enough."""
+def _crossing(least: int, percent: int, verify: bool):
+    """A task's function over rows sorted by (bucket, i, j): pairs of different components whose sketches agree often enough, each in the first bucket that both share. verify: only those that the full sets confirm, and none that an earlier one of the same rows has made needless."""
 
     def pairs_of(rows: pa.Table):
-        ids, comp, blk = (rows.column(c).to_numpy() for c in ("doc_id", "component", "blk"))
+        ids, comp, blk = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "blk"))
+        comp = comp.copy()
         sk = np.frombuffer(b"".join(rows.column("digest").to_pylist()), np.uint8).reshape(-1, BINS)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sets = rows.column("shingles").to_pylist() if verify else None
+        sets = [np.array(x, np.int64) for x in sets] if verify else None
+        i, j, bucket = (rows.column(c)[0].as_py() for c in ("i", "j", "bucket"))
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
         right = np.flatnonzero(blk == j)
         for k in np.flatnonzero(blk == i):
             other = right[(comp[right] != comp[k]) & ((ids[right] > ids[k]) if i == j else True)]
             other = other[(sk[other] == sk[k]).sum(axis=1) >= least]
+            other = other[(bands[other] == bands[k]).argmax(axis=1) == band]
+            if verify:
+                found = []
+                for o in other.tolist():
+                    if comp[o] != comp[k]:
+                        common = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[k]) + len(sets[o]) - common):
+                            found.append(o)
+                            comp[comp == comp[o]] = comp[k]
+                other = np.array(found, np.int64)
             if len(other):
                 yield np.minimum(ids[k], ids[other]), np.maximum(ids[k], ids[other])
 
-    def run(batches):
-        rest = None
+    def groups(batches):
+        """Tables of one group each; a group may span batches."""
+        held: list[pa.Table] = []
+        key = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            yield from cut_off(t, False)
-            rest = cut_off.rest
-        if rest is not None and rest.num_rows:
-            yield from cut_off(rest, True)
-
-    def cut_off(t: pa.Table, ends: bool):
-        """The results of all groups of t that are complete."""
-        keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
-        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if t.num_rows else np.zeros(0, int)
-        edges = np.append(new, t.num_rows)
-        whole = len(edges) - 1 if ends else len(edges) - 2
-        cut_off.rest = t.slice(edges[whole]) if len(edges) > 1 else t
-        found = [p for k in range(max(whole, 0)) if edges[k + 1] - edges[k] > 1 for p in pairs_of(t.slice(edges[k], edges[k + 1] - edges[k]))]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            both = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            if not t.num_rows:
+                continue
+            keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            edges = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0), [True]]))
+            for s, e in zip(edges[:-1], edges[1:]):
+                now = tuple(k[s] for k in keys)
+                if key is not None and now != key:
+                    yield pa.concat_tables(held)
+                    held = []
+                key = now
+                held.append(t.slice(s, e - s))
+        if held:
+            yield pa.concat_tables(held)
+
+    def run(batches):
+        for rows in groups(batches):
+            if rows.num_rows > 1 and (found := list(pairs_of(rows))):
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def crossing(members: DataFrame, label: DataFrame, marks: DataFrame, least: int) -> DataFrame:
-    """Plausible pairs of bucket members that lie in different components. Large buckets go out in pairs of blocks of BLOCK rows."""
+def crossing(members: DataFrame, label: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of bucket members that lie in different components: plausible ones of buckets of at most SMALL members, and confirmed ones of larger buckets, which go out in pairs of blocks of BLOCK rows with their sets."""
+    least = least_agreement(percent)
     m = members.select("bucket", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
     m = m.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    m = m.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "bucket")
-    m = m.join(marks.hint("merge"), "doc_id")
-    m = m.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc_id", "component", "digest")
-    m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    return m.mapInArrow(_plausible(least), "a long, b long").distinct()
+    m = written(m.join(mixed.select("bucket", "n"), "bucket").join(marks.hint("merge"), "doc_id"))
+    keys = ["bucket", "i", "j"]
+    out = []
+    for large in (False, True):
+        part = m.where(F.col("n") > SMALL if large else F.col("n") <= SMALL)
+        part = part.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+        part = part.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+        if large:
+            part = part.join(sets.hint("merge"), "doc_id")
+        part = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        part = part.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc_id", "component", "digest", "bands", *["shingles"] * large)
+        part = part.repartition(*keys).sortWithinPartitions(*keys)
+        out.append(written(part.mapInArrow(_crossing(least, percent, large), "a long, b long").distinct()))
+    forget(m)
+    return out[0], out[1]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +215,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     # only texts in such buckets are hashed again, once
     ids = members.select("doc_id").distinct()
     needed = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    digests = reps.where("doc_id = rep").select("doc_id", "digest")
+    digests = reps.where("doc_id = rep").select("doc_id", "digest", "bands")
     if not ided.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows with one id and one text count once
         needed, digests = needed.dropDuplicates(["doc_id", "text"]), digests.distinct()
     sets = written(needed.mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
@@ -198,8 +226,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     pairs = written(pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct())
     edges = same_id.unionByName(confirmed(pairs, sets, percent))
     label = components(edges)
-    more = crossing(members, label, digests, least_agreement(percent)).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    label = components(edges.unionByName(confirmed(written(more), sets, percent)))
+    plausible, linked = crossing(members, label, digests, sets, percent)
+    more = plausible.join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    label = components(edges.unionByName(linked).unionByName(confirmed(written(more), sets, percent)))
     for done in (members, sets, pairs):
         forget(done)
     out = marks.select("doc_id", "n_shingles", "print").join(copies, F.col("print") == F.col("p"), "left").withColumn("rep", F.coalesce("rep", "doc_id"))

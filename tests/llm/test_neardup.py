@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from brute import near
 
 from quernstone.llm import neardup
@@ -15,7 +16,10 @@ def test_whole_table_against_brute_force(spark, sf):
     assert result(neardup.op2_near_duplicates(spark, sf)) == near(rows)
 
 
-def test_chains_and_large_groups(spark):
+@pytest.mark.parametrize("small", [64, 3])
+def test_chains_and_large_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", 15)
     rng = random.Random(5)
     base = [f"w{rng.randrange(9999)}" for _ in range(80)]
     rows = []
