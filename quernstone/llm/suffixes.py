@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from quernstone.llm import textbytes
 from quernstone.llm.runs import RunQueue
@@ -44,6 +45,7 @@ WIDTH, NAME = 50, 16
 REACH = WIDTH - NAME  # a string holds the starts of REACH + 1 names
 HOT = 64  # slices that hold a name, from which its strings travel by their own names
 CHUNK = 4_000_000
+SLICE_ROWS = 2**15  # texts of a slice have numbers of 15 bits
 LOW = np.uint64(0xFFFFFFFF)
 PLACE = np.uint64(0xFFFFFF)
 
@@ -108,6 +110,25 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
+def squeeze(body: bytes) -> bytes:
+    """Zstandard behind the length; what is shuffled or written between the steps is mostly text."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def loosen(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b""
+
+
+def _rising(keys: np.ndarray) -> np.ndarray:
+    """Ascending 32-bit keys as the bytes of their steps, high bytes first: steps are small, so those are mostly zeros."""
+    return np.diff(keys, prepend=np.zeros(1, keys.dtype)).astype(">u4").view(np.uint8).reshape(-1, 4).T
+
+
+def _risen(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(">u4").ravel(), dtype=np.uint32)
+
+
 def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     n = len(blob) // sum(np.dtype(t).itemsize for t in types)
     out, at = [], 0
@@ -134,7 +155,7 @@ def _send_names(bits: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             prints = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in textbytes.slices(batch.column(2)):
+            for a, b, data, offsets in textbytes.slices(batch.column(2), SLICE_ROWS):
                 s = samples(data, offsets)
                 if not len(s["at"]):
                     continue
@@ -156,8 +177,8 @@ def _send_names(bits: int):
                 rows = []
                 for k in np.flatnonzero(np.diff(edges)):
                     i, j = slice(edges[k], edges[k + 1]), slice(ledges[k], ledges[k + 1])
-                    rows.append((int(k), number, _pack(short[i], doc[start][i].astype("<u4"), many[i]), _pack(lshort[j], doc[local][j].astype("<u4")), None))
-                rows.append((int(rows[0][0]), number, b"", b"", _pack(ids[a:b].astype("<i8"), prints[a:b].astype("<i8"))))
+                    rows.append((int(k), number, squeeze(_pack(_rising(short[i]), (doc[start][i] | many[i].astype(np.int64) << 15).astype("<u2"))), squeeze(_pack(lshort[j], doc[local][j].astype("<u2"))) if ledges[k + 1] > ledges[k] else b"", None))
+                rows.append((int(rows[0][0]), number, b"", b"", squeeze(_pack(ids[a:b].astype("<i8"), prints[a:b].astype("<i8")))))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "slice", "names", "local", "docs"])
 
@@ -172,9 +193,11 @@ def _merge_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["docs"] is not None:
                 yield _answer([(r["slice"], b"", b"", r["docs"])])
                 continue
-            short, doc, many = _unpack(r["names"], "<u4", "<u4", "?")
-            records = np.zeros(len(short), NAMED)
-            records["key"], records["slice"], records["doc"], records["many"] = short, r["slice"], doc, many
+            body = loosen(r["names"])
+            n = len(body) // 6
+            short, doc = _risen(np.frombuffer(body, np.uint8, 4 * n)), np.frombuffer(body, "<u2", n, 4 * n)
+            records = np.zeros(n, NAMED)
+            records["key"], records["slice"], records["doc"], records["many"] = short, r["slice"], doc & 0x7FFF, doc >> 15
             queue.push(records)
             if r["local"]:
                 passed.append((r["slice"], r["local"]))
@@ -205,18 +228,18 @@ ANSWER = "slice long, shared binary, local binary, docs binary"
 
 
 def _keyed_merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_merge_names with the bucket put before each name."""
+    """_merge_names with the bucket put before each name, squeezed again."""
     bucket = np.uint64(key[0].as_py())
     for answer in _merge_names(batches):
         cols = [answer.column(i).to_pylist() for i in range(4)]
         for i, blob in enumerate(cols[1]):
             if blob:
                 short, doc, hot = _unpack(blob, "<u4", "<u4", "?")
-                cols[1][i] = _pack(short.astype("<u8") | bucket << np.uint64(32), doc, hot)
+                cols[1][i] = squeeze(_pack(short.astype("<u8") | bucket << np.uint64(32), doc.astype("<u2"), hot))
         for i, blob in enumerate(cols[2]):
             if blob:
-                short, doc = _unpack(blob, "<u4", "<u4")
-                cols[2][i] = _pack(short.astype("<u8") | bucket << np.uint64(32), doc)
+                short, doc = _unpack(loosen(blob), "<u4", "<u2")
+                cols[2][i] = squeeze(_pack(short.astype("<u8") | bucket << np.uint64(32), doc))
         yield _answer(list(zip(*cols)))
 
 
@@ -226,12 +249,12 @@ def _by_document(t: pa.Table) -> pa.Table:
     names, docs, hots, lnames, ldocs = [], [], [], [], []
     for r in t.to_pylist():
         if r["docs"] is not None:
-            ids, prints = _unpack(r["docs"], "<i8", "<i8")
+            ids, prints = _unpack(loosen(r["docs"]), "<i8", "<i8")
         if r["shared"]:
-            n, d, h = _unpack(r["shared"], "<u8", "<u4", "?")
+            n, d, h = _unpack(loosen(r["shared"]), "<u8", "<u2", "?")
             names.append(n), docs.append(d), hots.append(h)
         if r["local"]:
-            n, d = _unpack(r["local"], "<u8", "<u4")
+            n, d = _unpack(loosen(r["local"]), "<u8", "<u2")
             lnames.append(n), ldocs.append(d)
     out: list[tuple] = []
     if names:
@@ -250,7 +273,7 @@ def _by_document(t: pa.Table) -> pa.Table:
         fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
         value, doc = value[fresh], doc[fresh]
         at, n = _cuts(doc)
-        out = [(int(ids[doc[i]]), int(prints[doc[i]]), value[i : i + m].tobytes()) for i, m in zip(at, n)]
+        out = [(int(ids[doc[i]]), int(prints[doc[i]]), squeeze(value[i : i + m].tobytes())) for i, m in zip(at, n)]
     cols = list(zip(*out)) or [(), (), ()]
     return pa.table([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "print", "shared"])
 
@@ -278,14 +301,44 @@ def _merged(doc, lo, hi):
     return (doc[start], lo[start], np.maximum.reduceat(hi, start)) if len(start) else (doc, lo, hi)
 
 
+def _suffixes_out(r: np.ndarray, bits: int) -> bytes:
+    """Suffix tuples of one bucket, by column, with their documents listed once."""
+    r = r[np.argsort(_short(r["key"], bits), kind="stable")]
+    docs, of = np.unique(r[["doc_id", "print"]], return_inverse=True)
+    head = np.array([len(r), len(docs)], "<i8")
+    return squeeze(_pack(head, docs["doc_id"].astype("<i8"), docs["print"].astype("<i8"), _rising(_short(r["key"], bits).astype("<u4")), of.astype("<u2"), r["at"].astype("<u4"), r["near"], r["far"], r["before"], r["behind"]))
+
+
+def _suffixes_in(blob: bytes) -> np.ndarray:
+    body = loosen(blob)
+    n, m = np.frombuffer(body, "<i8", 2)
+    at = 16
+
+    def take(kind, count):
+        nonlocal at
+        out = np.frombuffer(body, kind, count, at)
+        at += out.nbytes
+        return out
+
+    ids, prints = take("<i8", m), take("<i8", m)
+    r = np.zeros(n, SUFFIX)
+    r["key"] = _risen(take("u1", 4 * n))
+    of = take("<u2", n)
+    r["doc_id"], r["print"] = ids[of], prints[of]
+    r["at"], r["near"], r["far"] = take("<u4", n), take("u1", n), take("u1", n)
+    r["before"], r["behind"] = take("u1", REACH * n).reshape(n, REACH), take("u1", WIDTH * n).reshape(n, WIDTH)
+    return r
+
+
 def _send_suffixes(bits: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             prints = batch.column(1).to_numpy()
-            for a, b, data, offsets in textbytes.slices(batch.column(3)):
+            texts = pa.array((loosen(x.as_py()) for x in batch.column(3)), pa.large_binary())
+            for a, b, data, offsets in textbytes.slices(texts, SLICE_ROWS):
                 s = samples(data, offsets)
-                blobs = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2).slice(a, b - a)]
+                blobs = [np.frombuffer(loosen(x.as_py()), "<u8") for x in batch.column(2).slice(a, b - a)]
                 # names of each text, as (text, name) in one sorted array
                 owner = np.repeat(np.arange(b - a), [len(x) for x in blobs])
                 value = np.concatenate(blobs) if blobs else np.zeros(0, "<u8")
@@ -335,7 +388,7 @@ def _send_suffixes(bits: int):
                         r["before"] = np.where(i >= lo[j][:, None], data[np.maximum(i, 0)], 0)
                         i = x[j][:, None] + np.arange(WIDTH)
                         r["behind"] = np.where(i < hi[j][:, None] + WIDTH, data[np.minimum(i, len(data) - 1)], 0)
-                        rows.append((int(k), 1, r.tobytes()))
+                        rows.append((int(k), 1, _suffixes_out(r, bits)))
                 # strings around hot names travel by their own names
                 at = np.flatnonzero(hot)
                 if len(at):
@@ -350,7 +403,7 @@ def _send_suffixes(bits: int):
                     r = np.zeros(len(order), STRING)
                     r["key"], r["more"], r["doc_id"], r["print"], r["at"] = first[order], last[order], doc_of[d[order]], print_of[d[order]], p[order] - offsets[d[order]]
                     edges = np.searchsorted(_bucket(r["key"], bits), np.arange(2**bits + 1))
-                    rows += [(int(k), 2, r[edges[k] : edges[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(edges))]
+                    rows += [(int(k), 2, squeeze(r[edges[k] : edges[k + 1]].tobytes())) for k in np.flatnonzero(np.diff(edges))]
                 if any(len(x[0]) for x in lost):
                     d, lo, hi = _merged(*(np.concatenate(x) for x in zip(*lost)))
                     rows.append(_spans_row(int(a + len(rows)) % 2**bits, doc_of[d], print_of[d], lo - offsets[d], hi - offsets[d] + WIDTH))
@@ -414,8 +467,10 @@ def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist()):
             if kind == 0:
                 yield _span_batch(*_unpack(body, "<i8", "<i8", "<i8", "<i8"))
+            elif kind == 1:
+                suffixes.push(_suffixes_in(body))
             else:
-                (suffixes.push if kind == 1 else strings.push)(np.frombuffer(body, SUFFIX if kind == 1 else STRING))
+                strings.push(np.frombuffer(loosen(body), STRING))
     for r in suffixes.blocks():
         lost = induced(r)
         edge = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -445,16 +500,30 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sent = docs.mapInArrow(_send_names(bits), "bucket int, slice long, names binary, local binary, docs binary")
     answers = sent.groupBy("bucket").applyInArrow(_keyed_merge, ANSWER)
     shared = written(answers.groupBy("slice").applyInArrow(_by_document, "doc_id long, print long, shared binary").dropDuplicates(["doc_id", "print", "shared"]))
-    again = docs.join(shared, ["doc_id", "print"]).select("doc_id", "print", "shared", "text")
+    again = squeezed(docs, "text").join(shared.hint("merge"), ["doc_id", "print"]).select("doc_id", "print", "shared", "text")
     parts = again.mapInArrow(_send_suffixes(bits), "bucket int, kind int, body binary").groupBy("bucket").applyInArrow(_merge_suffixes, SPANS)
     spans = parts.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))  # bounded by the text's length
     return spans
 
 
+def squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the text column as squeezed bytes, for a shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            cols = [*batch.columns]
+            cols[at] = pa.array((None if (t := x.as_py()) is None else squeeze(t.encode("utf-8")) for x in cols[at]), pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    schema = StructType([StructField(f.name, BinaryType() if i == at else f.dataType) for i, f in enumerate(docs.schema)])
+    return docs.mapInArrow(run, schema)
+
+
 def joined(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs' rows in _row with the spans of their document, or null."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_print"))
-    return rows.join(spans.select(F.col("doc_id").alias("_i"), F.col("print").alias("_p"), "spans"), (F.col("_id") == F.col("_i")) & (F.col("_print") == F.col("_p")), "left")
+    """docs' other columns in _row, the squeezed text in _text and the spans of their document, or null."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_print"), F.col(text).alias("_text"))
+    return squeezed(rows, "_text").join(spans.select(F.col("doc_id").alias("_i"), F.col("print").alias("_p"), "spans").hint("merge"), (F.col("_id") == F.col("_i")) & (F.col("_print") == F.col("_p")), "left").select("_row", "_text", "spans")
 
 
 def union_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -495,7 +564,7 @@ def _digest(batches):
     for batch in batches:
         out = []
         for d, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            body = (t.as_py() or "").encode("utf-8")
+            body = loosen(t.as_py() or bytes(8))
             u = union_spans(spans)
             out.append((d, len(body), sum(e - s for s, e in u), len(u), hashlib.sha256(cut(body, u)).hexdigest()))
         if out:
@@ -506,9 +575,8 @@ def _clean(batches):
     for batch in batches:
         texts = []
         for t, spans in zip(batch.column(0), batch.column(1).to_pylist()):
-            t = t.as_py()
-            if t is not None and spans:
-                body = t.encode("utf-8")
+            if (t := t.as_py()) is not None:
+                body = loosen(t)
                 t = cut(body, whole_characters(body, union_spans(spans))).decode("utf-8")
             texts.append(t)
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_clean"])
@@ -516,13 +584,13 @@ def _clean(batches):
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated passages cut from the texts (whole characters only), in docs' own columns. Every row stays."""
-    df = joined(docs, repeated_spans(docs, doc_id, text), doc_id, text).select(F.col(f"_row.`{text}`").alias("_t"), "spans", "_row")
-    out = df.mapInArrow(_clean, f"_row {docs.schema.simpleString()}, _clean string")
+    df = joined(docs, repeated_spans(docs, doc_id, text), doc_id, text).select("_text", "spans", "_row")
+    out = df.mapInArrow(_clean, StructType([df.schema["_row"], StructField("_clean", StringType())]))
     return out.select(*[F.col("_clean").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with what is left of it without the 50-byte strings of smaller documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = joined(docs, repeated_spans(docs), "doc_id", "text").select("_row.doc_id", "_row.text", "spans")
+    df = joined(docs, repeated_spans(docs), "doc_id", "text").select("_row.doc_id", "_text", "spans")
     return df.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

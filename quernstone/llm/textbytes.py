@@ -54,7 +54,7 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return sums
 
 
-def slices(texts: pa.Array):
+def slices(texts: pa.Array, most_rows: int = 2**30):
     """(first row, row after the last, bytes, offsets) of runs of whole texts of about SLICE_BYTES; a longer text is a run of its own. Null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -69,6 +69,7 @@ def slices(texts: pa.Array):
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+        b = min(b, a + most_rows)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
