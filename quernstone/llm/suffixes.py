@@ -7,9 +7,10 @@ it. A sampled suffix starts where the hash of NAME bytes is the least within the
 minimum like an S* position but with a bounded distance: every string of WIDTH bytes holds one, at
 the same place in every copy.
 
-1. Names. Every sampled suffix sends the hash of its first bytes. Tasks merge the sorted runs of all
-   slices of text in a disk-backed queue and find the names that two documents share. A suffix with a
-   name of its own is in its final place, and so are all that it induces; it is dropped here.
+1. Names. Every sampled suffix sends the hash of its first bytes, and 12 bits of what lies before and
+   behind. Tasks merge the sorted runs of all slices of text in a disk-backed queue and find the names
+   that two documents share with the same bytes on one side at least. A suffix without a partner is in
+   its final place, and so are all that it induces; it is dropped here.
 2. Suffixes. The others travel with the WIDTH bytes from the sampled position and the bytes before
    it. The queue hands them over by name; within a name they are sorted by what follows, which gives
    common prefixes, and by what precedes, read backwards. The rank among those that share o bytes
@@ -43,13 +44,14 @@ from quernstone.sources.tables import table, written
 
 WIDTH, NAME = 50, 16
 REACH = WIDTH - NAME  # a string holds the starts of REACH + 1 names
+HALF = REACH // 2
 HOT = 64  # slices that hold a name, from which its strings travel by their own names
 CHUNK = 4_000_000
 SLICE_ROWS = 2**15  # texts of a slice have numbers of 15 bits
 LOW = np.uint64(0xFFFFFFFF)
 PLACE = np.uint64(0xFFFFFF)
 
-NAMED = np.dtype([("key", "<u8"), ("slice", "<i8"), ("doc", "<u4"), ("many", "?")])
+NAMED = np.dtype([("key", "<u8"), ("slice", "<i8"), ("doc", "<u4"), ("left", "<u2"), ("right", "<u2"), ("many", "?")])
 SUFFIX = np.dtype([("key", "<u8"), ("doc_id", "<i8"), ("print", "<i8"), ("at", "<i8"), ("near", "u1"), ("far", "u1"), ("before", "u1", REACH), ("behind", "u1", WIDTH)])
 STRING = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc_id", "<i8"), ("print", "<i8"), ("at", "<i8")])
 
@@ -129,6 +131,11 @@ def _risen(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(">u4").ravel(), dtype=np.uint32)
 
 
+def _three(x: np.ndarray) -> list[np.ndarray]:
+    """24-bit numbers as three arrays of bytes."""
+    return [(x >> k & 0xFF).astype(np.uint8) for k in (16, 8, 0)]
+
+
 def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     n = len(blob) // sum(np.dtype(t).itemsize for t in types)
     out, at = [], 0
@@ -159,9 +166,16 @@ def _send_names(bits: int):
                 s = samples(data, offsets)
                 if not len(s["at"]):
                     continue
-                order = np.argsort(s["name"], kind="stable")  # texts stay in order
-                name, doc = s["name"][order], s["doc"][order]
-                start, length = _cuts(name)
+                sums = textbytes.prefix_hash(textbytes.byte_codes()[data])
+                _, down = textbytes.powers(len(data))
+                side = lambda x, y: (textbytes.mix((sums[y] - sums[x]) * down[x] + (y - x).astype("<u8")) >> np.uint64(52)).astype(np.int64)
+                left = side(np.maximum(s["at"] - HALF, offsets[s["doc"]]), s["at"])
+                right = side(s["at"] + NAME, np.minimum(s["at"] + NAME + HALF, offsets[s["doc"] + 1]))
+                both = left << 12 | right
+                order = np.lexsort((s["doc"], both, s["name"]))
+                name, doc, both = s["name"][order], s["doc"][order], both[order]
+                start = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (both[1:] != both[:-1])]))
+                length = np.diff(np.append(start, len(name)))
                 end = start + length - 1
                 many = doc[start] != doc[end]
                 bucket = _bucket(name[start], bits)
@@ -177,7 +191,7 @@ def _send_names(bits: int):
                 rows = []
                 for k in np.flatnonzero(np.diff(edges)):
                     i, j = slice(edges[k], edges[k + 1]), slice(ledges[k], ledges[k + 1])
-                    rows.append((int(k), number, squeeze(_pack(_rising(short[i]), (doc[start][i] | many[i].astype(np.int64) << 15).astype("<u2"))), squeeze(_pack(lshort[j], doc[local][j].astype("<u2"))) if ledges[k + 1] > ledges[k] else b"", None))
+                    rows.append((int(k), number, squeeze(_pack(_rising(short[i]), (doc[start][i] | many[i].astype(np.int64) << 15).astype("<u2"), *_three(both[start][i]))), squeeze(_pack(lshort[j], doc[local][j].astype("<u2"))) if ledges[k + 1] > ledges[k] else b"", None))
                 rows.append((int(rows[0][0]), number, b"", b"", squeeze(_pack(ids[a:b].astype("<i8"), prints[a:b].astype("<i8")))))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "slice", "names", "local", "docs"])
@@ -194,19 +208,28 @@ def _merge_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _answer([(r["slice"], b"", b"", r["docs"])])
                 continue
             body = loosen(r["names"])
-            n = len(body) // 6
+            n = len(body) // 9
             short, doc = _risen(np.frombuffer(body, np.uint8, 4 * n)), np.frombuffer(body, "<u2", n, 4 * n)
+            both = np.frombuffer(body, np.uint8, 3 * n, 6 * n).reshape(3, n).astype(np.int64)
+            both = both[0] << 16 | both[1] << 8 | both[2]
             records = np.zeros(n, NAMED)
             records["key"], records["slice"], records["doc"], records["many"] = short, r["slice"], doc & 0x7FFF, doc >> 15
+            records["left"], records["right"] = both >> 12, both & 0xFFF
             queue.push(records)
             if r["local"]:
                 passed.append((r["slice"], r["local"]))
     bucket_answers = []
     for block in queue.blocks():
-        start, length = _cuts(block["key"])
-        shared = np.repeat((length > 1) | np.bitwise_or.reduceat(block["many"], start), length)
+        # strings of two documents around one name agree in HALF bytes before or behind it
+        shared = block["many"].copy()
+        for edge in ("left", "right"):
+            side = block["key"] << np.uint64(12) | block[edge]
+            order = np.argsort(side, kind="stable")
+            start, length = _cuts(side[order])
+            shared[order] |= np.repeat(length > 1, length)
+        out = block[shared]
+        start, length = _cuts(out["key"])
         hot = np.repeat(length >= HOT, length)
-        out, hot = block[shared], hot[shared]
         order = np.argsort(out["slice"], kind="stable")
         out, hot = out[order], hot[order]
         at, n = _cuts(out["slice"])
@@ -335,10 +358,10 @@ def _send_suffixes(bits: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             prints = batch.column(1).to_numpy()
-            texts = pa.array((loosen(x.as_py()) for x in batch.column(3)), pa.large_binary())
+            texts = pa.array((loosen(x.as_py()) for x in batch.column("text")), pa.large_binary())
             for a, b, data, offsets in textbytes.slices(texts, SLICE_ROWS):
                 s = samples(data, offsets)
-                blobs = [np.frombuffer(loosen(x.as_py()), "<u8") for x in batch.column(2).slice(a, b - a)]
+                blobs = [np.frombuffer(loosen(x.as_py()), "<u8") for x in batch.column("shared").slice(a, b - a)]
                 # names of each text, as (text, name) in one sorted array
                 owner = np.repeat(np.arange(b - a), [len(x) for x in blobs])
                 value = np.concatenate(blobs) if blobs else np.zeros(0, "<u8")
@@ -453,11 +476,11 @@ def induced(r: np.ndarray) -> np.ndarray:
     return lost
 
 
-SPANS = "doc_id long, print long, start long, end long"
+SPANS = "doc_id long, print long, start int, end int"
 
 
 def _span_batch(ids, prints, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (ids, prints, start, end)], names=["doc_id", "print", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, t)) for x, t in zip((ids, prints, start, end), (np.int64, np.int64, np.int32, np.int32))], names=["doc_id", "print", "start", "end"])
 
 
 def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,18 +515,35 @@ def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 # --- 3. spans
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, print (xxhash64 of the text) and spans (sorted, disjoint byte ranges to remove) of each document that has any."""
+def base_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, print (xxhash64 of the text), the squeezed text and docs' other columns in _row, of rows that have an id."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"))
+    return squeezed(rows, "text").where("doc_id IS NOT NULL AND print IS NOT NULL")
+
+
+def repeated_spans(docs: DataFrame, base: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, print and spans (byte ranges to remove, unsorted and overlapping) of each document that has any.
+
+    base meets the names here and the spans later; both joins have the same keys and need all of its columns, so that Spark shuffles the texts once."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND octet_length(text) >= " + str(WIDTH))
     bits = max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     sent = docs.mapInArrow(_send_names(bits), "bucket int, slice long, names binary, local binary, docs binary")
     answers = sent.groupBy("bucket").applyInArrow(_keyed_merge, ANSWER)
     shared = written(answers.groupBy("slice").applyInArrow(_by_document, "doc_id long, print long, shared binary").dropDuplicates(["doc_id", "print", "shared"]))
-    again = squeezed(docs, "text").join(shared.hint("merge"), ["doc_id", "print"]).select("doc_id", "print", "shared", "text")
+    again = base.join(shared.hint("merge"), ["doc_id", "print"])
     parts = again.mapInArrow(_send_suffixes(bits), "bucket int, kind int, body binary").groupBy("bucket").applyInArrow(_merge_suffixes, SPANS)
-    spans = parts.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))  # bounded by the text's length
-    return spans
+    return parts.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's length
+
+
+def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs' other columns in _row, the squeezed text in _text and the spans of their document, or null."""
+    base = base_of(docs, doc_id, text)
+    spans = repeated_spans(docs, base, doc_id, text).select(F.col("doc_id").alias("_i"), F.col("print").alias("_p"), "spans").hint("merge")
+    out = base.join(spans, (F.col("doc_id") == F.col("_i")) & (F.col("print") == F.col("_p")), "left").select("_row", F.col("text").alias("_text"), "spans")
+    nobody = docs.where(F.col(doc_id).cast("long").isNull())
+    nobody = squeezed(nobody.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("_text")), "_text")
+    return out.unionByName(nobody.withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
 
 
 def squeezed(docs: DataFrame, text: str) -> DataFrame:
@@ -520,16 +560,10 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def joined(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs' other columns in _row, the squeezed text in _text and the spans of their document, or null."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_print"), F.col(text).alias("_text"))
-    return squeezed(rows, "_text").join(spans.select(F.col("doc_id").alias("_i"), F.col("print").alias("_p"), "spans").hint("merge"), (F.col("_id") == F.col("_i")) & (F.col("_print") == F.col("_p")), "left").select("_row", "_text", "spans")
-
-
 def union_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Overlapping and touching ranges as one."""
     out: list[tuple[int, int]] = []
-    for s in spans or ():
+    for s in sorted(spans or (), key=lambda s: (s["start"], s["end"])):
         if out and s["start"] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
         else:
@@ -584,7 +618,7 @@ def _clean(batches):
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated passages cut from the texts (whole characters only), in docs' own columns. Every row stays."""
-    df = joined(docs, repeated_spans(docs, doc_id, text), doc_id, text).select("_text", "spans", "_row")
+    df = joined(docs, doc_id, text).select("_text", "spans", "_row")
     out = df.mapInArrow(_clean, StructType([df.schema["_row"], StructField("_clean", StringType())]))
     return out.select(*[F.col("_clean").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
@@ -592,5 +626,5 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with what is left of it without the 50-byte strings of smaller documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    df = joined(docs, repeated_spans(docs), "doc_id", "text").select("_row.doc_id", "_text", "spans")
+    df = joined(docs).select("_row.doc_id", "_text", "spans")
     return df.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
