@@ -201,12 +201,12 @@ def behavior_extract(spark, d):
 
 
 @query("behavior_phrases", f"""
-WITH l AS {LINES}, p AS (SELECT doc_id, line_no, trim(regexp_extract(line, '(?i)(?:expected|should|ought to|supposed to|needs to|must)\\s+([^.\\n]+)', 1)) phrase FROM l),
+WITH l AS {LINES}, p AS (SELECT doc_id, line_no, trim(regexp_extract(line, '(?i)(?:expected|should|must|from|with)\\s+([^.\\n]+)', 1)) phrase FROM l),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) r FROM p WHERE length(phrase) > 8)
 SELECT doc_id, string_agg(phrase, '; ' ORDER BY line_no) AS expected FROM r WHERE r <= 3 GROUP BY doc_id""")
 def behavior_phrases(spark, d):
     lines = T.lines(table(spark, d, "documents"), ["doc_id"])
-    p = lines.withColumn("phrase", F.trim(F.regexp_extract("line", r"(?i)(?:expected|should|ought to|supposed to|needs to|must)\s+([^.\n]+)", 1))).where(F.length("phrase") > 8)
+    p = lines.withColumn("phrase", F.trim(F.regexp_extract("line", r"(?i)(?:expected|should|must|from|with)\s+([^.\n]+)", 1))).where(F.length("phrase") > 8)
     p = R.top(p, ["doc_id"], [F.asc("line_no")], 3, "r")
     return p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "phrase"))), lambda x: x["phrase"]), "; ").alias("expected"))
 
