@@ -46,7 +46,7 @@ WIDTH, NAME = 50, 16
 REACH = WIDTH - NAME  # a string holds the starts of REACH + 1 names
 HALF = REACH // 2
 HOT = 64  # slices that hold a name, from which its strings travel by their own names
-CHUNK = 4_000_000
+CHUNK, SLICE_BYTES = 1_000_000, 1_500_000
 SLICE_ROWS = 2**15  # texts of a slice have numbers of 15 bits
 LOW = np.uint64(0xFFFFFFFF)
 PLACE = np.uint64(0xFFFFFF)
@@ -162,7 +162,7 @@ def _send_names(bits: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             prints = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in textbytes.slices(batch.column(2), SLICE_ROWS):
+            for a, b, data, offsets in textbytes.slices(batch.column(2), SLICE_ROWS, SLICE_BYTES):
                 s = samples(data, offsets)
                 if not len(s["at"]):
                     continue
@@ -359,7 +359,7 @@ def _send_suffixes(bits: int):
             ids = batch.column(0).to_numpy()
             prints = batch.column(1).to_numpy()
             texts = pa.array((loosen(x.as_py()) for x in batch.column("text")), pa.large_binary())
-            for a, b, data, offsets in textbytes.slices(texts, SLICE_ROWS):
+            for a, b, data, offsets in textbytes.slices(texts, SLICE_ROWS, SLICE_BYTES):
                 s = samples(data, offsets)
                 blobs = [np.frombuffer(loosen(x.as_py()), "<u8") for x in batch.column("shared").slice(a, b - a)]
                 # names of each text, as (text, name) in one sorted array

@@ -33,7 +33,7 @@ def byte_codes(lower: bool = False) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ROOT**i and ROOT**-i mod 2**64 for i up to n, kept for the next slice."""
     if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = n + n // 4 + 1
         up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
         for out, root in ((up, ROOT), (down, pow(ROOT, -1, 2**64))):
             out[0], filled = 1, 1
@@ -54,7 +54,7 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return sums
 
 
-def slices(texts: pa.Array, most_rows: int = 2**30):
+def slices(texts: pa.Array, most_rows: int = 2**30, most_bytes: int | None = None):
     """(first row, row after the last, bytes, offsets) of runs of whole texts of about SLICE_BYTES; a longer text is a run of its own. Null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -68,7 +68,7 @@ def slices(texts: pa.Array, most_rows: int = 2**30):
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (most_bytes or SLICE_BYTES), "right")) - 1)
         b = min(b, a + most_rows)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b

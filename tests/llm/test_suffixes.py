@@ -47,7 +47,7 @@ def test_whole_table(spark, sf):
 @pytest.mark.parametrize("hot", [2, 64])
 def test_hot_passages_small_slices_and_periods(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
-    monkeypatch.setattr(suffixes.textbytes, "SLICE_BYTES", 700)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 700)
     monkeypatch.setattr(suffixes, "CHUNK", 300)
     rng = random.Random(hot)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 9)))
