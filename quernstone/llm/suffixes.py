@@ -16,7 +16,7 @@ the same place in every copy.
    common prefixes, and by what precedes, read backwards. The rank among those that share o bytes
    before and WIDTH - o bytes behind induces the order of the suffixes that start o bytes earlier:
    equal ranks are equal strings, and the least document of each wins.
-   A name that very many slices hold is split first: its strings go out by their own 128-bit names.
+   A name that very many suffixes share is split first: its strings go out by their own 128-bit names.
 3. Spans. The strings that lose are joined to their documents, and the bytes under them go.
 
 Only copies that a task cannot settle itself travel: within a slice of text, all but the least
@@ -45,7 +45,7 @@ from quernstone.sources.tables import table, written
 WIDTH, NAME = 50, 16
 REACH = WIDTH - NAME  # a string holds the starts of REACH + 1 names
 HALF = REACH // 2
-HOT = 64  # slices that hold a name, from which its strings travel by their own names
+HOT = 2000  # suffixes of one name in different slices or surroundings, from which its strings travel by their own names
 CHUNK, SLICE_BYTES = 1_000_000, 1_500_000
 SLICE_ROWS = 2**15  # texts of a slice have numbers of 15 bits
 LOW = np.uint64(0xFFFFFFFF)
@@ -151,6 +151,13 @@ def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(keys)))
 
 
+def _few(batches, rows: int = 1000):
+    """The batches in parts of so many rows, which bounds what a task unpacks at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 # --- 1. names
 
 
@@ -355,7 +362,7 @@ def _suffixes_in(blob: bytes) -> np.ndarray:
 
 def _send_suffixes(bits: int):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             ids = batch.column(0).to_numpy()
             prints = batch.column(1).to_numpy()
             texts = pa.array((loosen(x.as_py()) for x in batch.column("text")), pa.large_binary())
@@ -476,11 +483,13 @@ def induced(r: np.ndarray) -> np.ndarray:
     return lost
 
 
-SPANS = "doc_id long, print long, start int, end int"
+SPANS = "doc_id long, print long, span long"
 
 
 def _span_batch(ids, prints, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, t)) for x, t in zip((ids, prints, start, end), (np.int64, np.int64, np.int32, np.int32))], names=["doc_id", "print", "start", "end"])
+    """A span is one number, its start above its end."""
+    span = np.asarray(start, np.int64) << 32 | np.asarray(end, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (ids, prints, span)], names=["doc_id", "print", "span"])
 
 
 def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,7 +542,7 @@ def repeated_spans(docs: DataFrame, base: DataFrame, doc_id: str = "doc_id", tex
     shared = written(answers.groupBy("slice").applyInArrow(_by_document, "doc_id long, print long, shared binary").dropDuplicates(["doc_id", "print", "shared"]))
     again = base.join(shared.hint("merge"), ["doc_id", "print"])
     parts = again.mapInArrow(_send_suffixes(bits), "bucket int, kind int, body binary").groupBy("bucket").applyInArrow(_merge_suffixes, SPANS)
-    return parts.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's length
+    return parts.groupBy("doc_id", "print").agg(F.collect_list("span").alias("spans"))  # bounded by the text's length
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -543,7 +552,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     out = base.join(spans, (F.col("doc_id") == F.col("_i")) & (F.col("print") == F.col("_p")), "left").select("_row", F.col("text").alias("_text"), "spans")
     nobody = docs.where(F.col(doc_id).cast("long").isNull())
     nobody = squeezed(nobody.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("_text")), "_text")
-    return out.unionByName(nobody.withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
+    return out.unionByName(nobody.withColumn("spans", F.lit(None).cast("array<long>")))
 
 
 def squeezed(docs: DataFrame, text: str) -> DataFrame:
@@ -551,7 +560,7 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             cols = [*batch.columns]
             cols[at] = pa.array((None if (t := x.as_py()) is None else squeeze(t.encode("utf-8")) for x in cols[at]), pa.binary())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
@@ -560,14 +569,15 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def union_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
+def union_spans(spans: list[int] | None) -> list[tuple[int, int]]:
     """Overlapping and touching ranges as one."""
     out: list[tuple[int, int]] = []
-    for s in sorted(spans or (), key=lambda s: (s["start"], s["end"])):
-        if out and s["start"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
+    for span in sorted(spans or ()):
+        start, end = span >> 32, span & 0xFFFFFFFF
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
-            out.append((s["start"], s["end"]))
+            out.append((start, end))
     return out
 
 
@@ -595,7 +605,7 @@ def whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def _digest(batches):
-    for batch in batches:
+    for batch in _few(batches):
         out = []
         for d, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             body = loosen(t.as_py() or bytes(8))
@@ -606,7 +616,7 @@ def _digest(batches):
 
 
 def _clean(batches):
-    for batch in batches:
+    for batch in _few(batches):
         texts = []
         for t, spans in zip(batch.column(0), batch.column(1).to_pylist()):
             if (t := t.as_py()) is not None:

@@ -44,7 +44,7 @@ def test_whole_table(spark, sf):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("hot", [2, 64])
+@pytest.mark.parametrize("hot", [2, 2000])
 def test_hot_passages_small_slices_and_periods(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "SLICE_BYTES", 700)
