@@ -21,14 +21,14 @@ from pyspark.sql.window import Window
 from quernstone.sources.tables import table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: metric -> (scale, sides, least spread): value = scale * numerator div denominator
+#: metric -> (sides, least spread), in the units of measured()
 METRICS = {"symbols": ("hi", 200), "dup_lines": ("hi", 1200), "repeats": ("hi", 1000), "word_len": ("both", 300)}
 FENCE = 3
 MIN_GROUP = 200
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _covered(words: Column) -> Column:
+def _covered() -> Column:
     """Words that lie in a 3-word window found at least twice."""
     return F.expr(
         """CASE WHEN size(_tri) = size(array_distinct(_tri)) THEN 0L ELSE
@@ -59,7 +59,7 @@ def measured(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("_w")).alias("n_repeat_words"),
+        _covered().alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("_n_lines"),
     )
     return df.withColumns({
@@ -96,7 +96,7 @@ def _quartiles(sk: DataFrame, by: list[str]) -> DataFrame:
 
 def thresholds(feats: DataFrame) -> DataFrame:
     """Fences of each language and source; groups under MIN_GROUP rows use their language's sketch, and languages under it that of all."""
-    sk = sketches(feats)
+    sk = written(sketches(feats))  # small; all three levels read it
     one, lang, every = _quartiles(sk, ["_k0", "_k1"]), _quartiles(sk, ["_k0"]), _quartiles(sk, [])
     lang = lang.select(F.col("_k0").alias("_l0"), F.col("m").alias("_lm"), *[F.col(c).alias(f"l_{c}") for c in ("n", "q25", "q75")])
     every = every.select(F.col("m").alias("_em"), *[F.col(c).alias(f"e_{c}") for c in ("q25", "q75")])
@@ -117,13 +117,14 @@ def judged(feats: DataFrame, fences: DataFrame) -> DataFrame:
     f = fences.select(F.col("_k0").alias("_f0"), F.col("_k1").alias("_f1"), *[c for c in fences.columns if c[0] != "_"])
     df = feats.join(f, F.col("_k0").eqNullSafe(F.col("_f0")) & F.col("_k1").eqNullSafe(F.col("_f1")), "left")
     over = reduce(lambda a, b: a | b, [F.col(f"_m_{m}") > F.col(f"hi_{m}") for m in METRICS], F.col("_m_word_len") < F.col("lo_word_len"))
-    return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False)))
+    # one case, not two conditions: a filter on the first would move below the join and into the lambdas, which would then split the text for every word
+    return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~F.coalesce(over, F.lit(False))))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with docs' own columns. Two passes over the texts and no join by id: repeated ids stay apart."""
     feats = measured(docs)
-    good = judged(feats, written(thresholds(feats)))
+    good = judged(feats, written(thresholds(written(feats.drop("_row")))))
     return good.where("kept").select("_row.*")
 
 

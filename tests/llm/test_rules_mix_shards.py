@@ -4,7 +4,7 @@ import zlib
 from brute import counts, kept, mix
 
 from quernstone.llm import mixing, rules, sharding
-from quernstone.sources.tables import table
+from quernstone.sources.tables import table, written
 
 ROWS = [(1, None, "en", "s", 1), (2, "", "en", None, 1), (3, " \n\t", None, None, 1), (4, "a b c " * 30, "en", "s", 1), (4, "a b c " * 30, "en", "s", 1), (None, "x y", None, "s", 1), (5, "é# \x0b| $" * 40, "de", "s", 1), (6, "word " * 30_000, "en", "t", 1), (7, "one\n\nTwo\none", "en", "", 1)]
 SCHEMA = "doc_id long, text string, lang string, source string, taken int"
@@ -24,7 +24,7 @@ def many(n=400):
 
 def test_rules_against_brute_force(spark):
     rows = many()
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = written(spark.createDataFrame(rows, SCHEMA))
     good = kept([(r[2], r[3], r[1]) for r in rows], rules.METRICS, rules.FENCE, rules.MIN_GROUP)
     feats = rules.measured(df)
     out = rules.judged(feats, rules.thresholds(feats)).select("_row.doc_id", "_row.taken", *rules.FEATURES, "kept").collect()
