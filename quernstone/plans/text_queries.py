@@ -173,6 +173,7 @@ def stemmed_terms(spark, d):
     return t.select("conv_id", T.stem(F.col("t")).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_convs"))
 
 
+#: What an issue's text names.
 EXCEPTION = r"\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning|Interrupt|Exit))\b"
 FILE = r"([a-zA-Z0-9_\-\./]+\.py)\b"
 TEST = r"\b(test_[a-zA-Z0-9_]+|[a-zA-Z0-9_]+_test)\b"
