@@ -3,9 +3,9 @@
 The standard library's parser sends events; block tags cut the text into blocks, the lines of the
 method. A block's ratio is its characters over the tags within it. The ratios are smoothed with a
 Gaussian along the page, and a threshold between two clusters (two means, in logarithms) marks the
-content blocks. The content region is the deepest container that holds most of their text. All
+content blocks. The content region is the deepest section that holds most of their text, or the article around it. All
 blocks of the region count as text, short ones too, except those inside elements that are never
-article text by their tag, role or class words: menus, headers, footers, sidebars, notices, adverts,
+article text by their tag, role, hiding or class words: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments.
 
 Defined cases: null, empty or tagless html gives its text or the empty string; unclosed and stray
@@ -31,6 +31,8 @@ NEVER = frozenset("aside button canvas dialog footer form head iframe menu nav n
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 JUNK = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 JUNK_ROLES = frozenset("banner navigation complementary contentinfo search form alert dialog alertdialog menu menubar".split())
+#: Containers that can be the content region; lists, quotes and the like are parts of one.
+REGIONS = frozenset("article body div html main section td".split())
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 SIGMA, REACH, MOST = 1.0, 2, 0.6
@@ -49,11 +51,22 @@ class Blocks(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, number, junk
         self.path: tuple[int, ...] = ()
         self.number = 0
+        self.kinds: dict[int, str] = {}  # tag of each container
         self.within = 0  # open article or main elements
+        self.muted = False  # the open paragraph or heading is junk by its own marks
 
     @property
     def junk(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+        return self.muted or bool(self.open) and self.open[-1][2]
+
+    def _marked(self, tag, named) -> bool:
+        """Junk by role, hiding or class words. Within an article a header is the article's own, and a heading is never a page header."""
+        if (named.get("role") or "").lower() in JUNK_ROLES or "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "").lower():
+            return True
+        marks = set(WORDS.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
+        if self.within or tag not in CONTAINERS:
+            marks.discard("header")
+        return tag not in ("body", "html", "article", "main") and not JUNK.isdisjoint(marks)
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -65,6 +78,7 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in CONTAINERS:
             self.cut()
+            self.muted = tag not in CONTAINERS and bool(attrs) and self._marked(tag, dict(attrs))
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
@@ -72,9 +86,8 @@ class Blocks(HTMLParser):
             if tag in ("li", "td", "tr", "dd"):
                 self._close_open(tag)
             self.number += 1
-            named = dict(attrs)
-            marks = WORDS.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower())
-            never = tag in NEVER or tag == "header" and not self.within or (named.get("role") or "").lower() in JUNK_ROLES or "hidden" in named or (tag not in ("body", "html", "article", "main") and not JUNK.isdisjoint(marks))
+            self.kinds[self.number] = tag
+            never = tag in NEVER or tag == "header" and not self.within or self._marked(tag, dict(attrs))
             self.within += tag in ("article", "main")
             self.open.append((tag, self.number, never or self.junk))
             if len(self.path) < DEEPEST:
@@ -100,6 +113,7 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in CONTAINERS:
             self.cut()
+            self.muted = False
         self.tags += 1
         if tag in CONTAINERS:
             for i in range(len(self.open) - 1, -1, -1):
@@ -154,7 +168,11 @@ def main_text(html: str | None) -> str:
     for text, _, path, _ in good:
         for i in range(len(path) + 1):
             weight[path[:i]] = weight.get(path[:i], 0) + len(text)
-    region = max((p for p, w in weight.items() if w >= MOST * weight[()]), key=lambda p: (len(p), weight[p]))
+    kind = lambda p: parser.kinds[p[-1]] if p else "html"
+    region = max((p for p, w in weight.items() if w >= MOST * weight[()] and kind(p) in REGIONS), key=lambda p: (len(p), weight[p]))
+    # an article's long list or part does not stand for the article
+    around = [region[:i] for i in range(len(region), 0, -1)]
+    region = next((p for tag in ("article", "main") for p in around if kind(p) == tag), region)
     return "\n".join(t for t, _, path, _ in clean if path[: len(region)] == region)
 
 

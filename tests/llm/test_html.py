@@ -31,6 +31,15 @@ def test_page_without_article_tag():
     assert html.main_text(page) == "Head line\nFirst bold text that is quite long, so that the ratio of text to tags is high here.\nA second paragraph of the article, also with a good many words & signs <x>.\nShort."
 
 
+def test_marks_on_paragraphs_and_long_lists():
+    page = """<body><nav><ul><li>Home</ul></nav><main><article><div class="article-header"><h1 class="page-header">Title</h1></div><p>Intro.</p><p class="advert">Buy a thing that takes many words to praise.<p>Next.</p>
+    <ul><li>A list item that holds far more text than all the other blocks of this article taken together<li>and another one that is nearly as long as the one before it was</ul>
+    <p class="cookie-notice">We use cookies on this page, as you may know by now.</p><div style="display: none">Not shown</div><p>End.</p></article><div class="page-header">Site</div></main></body>"""
+    assert html.main_text(page).split("\n") == ["Title", "Intro.", "Next.", "A list item that holds far more text than all the other blocks of this article taken together", "and another one that is nearly as long as the one before it was", "End."]
+    page = "<body><div id=menu>Menu</div><div class=post><p>Before.</p><blockquote>" + "<p>A long quote that goes on and on, with many words in it.</p>" * 5 + "</blockquote><p>After.</p></div><div class=comments>No</div></body>"
+    assert html.main_text(page).split("\n")[0] == "Before." and html.main_text(page).endswith("\nAfter.") and "No" not in html.main_text(page)
+
+
 def test_edge_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>open <b>tag"), (5, "u", "</div></p>stray"), (6, "u", "<script>x</script>"), (None, "u", "<p>a</p>"), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<article><p>" + "w " * 200_000 + "</article>"), (9, "u", "<a"), (9, "u", "<a")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, n_chars int")
