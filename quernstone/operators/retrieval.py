@@ -52,9 +52,12 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str) -> Dat
 
 def gram_cosine(query: DataFrame, docs: DataFrame, doc_id: str) -> DataFrame:
     """doc_id and the cosine of 3-gram counts with the one query text, for documents that share a gram."""
-    bag = lambda df, *k: df.select(*k, F.explode(T.tokens(F.col("text"))).alias("t")).select(*k, F.explode(T.grams(F.col("t"))).alias("g")).groupBy(*k, "g").agg(F.count("*").alias("n"))
-    q = bag(query).withColumnRenamed("n", "qn")
-    d = bag(docs, doc_id).join(q, "g", "left").groupBy(doc_id).agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    grams_of = lambda df, *k: df.select(*k, F.explode(T.grams(F.col("t"))).alias("g"), "tn").groupBy(*k, "g").agg(F.sum("tn").alias("n"))
+    words_of = lambda df, *k: df.select(*k, F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(*k, "t").agg(F.count("*").alias("tn"))
+    q = grams_of(words_of(query)).withColumnRenamed("n", "qn")
+    # words are counted before they are cut; the texts go by document, so that no gram is shuffled
+    d = grams_of(words_of(docs.select(doc_id, "text").repartition(doc_id), doc_id), doc_id)
+    d = d.join(q, "g", "left").groupBy(doc_id).agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     norm = q.agg(F.sum(F.col("qn") * F.col("qn")).alias("qq"))
     return d.where("dot > 0").crossJoin(F.broadcast(norm)).select(doc_id, F.round(F.least(F.lit(1.0), F.col("dot") / (F.sqrt("nn") * F.sqrt("qq"))), 4).alias("score"))
 
