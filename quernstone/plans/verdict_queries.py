@@ -191,3 +191,23 @@ def nearby_symbols(spark, d):
     """Parts as definitions, brand and size as their file: the first ten others of the file."""
     p = V.first_nearby(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey", ["p_brand", "p_size"])
     return p.select("p_partkey", "p_brand", "p_size", F.concat_ws(",", F.transform("others", lambda x: x.cast("string"))).alias("others"))
+
+
+@query("context_package", """
+WITH u AS (SELECT l_partkey, count(DISTINCT l_suppkey) callers, count(*) FILTER (l_returnflag = 'R') tests, arg_max(l_suppkey, (l_quantity, l_orderkey, l_linenumber, l_suppkey)) main_caller, max(o_orderdate) last_change, count(DISTINCT l_orderkey) changes FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey),
+t AS (SELECT p_brand, p_size, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) <= 4),
+o AS (SELECT p.p_partkey, t.p_partkey o, row_number() OVER (PARTITION BY p.p_partkey ORDER BY t.p_partkey) r FROM part p JOIN t ON t.p_brand = p.p_brand AND t.p_size = p.p_size AND t.p_partkey <> p.p_partkey)
+SELECT part.p_partkey, p_name, coalesce(callers, 0) AS n_callers, main_caller, coalesce(tests, 0) AS n_tests, coalesce(changes, 0) AS n_changes, last_change, coalesce(string_agg(o::VARCHAR, ',' ORDER BY o), '') AS related
+FROM part LEFT JOIN u ON l_partkey = part.p_partkey LEFT JOIN o ON o.p_partkey = part.p_partkey AND r <= 3 GROUP BY ALL""")
+def context_package(spark, d):
+    """All that is known of a part as a symbol, in one row: callers, tests, history and what stands near it."""
+    c = F.col
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    u = lines.join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), c("l_orderkey") == c("o_orderkey")).groupBy("l_partkey").agg(
+        F.countDistinct("l_suppkey").alias("n_callers"), F.max_by("l_suppkey", F.struct("l_quantity", "l_orderkey", "l_linenumber", "l_suppkey")).alias("main_caller"),
+        F.count_if(c("l_returnflag") == "R").alias("n_tests"), F.countDistinct("l_orderkey").alias("n_changes"), F.max("o_orderdate").alias("last_change"),
+    )
+    p = table(spark, d, "part")
+    near = V.first_nearby(p.select("p_partkey", "p_brand", "p_size"), "p_partkey", ["p_brand", "p_size"], 3).select("p_partkey", F.concat_ws(",", F.transform("others", lambda x: x.cast("string"))).alias("related"))
+    out = p.select("p_partkey", "p_name").join(u, c("p_partkey") == c("l_partkey"), "left").join(near, "p_partkey", "left").na.fill(0, ["n_callers", "n_tests", "n_changes"])
+    return out.select("p_partkey", "p_name", "n_callers", "main_caller", "n_tests", "n_changes", "last_change", F.coalesce("related", F.lit("")).alias("related"))
