@@ -3,7 +3,8 @@
 The standard library's parser sends events; block tags cut the text into blocks, the lines of the
 method. A block's ratio is its characters over the tags within it. The ratios are smoothed with a
 Gaussian along the page, and a threshold between two clusters (two means, in logarithms) marks the
-content blocks. The content region is the deepest section that holds most of their text, or the article around it. All
+content blocks. The content region is the article or main element around the deepest section that holds most of their
+text; without one, it is the deepest section that holds all of them. All
 blocks of the region count as text, short ones too, except those inside elements that are never
 article text by their tag, role, hiding or class words: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments.
@@ -41,13 +42,15 @@ DEEPEST = 64
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, container path, junk) of each block of a page."""
+    """Collects (text, tags, container path, junk, linked) of each block of a page; linked tells that all its text is in links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.plain = False  # text outside links since the last cut
+        self.link = False
         self.open: list[tuple[str, int, bool]] = []  # tag, number, junk
         self.path: tuple[int, ...] = ()
         self.number = 0
@@ -71,9 +74,10 @@ class Blocks(HTMLParser):
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.tags, self.path, self.junk))
+            self.blocks.append((text, self.tags, self.path, self.junk, not self.plain))
             self.tags = 0
         self.parts.clear()
+        self.plain = False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in CONTAINERS:
@@ -81,6 +85,8 @@ class Blocks(HTMLParser):
             self.muted = tag not in CONTAINERS and bool(attrs) and self._marked(tag, dict(attrs))
         elif tag == "br":
             self.parts.append(" ")
+        elif tag == "a":
+            self.link = True
         self.tags += 1
         if tag in CONTAINERS and tag not in VOID:
             if tag in ("li", "td", "tr", "dd"):
@@ -114,6 +120,8 @@ class Blocks(HTMLParser):
         if tag in BLOCKS or tag in CONTAINERS:
             self.cut()
             self.muted = False
+        elif tag == "a":
+            self.link = False
         self.tags += 1
         if tag in CONTAINERS:
             for i in range(len(self.open) - 1, -1, -1):
@@ -125,6 +133,7 @@ class Blocks(HTMLParser):
         if self.open and self.open[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
+        self.plain = self.plain or not self.link and not data.isspace()
 
     def unknown_decl(self, data):
         pass
@@ -136,7 +145,7 @@ class Blocks(HTMLParser):
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """True at the lines of the upper of two clusters of the smoothed ratios."""
+    """True at the lines of the upper of two clusters of the smoothed ratios, and at those whose own ratio lies there: a paragraph between links is text."""
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
     x = np.log1p(ratios)
     smooth = np.convolve(x, kernel, "same") if len(x) > 2 * REACH else np.convolve(x, kernel, "full")[REACH : REACH + len(x)]
@@ -149,7 +158,7 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
         if upper.all() or not upper.any():
             break
         low, high = smooth[~upper].mean(), smooth[upper].mean()
-    return smooth >= (low + high) / 2
+    return np.maximum(smooth, x) >= (low + high) / 2
 
 
 def main_text(html: str | None) -> str:
@@ -162,18 +171,23 @@ def main_text(html: str | None) -> str:
     clean = [b for b in blocks if not b[3]]
     if not clean:
         return ""
-    ratios = np.array([len(t) / max(1, n) for t, n, _, _ in blocks])
+    ratios = np.array([len(t) / max(1, n) for t, n, _, _, _ in blocks])
     good = [b for b, up in zip(blocks, content_lines(ratios)) if up and not b[3]] or clean
     weight: dict[tuple[int, ...], int] = {}
-    for text, _, path, _ in good:
+    for text, _, path, _, _ in good:
         for i in range(len(path) + 1):
             weight[path[:i]] = weight.get(path[:i], 0) + len(text)
     kind = lambda p: parser.kinds[p[-1]] if p else "html"
     region = max((p for p, w in weight.items() if w >= MOST * weight[()] and kind(p) in REGIONS), key=lambda p: (len(p), weight[p]))
     # an article's long list or part does not stand for the article
     around = [region[:i] for i in range(len(region), 0, -1)]
-    region = next((p for tag in ("article", "main") for p in around if kind(p) == tag), region)
-    return "\n".join(t for t, _, path, _ in clean if path[: len(region)] == region)
+    region = next((p for tag in ("article", "main") for p in around if kind(p) == tag), None)
+    if region is None:  # the deepest section around all content blocks but those of links alone
+        paths = [b[2] for b in good if not b[4]] or [b[2] for b in good]
+        region = paths[0]
+        while kind(region) not in REGIONS or any(p[: len(region)] != region for p in paths):
+            region = region[:-1]
+    return "\n".join(b[0] for b in clean if b[2][: len(region)] == region)
 
 
 def _extracted(batches):

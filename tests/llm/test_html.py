@@ -47,3 +47,26 @@ def test_edge_cases(spark):
     assert (out[1], out[2], out[3], out[4], out[5], out[6], out[None], out[7]) == ("", "", "plain text", "open tag", "stray", "", "a", "deep")
     assert len(out[8]) == 399_999
     assert html.extracted(df.limit(0)).count() == 0
+
+
+def sentence(i: int) -> str:
+    return f"A sentence of the article that is long enough to have a high ratio of text to tags, number {i}."
+
+
+def paragraphs(*numbers: int) -> str:
+    return "".join(f"<p>{sentence(i)}</p>" for i in numbers)
+
+
+def text(*numbers: int) -> str:
+    return "\n".join(map(sentence, numbers))
+
+
+def test_article_over_sibling_sections():
+    for page in (
+        f"<div class=content><div class=intro>{paragraphs(1)}</div><div class=text>{paragraphs(2, 3, 4)}</div></div>",
+        f"<section>{paragraphs(1)}</section><section>{paragraphs(2, 3, 4)}</section>",
+        f"<table><tr><td>{paragraphs(1)}</td><td>{paragraphs(2, 3, 4)}</td></tr></table>",
+    ):
+        assert html.main_text(f"<body><nav><a href=x>Home</a></nav>{page}<footer>(c)</footer></body>") == text(1, 2, 3, 4), page
+    inner = f"<div class=intro>{paragraphs(1)}</div><div class=text>{paragraphs(2, 3, 4)}</div>"
+    assert html.main_text(f"<body><div><a href=x>Up</a></div><div class=content>{inner}</div></body>") == text(1, 2, 3, 4)
