@@ -7,7 +7,9 @@ content blocks. The content region is the article or main element around the dee
 text; without one, it is the deepest section that holds all of them. All
 blocks of the region count as text, short ones too, except those inside elements that are never
 article text by their tag, role, hiding or class words: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments.
+forms, scripts, styles and comments. Class words and forms are hints: they do not hold for a container of
+the page's longest article or main element, nor, where no such text is left, for one of most of the content
+blocks' text, nor where they would leave nothing.
 
 Defined cases: null, empty or tagless html gives its text or the empty string; unclosed and stray
 tags are tolerated; repeated rows are extracted each; an empty table gives an empty result; only
@@ -34,6 +36,10 @@ JUNK = frozenset("ad ads advert adverts advertisement advertising banner breadcr
 JUNK_ROLES = frozenset("banner navigation complementary contentinfo search form alert dialog alertdialog menu menubar".split())
 #: Containers that can be the content region; lists, quotes and the like are parts of one.
 REGIONS = frozenset("article body div html main section td".split())
+#: Class words that say what a container goes without or beside.
+BESIDE = frozenset("has have no not with without hide hides hidden show shows".split())
+#: Readers' words, which may well be longer than the article.
+REPLIES = frozenset("comment comments disqus replies reply".split())
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 SIGMA, REACH, MOST = 1.0, 2, 0.6
@@ -42,39 +48,54 @@ DEEPEST = 64
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, container path, junk, linked) of each block of a page; linked tells that all its text is in links."""
+    """Collects (text, tags, container path, junk, hints, linked) of each block of a page: hints are the numbers of the elements around it that are junk by class words or as forms, linked tells that all its text is in links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...], bool]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.plain = False  # text outside links since the last cut
         self.link = False
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, junk
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, junk, hints
         self.path: tuple[int, ...] = ()
         self.number = 0
         self.kinds: dict[int, str] = {}  # tag of each container
         self.within = 0  # open article or main elements
-        self.muted = False  # the open paragraph or heading is junk by its own marks
+        self.muted = False  # the open paragraph or heading is junk by its own role or hiding
+        self.hinted: tuple[int, ...] = ()  # its number, where it is junk by its class words
+        self.replies: set[int] = set()  # numbers of elements of readers' words
 
     @property
     def junk(self) -> bool:
         return self.muted or bool(self.open) and self.open[-1][2]
 
-    def _marked(self, tag, named) -> bool:
-        """Junk by role, hiding or class words. Within an article a header is the article's own, and a heading is never a page header."""
-        if (named.get("role") or "").lower() in JUNK_ROLES or "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "").lower():
-            return True
-        marks = set(WORDS.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
+    @property
+    def hints(self) -> tuple[int, ...]:
+        return (self.open[-1][3] if self.open else ()) + self.hinted
+
+    @staticmethod
+    def _barred(tag, named) -> bool:
+        """Junk by role or hiding. A page that scripts show is no hidden one."""
+        return tag not in ("body", "html") and ((named.get("role") or "").lower() in JUNK_ROLES or "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "").lower())
+
+    def _marks(self, tag, named) -> set[str]:
+        """Junk words that are a class or id or its first or last part. Within an article a header is the article's own, and a heading is never a page header."""
+        if tag in ("body", "html", "article", "main"):
+            return set()
+        marks = set()
+        for token in f"{named.get('class') or ''} {named.get('id') or ''}".lower().split():
+            words = WORDS.findall(token.partition("--")[0])
+            if words and BESIDE.isdisjoint(words):
+                marks |= {words[0], words[-1]}
         if self.within or tag not in CONTAINERS:
             marks.discard("header")
-        return tag not in ("body", "html", "article", "main") and not JUNK.isdisjoint(marks)
+        return marks & JUNK
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.tags, self.path, self.junk, not self.plain))
+            self.blocks.append((text, self.tags, self.path, self.junk, self.hints, not self.plain))
             self.tags = 0
         self.parts.clear()
         self.plain = False
@@ -82,7 +103,12 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in CONTAINERS:
             self.cut()
-            self.muted = tag not in CONTAINERS and bool(attrs) and self._marked(tag, dict(attrs))
+            self.muted, self.hinted = False, ()
+            if tag not in CONTAINERS and attrs:
+                self.muted = self._barred(tag, dict(attrs))
+                if self._marks(tag, dict(attrs)):
+                    self.number += 1
+                    self.hinted = (self.number,)
         elif tag == "br":
             self.parts.append(" ")
         elif tag == "a":
@@ -93,9 +119,16 @@ class Blocks(HTMLParser):
                 self._close_open(tag)
             self.number += 1
             self.kinds[self.number] = tag
-            never = tag in NEVER or tag == "header" and not self.within or self._marked(tag, dict(attrs))
+            named = dict(attrs)
+            marks = self._marks(tag, named) if attrs else set()
+            never = tag in NEVER and tag != "form" or tag == "header" and not self.within or self._barred(tag, named)
+            if not REPLIES.isdisjoint(marks):
+                self.replies.add(self.number)
+            hints = self.hints
+            if (marks or tag == "form") and len(hints) < DEEPEST:
+                hints = (*hints, self.number)
             self.within += tag in ("article", "main")
-            self.open.append((tag, self.number, never or self.junk))
+            self.open.append((tag, self.number, never or self.junk, hints))
             if len(self.path) < DEEPEST:
                 self.path = (*self.path, self.number)
 
@@ -109,7 +142,7 @@ class Blocks(HTMLParser):
                 return
 
     def _pop(self, i):
-        self.within -= sum(t in ("article", "main") for t, _, _ in self.open[i:])
+        self.within -= sum(t in ("article", "main") for t, _, _, _ in self.open[i:])
         del self.open[i:]
         self.path = self.path[:i]
 
@@ -119,7 +152,7 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in CONTAINERS:
             self.cut()
-            self.muted = False
+            self.muted, self.hinted = False, ()
         elif tag == "a":
             self.link = False
         self.tags += 1
@@ -161,6 +194,28 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return np.maximum(smooth, x) >= (low + high) / 2
 
 
+def _holders(blocks, upper, kinds: dict[int, str], replies: set[int]) -> set[int]:
+    """Hinted elements that hold the article all the same. blocks: those that are not junk by tag, role or hiding."""
+    held: set[int] = set()
+    size: dict[int, int] = {}  # text of each article and main element
+    for text, _, path, _, _, _ in blocks:
+        for number in path:
+            if kinds[number] in ("article", "main"):
+                size[number] = size.get(number, 0) + len(text)
+    longest = {max((x for x in size if kinds[x] == tag), key=lambda x: (size[x], -x)) for tag in {kinds[x] for x in size}}
+    for _, _, path, _, hints, _ in blocks:
+        for number in longest.intersection(path):
+            held.update(h for h in hints if h < number)
+    if any(held.issuperset(b[4]) and longest.intersection(b[2]) for b in blocks):
+        return held
+    weight: dict[int, int] = {}
+    for text, _, _, _, hints, _ in upper:
+        for h in hints:
+            weight[h] = weight.get(h, 0) + len(text)
+    most = MOST * sum(len(b[0]) for b in upper)
+    return held | {h for h, w in weight.items() if w >= most and h not in replies}
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the content region, one a line."""
     if not html:
@@ -171,10 +226,16 @@ def main_text(html: str | None) -> str:
     clean = [b for b in blocks if not b[3]]
     if not clean:
         return ""
-    ratios = np.array([len(t) / max(1, n) for t, n, _, _, _ in blocks])
-    good = [b for b, up in zip(blocks, content_lines(ratios)) if up and not b[3]] or clean
+    lines = content_lines(np.array([len(b[0]) / max(1, b[1]) for b in blocks]))
+    upper = [b for b, up in zip(blocks, lines) if up and not b[3]]
+    if any(b[4] for b in clean):
+        held = _holders(clean, upper, parser.kinds, parser.replies)
+        unmarked = lambda some: [b for b in some if held.issuperset(b[4])]
+        if rest := unmarked(clean):
+            clean, upper = rest, unmarked(upper)
+    good = upper or clean
     weight: dict[tuple[int, ...], int] = {}
-    for text, _, path, _, _ in good:
+    for text, _, path, _, _, _ in good:
         for i in range(len(path) + 1):
             weight[path[:i]] = weight.get(path[:i], 0) + len(text)
     kind = lambda p: parser.kinds[p[-1]] if p else "html"
@@ -183,7 +244,7 @@ def main_text(html: str | None) -> str:
     around = [region[:i] for i in range(len(region), 0, -1)]
     region = next((p for tag in ("article", "main") for p in around if kind(p) == tag), None)
     if region is None:  # the deepest section around all content blocks but those of links alone
-        paths = [b[2] for b in good if not b[4]] or [b[2] for b in good]
+        paths = [b[2] for b in good if not b[5]] or [b[2] for b in good]
         region = paths[0]
         while kind(region) not in REGIONS or any(p[: len(region)] != region for p in paths):
             region = region[:-1]

@@ -70,3 +70,15 @@ def test_article_over_sibling_sections():
         assert html.main_text(f"<body><nav><a href=x>Home</a></nav>{page}<footer>(c)</footer></body>") == text(1, 2, 3, 4), page
     inner = f"<div class=intro>{paragraphs(1)}</div><div class=text>{paragraphs(2, 3, 4)}</div>"
     assert html.main_text(f"<body><div><a href=x>Up</a></div><div class=content>{inner}</div></body>") == text(1, 2, 3, 4)
+
+
+def test_marks_on_wrappers():
+    for wrapper in ('<div class="page has-sidebar">', '<div id="content-with-menu">', '<div class="post no-comments">', "<form action=x>", '<div class="sidebar-layout">', "<div class=menu>", '<body style="display:none">'):
+        for a, b in (("", ""), ("<article>", "</article>"), ("<main>", "</main>")):
+            page = f"<html>{wrapper}<nav><a href=x>Home</a></nav>{a}{paragraphs(1, 2, 3)}{b}"
+            assert html.main_text(page) == text(1, 2, 3), page
+    # the marks still hold for what is beside the article
+    assert html.main_text(f"<body><div>{paragraphs(1, 2)}</div><div id=comments>{paragraphs(3, 4, 5, 6, 7)}</div></body>") == text(1, 2)
+    assert html.main_text(f"<body><article>{paragraphs(1, 2)}</article><div class=related><article>{paragraphs(3)}</article><article>{paragraphs(4)}</article></div></body>") == text(1, 2)
+    # where all is marked, the clusters decide
+    assert html.main_text(f"<body><div class=comments>{paragraphs(1, 2)}</div></body>") == text(1, 2)
