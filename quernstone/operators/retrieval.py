@@ -62,6 +62,18 @@ def gram_cosine(query: DataFrame, docs: DataFrame, doc_id: str) -> DataFrame:
     return d.where("dot > 0").crossJoin(F.broadcast(norm)).select(doc_id, F.round(F.least(F.lit(1.0), F.col("dot") / (F.sqrt("nn") * F.sqrt("qq"))), 4).alias("score"))
 
 
+def gram_cosines(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str) -> DataFrame:
+    """query_id, doc_id and the cosine of 3-gram counts of every pair that shares a gram."""
+    grams_of = lambda df, k: df.select(k, F.explode(T.grams(F.col("t"))).alias("g"), "tn").groupBy(k, "g").agg(F.sum("tn").alias("n"))
+    words_of = lambda df, k: df.select(k, F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(k, "t").agg(F.count("*").alias("tn"))
+    norm_of = lambda df, k, name: df.groupBy(k).agg(F.sum(F.col("n") * F.col("n")).alias(name))
+    q = grams_of(words_of(queries, query_id), query_id)
+    d = grams_of(words_of(docs.select(doc_id, "text").repartition(doc_id), doc_id), doc_id)
+    dots = d.join(q.withColumnRenamed("n", "qn"), "g").groupBy(query_id, doc_id).agg(F.sum(F.col("n") * F.col("qn")).alias("dot"))
+    out = dots.join(norm_of(d, doc_id, "nn"), doc_id).join(norm_of(q, query_id, "qq"), query_id)
+    return out.select(query_id, doc_id, F.round(F.least(F.lit(1.0), F.col("dot") / (F.sqrt("nn") * F.sqrt("qq"))), 4).alias("score"))
+
+
 def fused(channels: DataFrame, mention: Column) -> Column:
     """The weighted sum of the six channel columns and the mention bonus."""
     total = sum((F.lit(w) * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))

@@ -93,6 +93,49 @@ def hybrid_fusion_topk(spark, d):
     return c.withColumn("score", R.fused(c, F.col("mention"))).drop("mention").orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+COSINES = f"""
+iq AS (SELECT item_id, g, count(*) qn FROM (SELECT item_id, {GRAMS} g FROM (SELECT item_id, unnest({TOKS.format('text')}) t FROM benchmark)) GROUP BY ALL), iqq AS (SELECT item_id, sum(qn * qn) qq FROM iq GROUP BY item_id),
+id AS (SELECT doc_id, g, count(*) n FROM (SELECT doc_id, {GRAMS} g FROM (SELECT doc_id, unnest({TOKS.format('text')}) t FROM documents)) GROUP BY ALL), idd AS (SELECT doc_id, sum(n * n) nn FROM id GROUP BY doc_id),
+ics AS (SELECT item_id, doc_id, round(least(1, dot / (sqrt(nn) * sqrt(qq))), 4) AS score FROM (SELECT item_id, doc_id, sum(n * qn) dot FROM id JOIN iq USING (g) GROUP BY ALL) JOIN iqq USING (item_id) JOIN idd USING (doc_id))"""
+
+
+@query("trigram_cosine_each", f"WITH {COSINES}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ics) SELECT * FROM r WHERE rank <= 10")
+def trigram_cosine_each(spark, d):
+    """The first ten documents of every benchmark item."""
+    s = R.gram_cosines(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
+    return R.top(s, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+
+
+@query("hybrid_fusion_each", f"""
+WITH {BM25}, {COSINES}, i AS (SELECT item_id, {TOKS.format('text')} qt FROM benchmark),
+src AS (SELECT source, count(*) n, count(l.doc_id) labelled, count(*) FILTER (quality = 0) fixes, count(DISTINCT lang) langs FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source),
+ch AS (SELECT i.item_id, d.doc_id, coalesce(bm.score, 0) lexical, coalesce(ics.score, 0) dense, least(1, langs / 10) graph, CASE WHEN list_contains(c.toks, qt[1]) THEN 1.0::DOUBLE ELSE 0 END traceback,
+  round(least(1, n / 20 + fixes / 5 * 0.5::DOUBLE), 3) temporal, least(1, labelled / 5) test, CASE WHEN list_contains(c.toks, qt[2]) THEN 1 ELSE 0 END mention
+  FROM documents d JOIN c USING (doc_id) JOIN src ON d.source IS NOT DISTINCT FROM src.source CROSS JOIN i LEFT JOIN bm ON bm.doc_id = d.doc_id AND bm.item_id = i.item_id LEFT JOIN ics ON ics.doc_id = d.doc_id AND ics.item_id = i.item_id),
+r AS (SELECT item_id, doc_id, round(0.0 + 0.25*lexical + 0.15*dense + 0.2*graph + 0.2*traceback + 0.1*temporal + 0.1*test + 0.1*mention, 4)::DOUBLE AS score FROM ch)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
+def hybrid_fusion_each(spark, d):
+    """The first ten documents of every benchmark item by the fused channels."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", "text")
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    per_source = docs.select("doc_id", "source", "lang").join(labels, "doc_id", "left").groupBy(F.col("source").alias("s")).agg(
+        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 0).alias("fixes"), F.countDistinct("lang").alias("langs"))
+    static = docs.select("doc_id", "source").join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
+        "doc_id", F.least(F.lit(1.0), F.col("langs") / 10).alias("graph"), churn(F.col("n"), F.col("fixes")).alias("temporal"), F.least(F.lit(1.0), F.col("labelled") / 5).alias("test"))
+    lexical = R.bm25(items, docs, "item_id", "doc_id").withColumnRenamed("score", "lexical")
+    dense = R.gram_cosines(items, docs, "item_id", "doc_id").withColumnRenamed("score", "dense")
+    # the first two words of an item, looked up among the documents' words
+    words = items.select("item_id", F.posexplode(F.slice(T.tokens(F.col("text")), 1, 2)).alias("at", "term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(words, "term")
+    held = held.groupBy("item_id", "doc_id").agg(F.max((F.col("at") == 0).cast("double")).alias("traceback"), F.max((F.col("at") == 1).cast("int")).alias("mention"))
+    c = static.crossJoin(items.select("item_id"))
+    for channel in (lexical, dense, held):
+        c = c.join(channel, ["item_id", "doc_id"], "left")
+    c = c.fillna(0, ["lexical", "dense", "traceback", "mention"])
+    c = c.withColumn("score", R.fused(c, F.col("mention")))
+    return R.top(c.select("item_id", "doc_id", "score"), ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+
+
 @query("jaccard_exemplars", f"""
 WITH e AS (SELECT doc_id, source, {SET.format('text')} s, regexp_extract(lower(coalesce(text, '')), '[a-z_][a-z0-9_]*') f, quality FROM documents LEFT JOIN labels USING (doc_id)), cur AS (SELECT doc_id cid, source csource, s cs, f cf FROM e WHERE doc_id = (SELECT min(doc_id) FROM documents)),
 j AS (SELECT doc_id, source IS NOT DISTINCT FROM csource same, list_contains(s, cf) held, len(list_intersect(s, cs)) n, len(s) + len(cs) m, quality FROM e, cur WHERE doc_id <> cid)
