@@ -181,7 +181,8 @@ def crossing(members: DataFrame, label: DataFrame, marks: DataFrame, sets: DataF
     m = members.select("bucket", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
     m = m.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    m = written(m.join(mixed.select("bucket", "n"), "bucket").join(marks.hint("merge"), "doc_id"))
+    m = m.join(mixed.select("bucket", "n"), "bucket").join(marks.hint("merge"), "doc_id")
+    m = written(m.where(F.array_contains("bands", F.col("bucket"))))  # an id may have other texts, which are not in the bucket
     keys = ["bucket", "i", "j"]
     out = []
     for large in (False, True):

@@ -58,3 +58,20 @@ def test_sketch_fills_every_bin():
     for n in (1, 2, 7, 300):
         sk = neardup.sketch(np.arange(n, dtype=np.uint64), np.array([0, n]))
         assert (sk != neardup.EMPTY).all()
+
+
+@pytest.mark.parametrize("small", [64, 1])
+def test_other_text_of_an_id_is_not_in_its_buckets(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = random.Random(7)
+    rows, want = [], {}
+    for i in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        rows += [(i, " ".join(words)), (i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(80)))]
+        other = words[:]
+        for at in (20, 40, 60) if i else (40,):  # some 0.7 alike, but the first 0.9
+            other[at] = "x"
+        rows.append((100 + i, " ".join(other)))
+        want |= {i: i, 100 + i: 100 + i if i else i}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 4).collect()} == want
