@@ -24,5 +24,5 @@ SELECT user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS delive
 def stream_first_deliveries(spark, d):
     """One accepted delivery for each user, type and day."""
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd"))
-    s = intake.first_deliveries(intake.event_stream(spark, d), key, F.col("value") > 1)
+    s = intake.first_deliveries(intake.event_stream(spark, d), key, F.col("value") > 1, ttl=None)
     return intake.drained(s.select(key.alias("delivery"), F.lit(1).cast("long").alias("n")), "append")

@@ -11,16 +11,23 @@ from quernstone.sources.tables import shared_dir
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", ts: str = "ts", files_per_trigger: int = 1) -> DataFrame:
-    """The files of one table as a stream. The watermark needs an instant, so a zoneless time is read as UTC's."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """The files of one table, a single file or a folder of part files, as a stream. The watermark needs an instant, so a zoneless time is read as UTC's."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        s = reader.parquet(path)
+    else:  # a stream's path is a folder
+        s = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return s.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def first_deliveries(stream: DataFrame, key: Column, valid: Column, ts: str = "ts", ttl: str = "24 hours") -> DataFrame:
-    """Valid deliveries, once for each key within the time to live. Rejected ones leave no state, so they may come again; without a key none is a repeat."""
-    s = stream.where(valid).withColumn("_key", F.coalesce(key, F.expr("uuid()"))).withWatermark(ts, ttl)
-    return s.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+def first_deliveries(stream: DataFrame, key: Column, valid: Column, ts: str = "ts", ttl: str | None = "24 hours") -> DataFrame:
+    """Valid deliveries, once for each key within the time to live, or ever where it is None: then no delivery is too late, and every key stays in the state. Rejected ones leave no state, so they may come again; without a key none is a repeat."""
+    s = stream.where(valid).withColumn("_key", F.coalesce(key, F.expr("uuid()")))
+    if ttl is None:
+        return s.dropDuplicates(["_key"]).drop("_key")
+    return s.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def window_counts(stream: DataFrame, by: str, ts: str = "ts", size: str = "1 day", late: str = "2 days") -> DataFrame:
