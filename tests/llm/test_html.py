@@ -1,6 +1,10 @@
 import html as stdlib
+import math
+import random
 import re
 
+import numpy as np
+
 from quernstone.llm import html
 from quernstone.sources.tables import table
 
@@ -82,3 +86,78 @@ def test_marks_on_wrappers():
     assert html.main_text(f"<body><article>{paragraphs(1, 2)}</article><div class=related><article>{paragraphs(3)}</article><article>{paragraphs(4)}</article></div></body>") == text(1, 2)
     # where all is marked, the clusters decide
     assert html.main_text(f"<body><div class=comments>{paragraphs(1, 2)}</div></body>") == text(1, 2)
+
+
+def plain(page: str) -> str:
+    """The page as a soup of div elements with neutral classes."""
+    for tag in ("article", "nav"):
+        page = page.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+    return page.replace("<footer>", '<div class="z">').replace("</footer>", "</div>").replace('class="ad"', 'class="x7"')
+
+
+def soup() -> list[tuple[str, str]]:
+    """Pages of div elements without an article element, with neutral classes, and what they are about."""
+    links = "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(6))
+    story = f"<h2>Head</h2>{paragraphs(1, 2)}<p>Short.</p>{paragraphs(3)}"
+    words = f"Head\n{text(1, 2)}\nShort.\n{text(3)}"
+    return [
+        (f"<body><div class=a1>{links}</div><div class=b2>{story}</div><div class=c3>{links}</div></body>", words),
+        (f"<body><div class=a1>{links}</div><div class=b2>{story}<div>{links}</div></div></body>", words),
+        (f"<table><tr><td>{links}<td>{story}</table>", words),
+        ("<div>" * 70 + f"<div><div>{links}</div><div>{story}</div></div>", words),
+    ]
+
+
+def right(spark) -> tuple[int, int, int]:
+    """Pages of the table as they are and as div soup, and pages of soup(), whose text comes out right, of all."""
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    as_is = sum(html.main_text(p) == article(p) for p in pages)
+    neutral = sum(html.main_text(plain(p)) == article(p) for p in pages)
+    return as_is, neutral, sum(html.main_text(p) == want for p, want in soup())
+
+
+def test_div_soup_with_neutral_classes(spark):
+    n = table(spark, "/root/testdata/sf0.01", "pages").count()
+    as_is, neutral, small = right(spark)
+    assert as_is == n and neutral >= 0.99 * n and small == len(soup())
+
+
+def test_without_the_ratios_the_soup_fails(spark, monkeypatch):
+    for constant in (lambda r: np.ones(len(r)), lambda r: np.zeros(len(r)), lambda r: np.where(np.arange(len(r)) == 0, 1.0, -1.0)):
+        monkeypatch.setattr(html, "evidence", constant)
+        _, neutral, small = right(spark)
+        assert neutral == 0 and small == 0
+
+
+def test_class_words_count_as_a_whole():
+    kept = '<p class="share-price">Up three.</p><div class="ad-hoc">Made for it.</div><p class="promoted-quote">Said so.</p>'
+    page = f"<body><div class=menu-bar>Menu</div><div>{paragraphs(1)}{kept}{paragraphs(2)}<div class='advert box--wide'>{paragraphs(9)}</div></div></body>"
+    assert html.main_text(page) == f"{text(1)}\nUp three.\nMade for it.\nSaid so.\n{text(2)}"
+
+
+def test_evidence_against_a_plain_version():
+    def plainly(ratios):
+        x = [math.log(1 + r) for r in ratios]
+        s = []
+        for i in range(len(x)):
+            near = [(math.exp(-0.5 * ((i - j) / html.SIGMA) ** 2), x[j]) for j in range(len(x)) if abs(i - j) <= html.REACH]
+            s.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        low, high = min(s), max(s)
+        for _ in range(30):
+            up = [v for v in s if v >= (low + high) / 2]
+            down = [v for v in s if v < (low + high) / 2]
+            if not up or not down:
+                break
+            low, high = sum(down) / len(down), sum(up) / len(up)
+        d = [(max(a, b) - (low + high) / 2) / ((high - low) / 2) for a, b in zip(s, x)] if high > low else [0.0] * len(x)
+        return [v / (1 + abs(v)) for v in d]
+
+    rng = random.Random(6)
+    for n in (1, 2, 5, 9, 40, 300):
+        ratios = [rng.choice([1, 3, 40, 200]) * rng.random() for _ in range(n)]
+        assert np.allclose(html.evidence(np.array(ratios)), plainly(ratios))
+
+
+def test_deep_and_broken_pages():
+    for page, chars in (("<div>" * 20_000 + "deep", 4), ("<p>a</p>" * 20_000, 39_999), ("</div>" * 20_000, 0), ("<ul><li>x" * 20_000, 39_999), ("<div><span>" * 20_000 + "</div>" * 30_000 + "x", 1)):
+        assert len(html.main_text(page)) == chars
