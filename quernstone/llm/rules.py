@@ -1,9 +1,16 @@
 """Quality rules: thresholds per language and source from mergeable quantile sketches.
 
-The sketch is a histogram over integer buckets of bounded relative width (1/32), as in DDSketch
+The sketch is a histogram over integer buckets of bounded relative width (1/256), as in DDSketch
 and HDR histograms. Sketches merge by adding counts, so Spark's partial aggregation builds them on
 the map side, a language's sketch is the sum of its sources' sketches, and reruns agree.
 
+A group's quartiles are read off its own sketch with PRIOR documents' worth of its language's and of
+all documents' mixed in: a small group leans on its language, a large one on itself, and no size is
+a switch. A fence lies FENCE spreads beyond a quartile. The spread is the distance of the quartiles,
+or, where that is smaller, the grain of the measure: what one occurrence makes in a document of the
+group's lower quartile of size. So where most documents have none of something, the fence is a few
+occurrences in a short document of that very group.
+
 Defined cases: a null text has no words; rows without words fail the base rules and add nothing
 to the sketches; null lang or source is a group of its own; repeated rows count as often as they
 occur and share a verdict; an empty table gives an empty result; the caller's columns are kept in
@@ -21,10 +28,12 @@ from pyspark.sql.window import Window
 from quernstone.sources.tables import table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: metric -> (sides, least spread), in the units of measured()
-METRICS = {"symbols": ("hi", 200), "dup_lines": ("hi", 1200), "repeats": ("hi", 1000), "word_len": ("both", 300)}
-FENCE = 3
-MIN_GROUP = 200
+#: metric -> (its sides, the size that it is a share of, what one occurrence is worth): a repeated 3-word window is two windows, six words
+METRICS = {"symbols": ("hi", "n_words", 10_000), "dup_lines": ("hi", "n_lines", 10_000), "repeats": ("hi", "n_words", 60_000), "word_len": ("both", "n_words", 1000)}
+SIZES = ("n_words", "n_lines")
+FENCE, PRIOR = 3, 25
+#: Mixed counts are in units of 1/UNIT documents.
+UNIT = 1000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,48 +77,57 @@ def measured(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang
         "_m_dup_lines": F.expr("CASE WHEN _n_lines > 0 THEN 10000 * n_dup_lines div _n_lines END"),
         "_m_repeats": F.expr("CASE WHEN n_words > 0 THEN 10000 * n_repeat_words div n_words END"),
         "_m_word_len": F.expr("CASE WHEN n_words > 0 THEN 1000 * word_chars div n_words END"),
+        "_m_n_words": F.expr("CASE WHEN n_words > 0 THEN n_words END"),
+        "_m_n_lines": F.expr("CASE WHEN n_words > 0 THEN _n_lines END"),
     })
 
 
-def _bucket(v: Column) -> Column:
-    """The lower end of the value's bucket: exact below 64, then 32 buckets for each power of two."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(v)) - 6)
-    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
+def _bucket(v: Column) -> tuple[Column, Column]:
+    """The lower end and the width of the value's bucket: exact below 512, then 256 buckets for each power of two."""
+    shift = F.greatest(F.lit(0), F.length(F.bin(v)) - 9)
+    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift), F.call_function("shiftleft", F.lit(1).cast("long"), shift)
 
 
 def sketches(feats: DataFrame, keys: int = 2) -> DataFrame:
-    """One row for each group, metric and filled bucket, with its count."""
+    """One row for each group, metric and filled bucket: its lower end, width and count."""
     ks = [f"_k{i}" for i in range(keys)]
-    long = feats.select(*ks, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"_m_{m}").alias("v")) for m in METRICS])).alias("x"))
-    long = long.where("x.v IS NOT NULL").select(*ks, F.col("x.m").alias("m"), _bucket(F.col("x.v")).alias("b"))
-    return long.groupBy(*ks, "m", "b").agg(F.count("*").alias("n"))
+    long = feats.select(*ks, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"_m_{m}").alias("v")) for m in (*METRICS, *SIZES)])).alias("x"))
+    low, width = _bucket(F.col("x.v"))
+    return long.where("x.v IS NOT NULL").select(*ks, F.col("x.m").alias("m"), low.alias("b"), width.alias("wide")).groupBy(*ks, "m", "b", "wide").agg(F.count("*").alias("n"))
+
 
+def _mixed(sk: DataFrame) -> DataFrame:
+    """The groups' sketches with the worth of PRIOR documents of their language's sketch and of all documents' added, as ``w``."""
+    share = lambda n, all_: F.expr(f"{PRIOR * UNIT} * {n} div {all_}")
+    groups = sk.select("_k0", "_k1", "m").distinct()
 
-def _quartiles(sk: DataFrame, by: list[str]) -> DataFrame:
-    """n, q25 and q75 of each group and metric, read off the cumulated counts."""
-    sk = sk.groupBy(*by, "m", "b").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*by, "m")
-    sk = sk.withColumns({"total": F.sum("n").over(w), "cum": F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))})
-    q = lambda p: F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.col("b")))
-    return sk.groupBy(*by, "m").agg(F.max("total").alias("n"), q(25).alias("q25"), q(75).alias("q75"))
+    def prior(by: list[str]) -> DataFrame:
+        p = sk.groupBy(*by, "m", "b", "wide").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "m")))
+        p = p.select(*[F.col(k).alias(f"p{k}") for k in by], F.col("m").alias("pm"), "b", "wide", share("n", "all").alias("w")).where("w > 0")
+        same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"p{k}")), by, F.col("m") == F.col("pm"))
+        return groups.join(p, same).select("_k0", "_k1", "m", "b", "wide", "w")
+
+    own = sk.select("_k0", "_k1", "m", "b", "wide", (UNIT * F.col("n")).alias("w"))
+    return own.unionByName(prior(["_k0"])).unionByName(prior([])).groupBy("_k0", "_k1", "m", "b", "wide").agg(F.sum("w").alias("w"))
 
 
 def thresholds(feats: DataFrame) -> DataFrame:
-    """Fences of each language and source; groups under MIN_GROUP rows use their language's sketch, and languages under it that of all."""
-    sk = written(sketches(feats))  # small; all three levels read it
-    one, lang, every = _quartiles(sk, ["_k0", "_k1"]), _quartiles(sk, ["_k0"]), _quartiles(sk, [])
-    lang = lang.select(F.col("_k0").alias("_l0"), F.col("m").alias("_lm"), *[F.col(c).alias(f"l_{c}") for c in ("n", "q25", "q75")])
-    every = every.select(F.col("m").alias("_em"), *[F.col(c).alias(f"e_{c}") for c in ("q25", "q75")])
-    t = one.join(lang, F.col("_k0").eqNullSafe(F.col("_l0")) & (F.col("m") == F.col("_lm"))).join(every, F.col("m") == F.col("_em"))
-    pick = lambda c: F.when(F.col("n") >= MIN_GROUP, F.col(c)).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-    spread = reduce(lambda e, kv: e.when(F.col("m") == kv[0], kv[1][1]), list(METRICS.items())[1:], F.when(F.col("m") == "symbols", METRICS["symbols"][1]))
-    t = t.select("_k0", "_k1", "m", pick("q25").alias("q25"), pick("q75").alias("q75"))
-    t = t.withColumn("reach", FENCE * F.greatest(F.col("q75") - F.col("q25"), spread))
-    of = lambda m, e: F.max(F.when(F.col("m") == m, e))
-    return t.groupBy("_k0", "_k1").agg(
-        *[of(m, F.col("q75") + F.col("reach")).alias(f"hi_{m}") for m in METRICS],
-        of("word_len", F.col("q25") - F.col("reach")).alias("lo_word_len"),
-    )
+    """Fences of each language and source."""
+    w = Window.partitionBy("_k0", "_k1", "m")
+    sk = _mixed(written(sketches(feats)))  # small: buckets of groups
+    sk = sk.withColumns({"total": F.sum("w").over(w), "cum": F.sum("w").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))})
+    # the bucket that holds the quantile, its weight spread evenly over its width
+    at = lambda p: F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.struct("b", (F.col("b") + (p * F.col("total") - 100 * (F.col("cum") - F.col("w"))).cast("double") * F.col("wide") / (100 * F.col("w"))).alias("q")))).getField("q")
+    q = sk.groupBy("_k0", "_k1", "m").agg(at(25).alias("q25"), at(75).alias("q75"))
+    of = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c)))
+    q = q.groupBy("_k0", "_k1").agg(*[of(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("q25", "q75")], *[of(m, "q25").alias(m) for m in SIZES])
+    fences = []
+    for m, (sides, size, worth) in METRICS.items():
+        reach = FENCE * F.greatest(F.col(f"{m}_q75") - F.col(f"{m}_q25"), F.lit(float(worth)) / F.col(size))
+        fences.append(F.floor(F.col(f"{m}_q75") + reach).alias(f"hi_{m}"))
+        if sides == "both":
+            fences.append(F.ceil(F.col(f"{m}_q25") - reach).alias(f"lo_{m}"))
+    return q.select("_k0", "_k1", *fences)
 
 
 def judged(feats: DataFrame, fences: DataFrame) -> DataFrame:
@@ -122,10 +140,9 @@ def judged(feats: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with docs' own columns. Two passes over the texts and no join by id: repeated ids stay apart."""
-    feats = measured(docs)
-    good = judged(feats, written(thresholds(written(feats.drop("_row")))))
-    return good.where("kept").select("_row.*")
+    """The rows of docs that pass, with docs' own columns. The texts are measured once; rows and measures go to one table, so there is no join by id and repeated ids stay apart."""
+    feats = written(measured(docs))
+    return judged(feats, written(thresholds(feats))).where("kept").select("_row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -138,15 +155,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_FENCES = """
-quart AS (
-  SELECT {by}, m, max(total) n, min(CASE WHEN 100*cum >= 25*total THEN b END) q25, min(CASE WHEN 100*cum >= 75*total THEN b END) q75
-  FROM (SELECT {by}, m, b, sum(n) OVER (PARTITION BY {by}, m) total, sum(n) OVER (PARTITION BY {by}, m ORDER BY b) cum
-        FROM (SELECT {by}, m, b, count(*) n FROM buckets GROUP BY ALL)) GROUP BY ALL)"""
-
-
 def oracle() -> dict[str, str]:
-    quart = lambda name, by: _FENCES.format(by=by).replace("quart", name, 1)
     sql = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 wd AS (SELECT doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM d),
@@ -159,14 +168,19 @@ f AS (SELECT d.doc_id, lang, source, len(w)::BIGINT n_words, length(regexp_repla
   FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)),
 g AS (SELECT *, n_words < 50 OR 100*n_repeat_words > 50*n_words AS base_failed, CASE WHEN n_words > 0 THEN 10000*n_symbols // n_words END m1, CASE WHEN n_lines > 0 THEN 10000*n_dup_lines // n_lines END m2,
   CASE WHEN n_words > 0 THEN 10000*n_repeat_words // n_words END m3, CASE WHEN n_words > 0 THEN 1000*word_chars // n_words END m4 FROM f),
-vals AS (SELECT lang, source, m, v FROM (SELECT lang, source, unnest(['symbols','dup_lines','repeats','word_len']) m, unnest([m1,m2,m3,m4]) v FROM g) WHERE v IS NOT NULL),
-buckets AS (SELECT 1 AS every, lang, source, m, (v >> s) << s b FROM (SELECT *, greatest(0, length(bin(v)) - 6)::INT s FROM vals)),
-{quart("q1", "lang, source")}, {quart("q2", "lang")}, {quart("q3", "every")},
-pk AS (SELECT q1.lang, q1.source, q1.m, CASE WHEN q1.n >= {MIN_GROUP} THEN q1.q25 WHEN q2.n >= {MIN_GROUP} THEN q2.q25 ELSE q3.q25 END q25, CASE WHEN q1.n >= {MIN_GROUP} THEN q1.q75 WHEN q2.n >= {MIN_GROUP} THEN q2.q75 ELSE q3.q75 END q75,
-  CASE q1.m {" ".join(f"WHEN '{m}' THEN {s}" for m, (_, s) in METRICS.items())} END s0
-  FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.m = q2.m JOIN q3 ON q1.m = q3.m),
-fe AS (SELECT lang, source, {", ".join(f"max(CASE WHEN m = '{m}' THEN q75 + {FENCE}*greatest(q75 - q25, s0) END)::BIGINT hi_{m}" for m in METRICS)},
-  max(CASE WHEN m = 'word_len' THEN q25 - {FENCE}*greatest(q75 - q25, s0) END)::BIGINT lo_word_len FROM pk GROUP BY lang, source)
+vals AS (SELECT lang, source, m, v FROM (SELECT lang, source, unnest([{", ".join(f"'{m}'" for m in (*METRICS, *SIZES))}]) m, unnest([m1,m2,m3,m4,n_words,CASE WHEN n_words > 0 THEN n_lines END]) v FROM g WHERE n_words > 0) WHERE v IS NOT NULL),
+sk AS (SELECT lang, source, m, (v >> s) << s b, (1::BIGINT << s) wide, count(*) n FROM (SELECT *, greatest(0, length(bin(v)) - 9)::INT s FROM vals) GROUP BY ALL),
+gr AS (SELECT DISTINCT lang, source, m FROM sk),
+p1 AS (SELECT *, {PRIOR * UNIT} * n // sum(n) OVER (PARTITION BY lang, m) w FROM (SELECT lang, m, b, wide, sum(n) n FROM sk GROUP BY ALL)),
+p2 AS (SELECT *, {PRIOR * UNIT} * n // sum(n) OVER (PARTITION BY m) w FROM (SELECT m, b, wide, sum(n) n FROM sk GROUP BY ALL)),
+mx AS (SELECT lang, source, m, b, wide, sum(w)::BIGINT w FROM (SELECT lang, source, m, b, wide, {UNIT} * n w FROM sk
+  UNION ALL SELECT gr.lang, source, gr.m, b, wide, w FROM gr JOIN p1 ON gr.lang IS NOT DISTINCT FROM p1.lang AND gr.m = p1.m WHERE w > 0
+  UNION ALL SELECT lang, source, gr.m, b, wide, w FROM gr JOIN p2 ON gr.m = p2.m WHERE w > 0) GROUP BY ALL),
+cu AS (SELECT *, (sum(w) OVER (PARTITION BY lang, source, m))::BIGINT total, (sum(w) OVER (PARTITION BY lang, source, m ORDER BY b))::BIGINT cum FROM mx),
+qu AS (SELECT lang, source, m, {", ".join(f"arg_min(b + (({p} * total - 100 * (cum - w))::DOUBLE * wide / (100 * w)), b) FILTER (100 * cum >= {p} * total) q{p}" for p in (25, 75))} FROM cu GROUP BY ALL),
+wi AS (SELECT lang, source, {", ".join(f"max(CASE WHEN m = '{m}' THEN q{p} END) {m}_q{p}" for m in (*METRICS, *SIZES) for p in (25, 75))} FROM qu GROUP BY lang, source),
+fe AS (SELECT lang, source, {", ".join(f"floor({m}_q75 + {FENCE} * greatest({m}_q75 - {m}_q25, {worth}::DOUBLE / {size}_q25))::BIGINT hi_{m}" for m, (_, size, worth) in METRICS.items())},
+  ceil(word_len_q25 - {FENCE} * greatest(word_len_q75 - word_len_q25, {METRICS["word_len"][2]}::DOUBLE / n_words_q25))::BIGINT lo_word_len FROM wi)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(m4 < lo_word_len OR m1 > hi_symbols OR m2 > hi_dup_lines OR m3 > hi_repeats OR m4 > hi_word_len, false) AS kept,
   hi_symbols, hi_dup_lines, hi_repeats, hi_word_len, lo_word_len

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -51,37 +52,52 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeat), len(lines)
 
 
-def kept(rows, metrics, fence, least):
-    """Verdicts of (lang, source, text) rows by fences over bucketed quartiles."""
-    feats = []
-    for _, _, text in rows:
-        n, chars, sym, dup, rep, lines = counts(text)
-        m = {"symbols": 10000 * sym // n if n else None, "dup_lines": 10000 * dup // lines if lines else None, "repeats": 10000 * rep // n if n else None, "word_len": 1000 * chars // n if n else None}
-        feats.append((n < 50 or 100 * rep > 50 * n, m))
-    groups = defaultdict(list)
-    for (lang, source, _), (_, m) in zip(rows, feats):
+def fences(feats, groups, metrics, fence, prior, unit):
+    """{group: {metric: (lo, hi)}} of rows' measures, by counting over sorted values of the mixed sketches."""
+    at = lambda v: (v >> s << s, 1 << s) if (s := max(0, v.bit_length() - 9)) else (v, 1)
+    hist = defaultdict(lambda: defaultdict(int))
+    for m, (lang, source) in zip(feats, groups):
         for k, v in m.items():
-            if v is not None:
-                s = max(0, v.bit_length() - 6)
-                for g in ((lang, source), (lang,), ()):
-                    groups[g, k].append(v >> s << s)
-    for v in groups.values():
-        v.sort()
-    quart = lambda v, p: v[-(-p * len(v) // 100) - 1]
-    out = []
-    for (lang, source, _), (failed, m) in zip(rows, feats):
-        good = not failed
-        for k, (sides, spread) in metrics.items():
-            if m[k] is None:
-                continue
-            v = next(groups[g, k] for g in ((lang, source), (lang,), ()) if len(groups[g, k]) >= least or not g)
-            lo, hi = quart(v, 25), quart(v, 75)
-            reach = fence * max(hi - lo, spread)
-            good &= m[k] <= hi + reach and (sides == "hi" or m[k] >= lo - reach)
-        out.append(good)
+            for g in ((lang, source), (lang,), ()):
+                hist[g, k][at(v)] += 1
+    out = defaultdict(dict)
+    for lang, source in set(groups):
+        q = {}
+        for k in {k for g, k in list(hist) if g == (lang, source)}:
+            mixed = defaultdict(int)
+            for b, n in hist[(lang, source), k].items():
+                mixed[b] += unit * n
+            for g in ((lang,), ()):
+                total = sum(hist[g, k].values())
+                for b, n in hist[g, k].items():
+                    mixed[b] += prior * unit * n // total
+            total = sum(mixed.values())
+            for p in (25, 75):
+                cum = 0
+                for (b, wide), w in sorted(mixed.items()):
+                    cum += w
+                    if w and 100 * cum >= p * total:
+                        q[k, p] = b + float(p * total - 100 * (cum - w)) * wide / (100 * w)
+                        break
+        for k, (sides, size, worth) in metrics.items():
+            if (k, 25) in q:
+                reach = fence * max(q[k, 75] - q[k, 25], worth / q[size, 25])
+                out[lang, source][k] = (math.ceil(q[k, 25] - reach) if sides == "both" else -math.inf, math.floor(q[k, 75] + reach))
     return out
 
 
+def kept(rows, metrics, fence, prior, unit):
+    """Verdicts of (lang, source, text) rows."""
+    feats, failed = [], []
+    for _, _, text in rows:
+        n, chars, sym, dup, rep, lines = counts(text)
+        feats.append({"symbols": 10000 * sym // n, "dup_lines": 10000 * dup // lines, "repeats": 10000 * rep // n, "word_len": 1000 * chars // n, "n_words": n, "n_lines": lines} if n else {})
+        failed.append(n < 50 or 100 * rep > 50 * n)
+    groups = [r[:2] for r in rows]
+    f = fences(feats, groups, metrics, fence, prior, unit)
+    return [not bad and all(f[g][k][0] <= m[k] <= f[g][k][1] for k in metrics if k in m) for m, g, bad in zip(feats, groups, failed)]
+
+
 def mix(rows, weights=(5, 2, 1), share=1.5, most=2):
     """Words that each (doc_id, source, size) row gives. Hashes are compared whole: rows of one hash go together."""
     import hashlib

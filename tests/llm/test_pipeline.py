@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark, sf):
     columns = docs.columns
     rows = [tuple(r[c] for c in ("doc_id", "text", "lang", "source")) for r in docs.collect()]
     stages = dict(corpus_pipeline.STAGES)
-    good = kept([(r[2], r[3], r[1]) for r in rows], rules.METRICS, rules.FENCE, rules.MIN_GROUP)
+    good = kept([(r[2], r[3], r[1]) for r in rows], rules.METRICS, rules.FENCE, rules.PRIOR, rules.UNIT)
     rows = [r for r, g in zip(rows, good) if g]
     docs = written(stages["quality_rules"](spark, docs, sf))
     assert docs.columns == columns and {r.doc_id for r in docs.collect()} == {r[0] for r in rows}

@@ -25,7 +25,7 @@ def many(n=400):
 def test_rules_against_brute_force(spark):
     rows = many()
     df = written(spark.createDataFrame(rows, SCHEMA))
-    good = kept([(r[2], r[3], r[1]) for r in rows], rules.METRICS, rules.FENCE, rules.MIN_GROUP)
+    good = kept([(r[2], r[3], r[1]) for r in rows], rules.METRICS, rules.FENCE, rules.PRIOR, rules.UNIT)
     feats = rules.measured(df)
     out = rules.judged(feats, rules.thresholds(feats)).select("_row.doc_id", "_row.taken", *rules.FEATURES, "kept").collect()
     assert sorted(map(repr, map(tuple, out))) == sorted(repr((r[0], r[4], *counts(r[1])[:5], g)) for r, g in zip(rows, good))
@@ -35,6 +35,14 @@ def test_rules_against_brute_force(spark):
     assert rules.keep_good(df.limit(0)).count() == 0
 
 
+def test_fences_come_from_the_groups(spark):
+    df = table(spark, "/root/testdata/sf0.1", "documents")
+    fences = rules.thresholds(written(rules.measured(df.select("doc_id", "text", "lang", "source")).drop("_row"))).collect()
+    assert len(fences) == 80
+    for c in ("hi_symbols", "hi_dup_lines", "hi_repeats", "hi_word_len", "lo_word_len"):
+        assert len({r[c] for r in fences}) > 8, (c, {r[c] for r in fences})
+
+
 def test_mix_against_brute_force(spark):
     rows = many()
     df = spark.createDataFrame(rows, SCHEMA)
