@@ -12,6 +12,10 @@ never fit together; so a partition hands on its sequences of at most half a sequ
 its emptiest others as CARRY. The rest can take nothing that the next round would bring in numbers.
 A partition therefore hands on a bounded number of items, however the lengths lie.
 
+A text is tokenised whole. White space of a million characters and more is beyond the back-tracking of tiktoken's
+patterns; such a text is cut at its long runs of white space, where the pattern cuts it anyway, and the
+tokenizers library does the runs.
+
 Defined cases: a null or empty text is the end id alone; a null id is packed like any other; rows
 with equal ids are separate documents with pieces of their own; an empty table packs to nothing.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -53,6 +58,37 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: The characters of the pattern's white space.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
+@lru_cache(1)
+def slow_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, pattern: str, text: str) -> np.ndarray:
+    """The ids of one text."""
+    enc = encoder(path, pattern)
+    try:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # the pattern's stack is full
+        pass
+    slow = lambda t: np.array(slow_encoder(path).encode(t, add_special_tokens=False).ids, np.uint32)
+    special = tuple(enc.special_tokens_set)
+    if any(c.isspace() for c in "".join(special)):
+        return slow(text)
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        # the last character of a run goes with what follows, if that is no special token
+        end = run.end() if run.end() == len(text) or text.startswith(special, run.end()) else run.end() - 1
+        out += [enc.encode_to_numpy(text[at : run.start()], allowed_special="all"), slow(text[run.start() : end])]
+        at = end
+    return np.concatenate([*out, enc.encode_to_numpy(text[at:], allowed_special="all")])
+
+
 def default_tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
@@ -63,12 +99,11 @@ def _pieces(path: str, pattern: str, length: int, end_id: int):
     """A task's function: texts in, one row for each piece out."""
 
     def run(batches):
-        enc = encoder(path, pattern)
         for batch in batches:
             for a, b, _, _ in textbytes.slices(batch.column(1)):
                 out = []
                 for doc, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()):
-                    ids = np.append(enc.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(token_ids(path, pattern, text) if text else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
                     first = (len(ids) - 1) % length + 1
                     cuts = [0, *range(first, len(ids) + 1, length)]
                     out += [(doc, i, s, e - s, zlib.crc32(ids[s:e].tobytes())) for i, (s, e) in enumerate(zip(cuts, cuts[1:]))]

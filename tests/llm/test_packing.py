@@ -58,6 +58,13 @@ def test_edge_cases(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    blank, line = " " * 1_100_000, "\n" * 1_100_000
+    docs = [(1, blank), (2, line), (3, f"a{blank}b <|endoftext|>{blank}<|endoftext|>x{blank}{line}y\t{line}"), (4, "word" * 2_500_000), (5, f"é{blank[:-1]}\u3000z"), (6, "\x1c" * 1_100_000), (7, "after")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(packing.pack(df).collect(), docs)
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit(np.array([6, 5, 4, 3]), 10) == [[0, 2], [1, 3]]
     rng = random.Random(1)
