@@ -1,22 +1,22 @@
 import math
 import random
+from fractions import Fraction
 
 from quernstone.llm import tokens, topk
 from quernstone.sources.tables import table
 
 
 def brute(rows, every, k):
-    best = {}
+    """Every row is a candidate of every query row but itself; scores beyond 64 bits count as the largest or least long."""
+    part = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        f = [math.floor(256 * x) for x in v]
-        best[i] = min(best.get(i, f), f)
+        if i is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v):
+            part.append((i, [math.floor(Fraction(x) * 256) for x in v]))
     out = []
-    for q, e in best.items():
+    for n, (q, e) in enumerate(part):
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(e, f)), c) for c, f in best.items() if c != q and len(f) == len(e))[:k]
-            out += [(q, r + 1, c, -n) for r, (n, c) in enumerate(s)]
+            s = sorted((-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(e, f)))), c) for m, (c, f) in enumerate(part) if m != n and len(f) == len(e))[:k]
+            out += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s)]
     return sorted(out)
 
 
@@ -26,7 +26,6 @@ def got(df):
 
 def test_many_shards_agree_with_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 90)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
     assert got(topk.op9_exact_top_k(spark, sf)) == brute(rows, 50, 5)
 
@@ -40,6 +39,26 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert topk.top_k(df.limit(0), 50, 5).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark, monkeypatch):
+    rows = [(50, [1.0]), (50, [2.0]), (1, [3.0]), (1, [3.0]), (100, [-1.0]), (100, [-1.0])] + [(50, [0.5])] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute(rows, 50, 5)
+    assert len(want) == 5 * 24 and got(topk.top_k(df, 50, 5)) == want
+    monkeypatch.setattr(topk, "SHARD_ROWS", 4)
+    assert got(topk.top_k(df, 50, 5)) == want
+
+
+def test_large_components_score_exactly(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = (3.0, 1e9, 4e18, 1e150, 1.7e308)
+    rows = [(i, [rng.choice((-1, 1)) * rng.random() * sizes[i % 5 if i % 3 else i % 2] for _ in range(4)]) for i in range(200)]
+    rows += [(300, [1e9, 1e9, 0.0, 0.0]), (301, [1e9, -1e9, 3.0, 1.0]), (302, [1e9, -1e9, 1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (8192, 30):
+        monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+        assert got(topk.top_k(df, 50, 5)) == brute(rows, 50, 5)
+
+
 def test_counts_are_those_of_the_unigram_model(spark, sf):
     from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
