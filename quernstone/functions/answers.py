@@ -39,8 +39,14 @@ def _trimmed(c: Column) -> Column:
 
 
 def listed(text: Column) -> Column:
-    """The lines of a section without their bullets and numbers, empty ones left out."""
-    lines = F.transform(F.split(_text(text), r"\r?\n"), lambda x: F.regexp_replace(_trimmed(x), r"^[*\-0-9.) ]+", ""))
+    """The lines of a section without the bullets before them; empty ones and rules of equal signs are left out."""
+    lines = F.transform(F.split(_text(text), r"\r?\n"), lambda x: F.regexp_replace(_trimmed(x), r"^[*\- ]+", ""))
+    return F.filter(lines, lambda x: (x != "") & ~x.startswith("="))
+
+
+def numbered(text: Column) -> Column:
+    """The lines of a section without bullets and numbers before them, empty ones left out."""
+    lines = F.transform(F.split(_text(text), r"\r?\n"), lambda x: F.regexp_replace(_trimmed(x), r"^[*\- 123456789.)]+", ""))
     return F.filter(lines, lambda x: x != "")
 
 

@@ -36,11 +36,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Drops ing, ed, ies, es or s from words of more than four letters."""
+    """Drops ing, ed, ies, es or s from words of more than four letters; ss stays."""
     cut = lambda n: token.substr(F.lit(1), F.length(token) - n)
     out = F.when(F.length(token) <= 4, token)
     for ending, n, more in (("ing", 3, ""), ("ed", 2, ""), ("ies", 3, "y"), ("es", 2, ""), ("s", 1, "")):
-        out = out.when(token.endswith(ending), F.concat(cut(n), F.lit(more)) if more else cut(n))
+        ends = token.endswith(ending) if ending != "s" else token.endswith("s") & ~token.endswith("ss")
+        out = out.when(ends, F.concat(cut(n), F.lit(more)) if more else cut(n))
     return out.otherwise(token)
 
 
@@ -61,6 +62,12 @@ def any_contains(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda x, y: x | y, [text.contains(w) for w in words])
 
 
+def covers(text: Column, words: Column) -> Column:
+    """True where the text holds one of the words, in any case, or where there are none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return (F.size(words) == 0) | F.exists(words, lambda w: low.contains(F.lower(w)))
+
+
 def normal_path(p: Column) -> Column:
     return F.regexp_replace(p, r"\\", "/")
 
@@ -69,6 +76,17 @@ def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
+def split_lines(text: Column) -> Column:
+    """A text's lines without the white space around them, empty ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x != "")
+
+
+def phrases(lines: Column, patterns: tuple[str, ...], most: int, longer_than: int = 8) -> Column:
+    """What the patterns' first groups hold, a line at a time and a pattern at a time: distinct, the first ``most``, joined."""
+    found = F.flatten(F.transform(lines, lambda x: F.array(*[F.trim(F.regexp_extract(x, p, 1)) for p in patterns])))
+    return F.array_join(F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) > longer_than)), 1, most), "; ")
+
+
 def lines(df, keep: list[str], text: str = "text"):
     """A row for each line: keep, line_no from 1, line."""
     return df.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))

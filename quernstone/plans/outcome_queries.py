@@ -218,16 +218,29 @@ def integrity_check(spark, d):
 
 
 @query("declared_by_containment", """
-WITH w AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2)) word FROM benchmark), p AS (SELECT DISTINCT lower(p_name) AS name FROM part)
-SELECT item_id, count(DISTINCT name) AS n_names FROM w JOIN p ON contains(name, word) GROUP BY item_id""")
+WITH w AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 4)) word FROM benchmark), p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z_]+')) AS name FROM documents),
+n AS (SELECT DISTINCT item_id, name FROM w JOIN p ON contains(name, word)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY name) r FROM n)
+SELECT item_id, count(*) AS n_names, string_agg(CASE WHEN r <= 5 THEN name END, ',' ORDER BY name) AS first_names FROM r GROUP BY item_id""")
 def declared_by_containment(spark, d):
-    """Issue words inside names. Both sides are cut to their distinct strings first; a name's substrings of the words' lengths make it an equi-join."""
-    w = table(spark, d, "benchmark").select("item_id", F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.length(x) > 2)).alias("word")).distinct()
-    p = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
-    size = F.length("name")
-    parts = p.select("name", F.explode(F.sequence(F.lit(3), F.greatest(size, F.lit(3)))).alias("n")).where(F.col("n") <= F.length("name"))
-    parts = parts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring(F.col("name"), i, F.col("n")))).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
-    return w.join(parts, "word").groupBy("item_id").agg(F.countDistinct("name").alias("n_names"))
+    """Issue words of over four letters inside names, the documents' words. Both sides are cut to their distinct strings first; a name's substrings of the words' lengths make it an equi-join."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z_]+)"), F.lit(1))
+    w = table(spark, d, "benchmark").select("item_id", F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.length(x) > 4)).alias("word")).distinct()
+    p = table(spark, d, "documents").select(F.explode(F.array_distinct(words)).alias("name")).distinct().where(F.length("name") > 4)
+    parts = p.select("name", F.explode(F.sequence(F.lit(5), F.length("name"))).alias("n"))
+    parts = parts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring(F.col("name"), i, F.col("n")))).alias("word"))
+    held = parts.join(w, "word").select("item_id", "name").distinct()
+    first = held.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("name"))).where("r <= 5").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("first_names"))
+    return held.groupBy("item_id").agg(F.count("*").alias("n_names")).join(first, "item_id")
+
+
+@query("requirement_coverage", """
+WITH k AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t, list_filter([lang, CASE WHEN doc_id % 3 > 0 THEN 'the' END, CASE WHEN doc_id % 3 > 1 THEN 'Token' END], lambda x: x IS NOT NULL AND doc_id % 5 > 0) AS words FROM documents)
+SELECT source, count(*) FILTER (len(words) = 0 OR len(list_filter(words, lambda w: contains(t, lower(w)))) > 0) AS covered, count(*) FILTER (len(words) = 0) AS without FROM k GROUP BY source""")
+def requirement_coverage(spark, d):
+    """A document's keywords as a requirement: it is covered where the text holds one of them, and where there are none."""
+    k = table(spark, d, "documents").withColumn("words", F.array_compact(F.array("lang", F.when(F.col("doc_id") % 3 > 0, "the"), F.when(F.col("doc_id") % 3 > 1, "Token"))))
+    k = k.withColumn("words", F.filter("words", lambda x: F.col("doc_id") % 5 > 0))
+    return k.groupBy("source").agg(F.count_if(T.covers(F.col("text"), F.col("words"))).alias("covered"), F.count_if(F.size("words") == 0).alias("without"))
 
 
 @query("idempotent_ingest", """

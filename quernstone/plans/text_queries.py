@@ -207,7 +207,7 @@ def inverted_index(spark, d):
     return neighbours(p, "term", "conv_id", 5).select("term", F.col("n").alias("n_convs"), F.col("first").alias("first_convs"))
 
 
-STEM = "CASE WHEN length(t) <= 4 THEN t WHEN t LIKE '%ing' THEN t[:-4] WHEN t LIKE '%ed' THEN t[:-3] WHEN t LIKE '%ies' THEN t[:-4] || 'y' WHEN t LIKE '%es' THEN t[:-3] WHEN t LIKE '%s' THEN t[:-2] ELSE t END"
+STEM = "CASE WHEN length(t) <= 4 THEN t WHEN t LIKE '%ing' THEN t[:-4] WHEN t LIKE '%ed' THEN t[:-3] WHEN t LIKE '%ies' THEN t[:-4] || 'y' WHEN t LIKE '%es' THEN t[:-3] WHEN t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END"
 
 
 @query("stemmed_terms", f"SELECT stem, count(*) AS n, count(DISTINCT conv_id) AS n_convs FROM (SELECT conv_id, {STEM} AS stem FROM (SELECT conv_id, unnest({TOKS.format('text')}) t FROM conversations)) GROUP BY stem")
@@ -218,41 +218,80 @@ def stemmed_terms(spark, d):
 
 #: What an issue's text names.
 EXCEPTION = r"\b([A-Z][a-zA-Z0-9]*(?:Error|Exception|Warning|Interrupt|Exit))\b"
-FILE = r"([a-zA-Z0-9_\-\./]+\.py)\b"
+FILE = r"([a-zA-Z0-9_\-\./\\]+\.py)\b"
 TEST = r"\b(test_[a-zA-Z0-9_]+|[a-zA-Z0-9_]+_test)\b"
-CALL = r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)"
+CALL = r"`?([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)`?|`([A-Za-z_][A-Za-z0-9_]*)\(\)`"
 TICK = r"`([A-Za-z0-9_\.\(\)]+)`"
 #: Words of an issue that tell of state.
 STATE_WORDS = ("redirect", "cookie", "session", "header", "state", "cache", "mutate", "overwrite", "reset", "clear", "persist", "copy", "environ", "stream", "chunk")
 
 
-def _joined(pattern: str) -> str:
-    return f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{pattern}', 1))), ',')"
-
-
-@query("behavior_extract", f"""
-SELECT doc_id, {_joined(EXCEPTION)} AS exceptions, {_joined(FILE)} AS files, {_joined(TEST)} AS tests, {_joined(CALL)} AS calls, {_joined(TICK)} AS ticks,
-  array_to_string(list_filter([{', '.join(f"'{w}'" for w in STATE_WORDS)}], lambda w: contains(lower(text), w)), ',') AS state_words,
-  len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(trim(l), '^([-*]|[1-5]\\.)|assert |Error:|Traceback') AND length(trim(l, '-*0123456789. ')) > 5))::BIGINT AS n_symptoms
-FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+#: Words of calls that make an interface, and phrases of what is expected, what is seen and what sets it off.
+API_WORDS = ("get", "post", "set", "send", "load", "parse", "init", "format", "validate", "prepare")
+EXPECTED = (r"(?i)(?:expected|should|ought to|supposed to|needs to|must)\s+([^.\n]+)", r"(?i)(?:expected behavior:?\s*)([^\n]+)")
+CURRENT = (r"(?i)(?:instead|currently|actual|fails with|raises|returns|got)\s+([^.\n]+)", r"(?i)(?:actual behavior:?\s*)([^\n]+)")
+TRIGGER = (r"(?i)(?:when|if|upon|calling|invoking)\s+([^.\n]+)",)
+NAME = r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$"
+SORTED = "list_sort(list_distinct({0}))"
+STRIPPED = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')"
+
+
+@query("behavior_extract", rf"""
+WITH t AS (SELECT doc_id, text, lower(text) low, {STRIPPED} lines, {SORTED.format(f"regexp_extract_all(text, '{EXCEPTION}', 1)")} exc, regexp_extract_all(text, '{CALL}', 1) c1, regexp_extract_all(text, '{CALL}', 2) c2,
+  list_transform(regexp_extract_all(text, '{TICK}', 1), lambda x: trim(x, '()')) tick FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT *, list_concat(list_filter(list_transform(list_zip(c1, c2), lambda x: CASE WHEN x[1] <> '' THEN x[1] ELSE x[2] END), lambda x: NOT ends_with(x, '.py') AND length(x) > 2),
+  list_filter(tick, lambda x: regexp_matches(x, '{NAME}') AND NOT list_contains(exc, x) AND NOT ends_with(x, '.py') AND length(x) > 2)) sy,
+  list_filter(list_transform(list_filter(lines, lambda l: regexp_matches(l, '^([-*]|[1-5]\.)|assert |Error:|Traceback')), lambda l: trim(ltrim(l, '-*0123456789. '))), lambda l: length(l) > 5) sp FROM t),
+y AS (SELECT *, {SORTED.format("sy")} symbols FROM s), z AS (SELECT *, list_filter(symbols, lambda x: contains(x, '.') OR {" OR ".join(f"contains(lower(x), '{w}')" for w in API_WORDS)}) api FROM y)
+SELECT doc_id, array_to_string(exc, ',') AS exceptions, array_to_string({SORTED.format(f"list_transform(regexp_extract_all(text, '{FILE}', 1), lambda x: trim(replace(x, chr(92), '/'), './'))")}, ',') AS files,
+  array_to_string({SORTED.format(f"regexp_extract_all(text, '{TEST}', 1)")}, ',') AS tests, array_to_string(symbols, ',') AS symbols, array_to_string(CASE WHEN len(api) > 0 THEN api ELSE symbols[:5] END, ',') AS affected_api,
+  array_to_string(list_filter([{', '.join(f"'{w}'" for w in STATE_WORDS)}], lambda w: contains(low, w)), ',') AS state_words, least(10, len(list_distinct(sp)))::BIGINT AS n_symptoms, coalesce(sp[1], '') AS first_symptom,
+  concat_ws(',', CASE WHEN contains(low, 'none') THEN 'none' END, CASE WHEN contains(low, 'empty') THEN 'empty' END, CASE WHEN contains(low, 'url') OR contains(low, 'scheme') THEN 'url' END, CASE WHEN contains(low, 'dict') OR contains(low, 'mapping') THEN 'dict' END) AS input_conditions,
+  concat_ws(',', CASE WHEN contains(text, '200') OR contains(low, 'status') THEN 'status' END, CASE WHEN len(exc) > 0 THEN 'exceptions' END) AS output_conditions FROM z""")
 def behavior_extract(spark, d):
+    """What an issue's text names: exceptions, files, tests, symbols, the interface that they touch, state, symptoms and conditions."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = lambda p: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1)))), ",")
+    every = lambda p, g=1: F.regexp_extract_all("text", F.lit(p), F.lit(g))
+    sorted_set = lambda c: F.array_sort(F.array_distinct(c))
+    fit = lambda x: ~x.endswith(".py") & (F.length(x) > 2)
     low = F.lower("text")
-    state = F.concat_ws(",", *[F.when(low.contains(w), w) for w in STATE_WORDS])
-    symptom = F.filter(F.split("text", "\n"), lambda x: F.trim(x).rlike(r"^([-*]|[1-5]\.)|assert |Error:|Traceback") & (F.length(F.trim(x, F.lit("-*0123456789. "))) > 5))
-    return docs.select("doc_id", found(EXCEPTION).alias("exceptions"), found(FILE).alias("files"), found(TEST).alias("tests"), found(CALL).alias("calls"), found(TICK).alias("ticks"), state.alias("state_words"), F.size(symptom).cast("long").alias("n_symptoms"))
+    calls = F.filter(F.zip_with(every(CALL, 1), every(CALL, 2), lambda a, b: F.when(a != "", a).otherwise(b)), fit)
+    ticks = F.transform(every(TICK), lambda x: F.trim(x, F.lit("()")))
+    docs = docs.select("*", sorted_set(every(EXCEPTION)).alias("exc"), calls.alias("calls"), ticks.alias("ticks"))
+    docs = docs.withColumn("symbols", sorted_set(F.concat("calls", F.filter("ticks", lambda x: x.rlike(NAME) & ~F.array_contains("exc", x) & fit(x)))))
+    api = F.filter("symbols", lambda x: x.contains(".") | T.any_contains(F.lower(x), API_WORDS))
+    files = F.transform(every(FILE), lambda x: F.trim(F.translate(x, "\\", "/"), F.lit("./")))
+    symptoms = F.filter(T.split_lines(F.col("text")), lambda x: x.rlike(r"^([-*]|[1-5]\.)|assert |Error:|Traceback"))
+    symptoms = F.array_distinct(F.filter(F.transform(symptoms, lambda x: F.trim(F.ltrim(x, F.lit("-*0123456789. ")))), lambda x: F.length(x) > 5))
+    has = lambda *words: T.any_contains(low, words)
+    return docs.select(
+        "doc_id", F.array_join("exc", ",").alias("exceptions"), F.array_join(sorted_set(files), ",").alias("files"), F.array_join(sorted_set(every(TEST)), ",").alias("tests"), F.array_join("symbols", ",").alias("symbols"),
+        F.array_join(F.when(F.size(api) > 0, api).otherwise(F.slice("symbols", 1, 5)), ",").alias("affected_api"), F.concat_ws(",", *[F.when(low.contains(w), w) for w in STATE_WORDS]).alias("state_words"),
+        F.least(F.lit(10), F.size(symptoms)).cast("long").alias("n_symptoms"), F.coalesce(F.get(symptoms, F.lit(0)), F.lit("")).alias("first_symptom"),
+        F.concat_ws(",", F.when(has("none"), "none"), F.when(has("empty"), "empty"), F.when(has("url", "scheme"), "url"), F.when(has("dict", "mapping"), "dict")).alias("input_conditions"),
+        F.concat_ws(",", F.when(F.col("text").contains("200") | has("status"), "status"), F.when(F.size("exc") > 0, "exceptions")).alias("output_conditions"),
+    )
+
+
+def _phrases_sql(patterns: tuple[str, ...]) -> str:
+    each = ", ".join("trim(regexp_extract(l, '" + p + "', 1))" for p in patterns)
+    return f"list_filter(flatten(list_transform(lines, lambda l: [{each}])), lambda x: length(x) > 8)"
+
+
+def _first_sql(column: str, most: int) -> str:
+    return f"array_to_string(list_filter({column}, lambda x, i: list_position({column}, x) = i)[:{most}], '; ')"
 
 
 @query("behavior_phrases", f"""
-WITH l AS {LINES}, p AS (SELECT doc_id, line_no, trim(regexp_extract(line, '(?i)(?:expected|should|must|from|with)\\s+([^.\\n]+)', 1)) phrase FROM l),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) r FROM p WHERE length(phrase) > 8)
-SELECT doc_id, string_agg(phrase, '; ' ORDER BY line_no) AS expected FROM r WHERE r <= 3 GROUP BY doc_id""")
+WITH l AS (SELECT doc_id, {STRIPPED} lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), p AS (SELECT doc_id, lines, {_phrases_sql(EXPECTED)} e, {_phrases_sql(CURRENT)} c, {_phrases_sql(TRIGGER)} t FROM l)
+SELECT doc_id, CASE WHEN len(e) > 0 THEN {_first_sql('e', 3)} ELSE coalesce(lines[1], '') END AS expected, {_first_sql('c', 3)} AS current, {_first_sql('t', 2)} AS trigger FROM p""")
 def behavior_phrases(spark, d):
-    lines = T.lines(table(spark, d, "documents"), ["doc_id"])
-    p = lines.withColumn("phrase", F.trim(F.regexp_extract("line", r"(?i)(?:expected|should|must|from|with)\s+([^.\n]+)", 1))).where(F.length("phrase") > 8)
-    p = R.top(p, ["doc_id"], [F.asc("line_no")], 3, "r")
-    return p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "phrase"))), lambda x: x["phrase"]), "; ").alias("expected"))
+    """What is expected, what is seen instead and what sets it off; a text that expects nothing in words expects its first line."""
+    docs = table(spark, d, "documents").select("doc_id", T.split_lines(F.col("text")).alias("lines"))
+    lines = F.col("lines")
+    expected = T.phrases(lines, EXPECTED, 3)
+    first = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
+    return docs.select("doc_id", F.when(expected != "", expected).otherwise(first).alias("expected"), T.phrases(lines, CURRENT, 3).alias("current"), T.phrases(lines, TRIGGER, 2).alias("trigger"))
 
 
 @query("contract_category", f"""

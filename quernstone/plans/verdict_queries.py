@@ -32,21 +32,37 @@ def json_answers(spark, d):
 
 
 @query("report_sections", """
-SELECT o_orderkey, o_orderpriority AS cause, 'keep ' || o_orderstatus AS invariant, (o_custkey % 101)::DOUBLE / CASE WHEN o_custkey % 101 > 1 THEN 100 ELSE 1 END AS confidence,
-  CASE o_orderstatus WHEN 'O' THEN 'ambiguous' WHEN 'P' THEN 'test_only_issue' ELSE 'confirmed_code_defect' END AS class, 'order/' || o_orderkey || '.py,customer_' || o_custkey AS sites FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN '' ELSE o_orderpriority END AS cause, CASE WHEN o_orderkey % 7 IN (3, 5) THEN '' ELSE 'keep ' || o_orderstatus END AS invariant,
+  CASE WHEN o_orderkey % 7 IN (4, 6) THEN 0.95 ELSE (o_custkey % 101)::DOUBLE / CASE WHEN o_custkey % 101 > 1 THEN 100 ELSE 1 END END AS confidence,
+  CASE WHEN o_orderkey % 7 = 6 THEN 'confirmed_code_defect' ELSE CASE o_orderstatus WHEN 'O' THEN 'ambiguous' WHEN 'P' THEN 'test_only_issue' ELSE 'confirmed_code_defect' END END AS class,
+  CASE WHEN o_orderkey % 7 = 6 THEN '' WHEN o_orderkey % 7 = 2 THEN '3d/model_' || o_orderkey || '.py,2) customer_' || o_custkey ELSE 'order/' || o_orderkey || '.py,customer_' || o_custkey END AS sites,
+  CASE WHEN o_orderkey % 7 IN (2, 3, 5) THEN 'seen ' || o_custkey || ',0 of 3' ELSE '' END AS evidence FROM orders""")
 def report_sections(spark, d):
-    """Reports with headed sections, written from orders and read back."""
+    """Reports with headed sections, written from orders in seven shapes and read back: usual, lower case, numbered sites below
+    a rule, no cause, no number, Windows lines without an invariant, no sections but a cause and an invariant."""
     o, c = table(spark, d, "orders"), F.col
+    s = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    shape, key, who = c("o_orderkey") % 7, c("o_orderkey").cast("string"), c("o_custkey").cast("string")
     label = F.when(c("o_orderstatus") == "O", "Ambiguous").when(c("o_orderstatus") == "P", "TEST_ONLY_ISSUE").otherwise("none")
-    report = F.concat(
-        F.lit("Thinking.\n=== CAUSE ===\n"), "o_orderpriority", F.lit("\n\n=== Invariant ===\n  keep "), "o_orderstatus", F.lit("\n=== DEFECT CONFIDENCE ===\nabout "), (c("o_custkey") % 101).cast("string"), F.lit(" %, "), label,
-        F.lit("\n=== AFFECTED SITES ===\n- order/"), c("o_orderkey").cast("string"), F.lit(".py\n\n* customer_"), c("o_custkey").cast("string"), F.lit("\n"),
+    about = F.when(shape == 4, F.lit("I am sure")).otherwise(s("about ", (c("o_custkey") % 101).cast("string"), " %"))
+    cause = s("=== CAUSE ===\n", c("o_orderpriority"), "\n\n")
+    invariant = s("=== Invariant ===\n  keep ", c("o_orderstatus"), "\n")
+    evidence = s("=== EVIDENCE ===\n1. seen ", who, "\n\n * - 2) 0 of 3\n")
+    sure = s("=== DEFECT CONFIDENCE ===\n", about, ", ", label, "\n")
+    sites = s("=== AFFECTED SITES ===\n- order/", key, ".py\n\n* customer_", who, "\n")
+    odd = s("=== AFFECTED SITES ===\n======\n- 3d/model_", key, ".py\n-* 2) customer_", who, "\n===\n")
+    report = (
+        F.when(shape == 1, s("=== cause ===\n", c("o_orderpriority"), "\n=== invariant === keep ", c("o_orderstatus"), "\n=== defect confidence ===\n", about, " ", F.lower(label), "\n=== affected sites ===\norder/", key, ".py\ncustomer_", who))
+        .when(shape == 2, s(cause, invariant, evidence, sure, odd)).when(shape == 3, s(evidence, sure, sites))
+        .when(shape == 5, F.regexp_replace(s("Done.\n", cause, evidence, sure, sites), "\n", "\r\n")).when(shape == 6, s("99 %, ambiguous\n", cause, invariant))
+        .otherwise(s("Thinking.\n", cause, invariant, sure, sites))
     )
     o = o.select("o_orderkey", report.alias("r"))
-    sure = A.section(c("r"), "DEFECT CONFIDENCE", ("AFFECTED SITES",))
+    sure = A.section(c("r"), "DEFECT CONFIDENCE", ("REPAIR STRATEGY", "REPAIR JUSTIFICATION", "AFFECTED SITES"))
     return o.select(
-        "o_orderkey", A.section(c("r"), "CAUSE", ("INVARIANT", "DEFECT CONFIDENCE")).alias("cause"), A.section(c("r"), "INVARIANT", ("DEFECT CONFIDENCE",)).alias("invariant"),
+        "o_orderkey", A.section(c("r"), "CAUSE", ("EXPECTED BEHAVIOR", "INVARIANT", "EVIDENCE")).alias("cause"), A.section(c("r"), "INVARIANT", ("EVIDENCE", "DEFECT CONFIDENCE", "REPAIR STRATEGY")).alias("invariant"),
         A.confidence(sure).alias("confidence"), A.report_class(sure).alias("class"), F.concat_ws(",", A.listed(A.section(c("r"), "AFFECTED SITES"))).alias("sites"),
+        F.concat_ws(",", A.numbered(A.section(c("r"), "EVIDENCE", ("DEFECT CONFIDENCE", "REPAIR STRATEGY", "REPAIR JUSTIFICATION")))).alias("evidence"),
     )
 
 

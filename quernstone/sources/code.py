@@ -15,16 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 #: Folders that hold no sources of their own.
-SKIPPED = (".git", ".venv", "venv", "env", "node_modules", "__pycache__", "build", "dist", ".tox", ".eggs", ".mypy_cache", ".pytest_cache")
+SKIPPED = (".git", ".pytest_cache", "__pycache__", "venv", ".venv", "env", "build", "dist", "node_modules", ".tox", ".eggs")
+#: Folders whose symbols are no candidates of a search.
+NO_CANDIDATES = ("tests", "testing", "test", "docs", ".git", "venv", ".venv", "build", "dist", "packages", "vendor")
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, code and is_test of every Python file under root; names are filtered before contents are read."""
+    """path, code and is_test of every Python file under root; names are filtered before contents are read. Malformed bytes become U+FFFD."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
     files = files.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))) & ~F.exists(parts, lambda p: p.endswith(".egg-info")))
-    return files.select("path", F.decode("content", "UTF-8").alias("code"), F.lower("path").contains("test").alias("is_test"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("code"), F.lower("path").contains("test").alias("is_test"))
+
+
+def candidates(nodes: DataFrame, file: str | None = None) -> DataFrame:
+    """Nodes that a search ranks: functions, methods and classes, of one file if it is given, outside folders of tests and of others' code."""
+    out = nodes.where(F.col("kind").isin("FUNCTION", "METHOD", "CLASS"))
+    if file is not None:
+        out = out.where(F.col("path") == file)
+    return out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NO_CANDIDATES))))
 
 
 def _tree(code: str | None):

@@ -20,7 +20,7 @@ def test_json_body(spark):
 
 def test_sections(spark):
     text = "intro\n=== CAUSE ===\n a\nb \n=== evidence ===\n- one\n\n2) two\n=== DEFECT CONFIDENCE ===\n85% ambiguous\n"
-    got = each(spark, [text, "", None], A.section(F.col("t"), "CAUSE", ("EVIDENCE",)), A.listed(A.section(F.col("t"), "EVIDENCE", ("DEFECT CONFIDENCE",))), A.confidence(A.section(F.col("t"), "DEFECT CONFIDENCE")), A.report_class(F.col("t")))
+    got = each(spark, [text, "", None], A.section(F.col("t"), "CAUSE", ("EVIDENCE",)), A.numbered(A.section(F.col("t"), "EVIDENCE", ("DEFECT CONFIDENCE",))), A.confidence(A.section(F.col("t"), "DEFECT CONFIDENCE")), A.report_class(F.col("t")))
     assert got == [("a\nb", ["one", "two"], 0.85, "ambiguous"), ("", [], 0.95, "confirmed_code_defect"), ("", [], 0.95, "confirmed_code_defect")]
     assert each(spark, ["0.4", "1", "1.5", "100", "250"], A.confidence(F.col("t"))) == [0.4, 1.0, 0.015, 1.0, 0.95]
 
