@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that written() has made and forget() has not deleted.
+WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table; the path goes to Spark as it is, whatever the file system."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine) a temporary folder is set once."""
+    Where a local session has none (tests on one machine) a temporary folder is set once; on a cluster
+    it would be one machine's own, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -34,13 +41,27 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    WRITTEN.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
 def forget(df: DataFrame | None) -> None:
     """Deletes the table behind a written() frame, once nothing reads it any more."""
     path = getattr(df, "_quern_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def forget_since(spark: SparkSession, mark: int, but: DataFrame | None = None) -> None:
+    """Deletes the tables written after ``mark``, a length of WRITTEN, but for one: what a finished step leaves behind."""
+    keep = getattr(but, "_quern_path", None)
+    for path in WRITTEN[mark:]:
+        if path != keep:
+            _delete(spark, path)
