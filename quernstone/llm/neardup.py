@@ -38,6 +38,8 @@ BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 EMPTY = np.uint64(2**64 - 1)
 SMALL, BLOCK = 64, 1000
+#: Pairs of one pivot that a copy of its set serves.
+PER_COPY = 256
 
 
 def sketch(x: np.ndarray, edges: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -103,12 +105,18 @@ def _sets(width: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. Merge joins, which split hot pivots' partitions."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge").join(pairs, "a")
+    """The pairs (a, b) whose full shingle sets reach the similarity. A pivot's pairs are dealt to as many tasks as they fill PER_COPY times, each with a copy of the pivot's set."""
+    hot = written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PER_COPY).select("a", F.ceil(F.col("n") / PER_COPY).cast("int").alias("copies")))
+    salted = pairs.join(hot, "a", "left").select("a", "b", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("copies"))).cast("int").alias("salt"))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    more = one.join(hot, "a").select("a", "x", F.explode(F.sequence(F.lit(1), F.col("copies") - 1)).alias("salt"))
+    left = one.withColumn("salt", F.lit(0)).unionByName(more).hint("merge").join(salted, ["a", "salt"])
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     total = F.size("x") + F.size("y") - F.col("common")
-    return written(both.where((total > 0) & (100 * F.col("common") >= percent * total)).select("a", "b").distinct())
+    out = written(both.where((total > 0) & (100 * F.col("common") >= percent * total)).select("a", "b").distinct())
+    forget(hot)
+    return out
 
 
 def least_agreement(percent: int) -> int:
@@ -125,8 +133,10 @@ def _crossing(least: int, percent: int, verify: bool):
         comp = comp.copy()
         sk = np.frombuffer(b"".join(rows.column("digest").to_pylist()), np.uint8).reshape(-1, BINS)
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        sets = rows.column("shingles").to_pylist() if verify else None
-        sets = [np.array(x, np.int64) for x in sets] if verify else None
+        if verify:  # views of one array, no lists
+            lists = rows.column("shingles").combine_chunks()
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            sets = [values[s:e] for s, e in zip(ends[:-1], ends[1:])]
         i, j, bucket = (rows.column(c)[0].as_py() for c in ("i", "j", "bucket"))
         band = int(np.flatnonzero(bands[0] == bucket)[0])
         right = np.flatnonzero(blk == j)
@@ -238,15 +248,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are not the first of their group, with docs' own columns. Of rows with one id a single one stays."""
-    out = near_duplicates(docs, width, percent).where("doc_id IS NOT NULL")
-    dropped = written(out.where("NOT kept").select("doc_id").distinct())
-    twice = written(out.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that are not the first of their group, with docs' own columns.
+
+    Rows with equal id and text are one document, of which one row stays. Rows with one id and different texts are
+    documents of their own here, each kept or dropped by its own text, so that none is lost with the other; rows with a
+    null id stay."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_i"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
+    ided = rows.where("_i IS NOT NULL")
+    ids = ided.groupBy("_i").agg(F.count("*").alias("n"), F.min("_h").alias("x"), F.max("_h").alias("y")).where("n > 1")
+    ids = written(ids.select("_i", (F.col("x") != F.col("y")).alias("split")))
+    repeated = not ids.isEmpty()
+    if repeated and not ids.where("split").isEmpty():
+        # numbers that rise with id and text: range partitions in order
+        numbers = written(ided.select("_i", "_h").distinct().repartitionByRange("_i", "_h").sortWithinPartitions("_i", "_h").withColumn("_n", F.monotonically_increasing_id()))
+        rows = rows.join(numbers.hint("merge"), ["_i", "_h"], "left")
+    else:
+        rows = rows.withColumn("_n", F.col("_i"))
+    out = near_duplicates(rows.where("_n IS NOT NULL"), width, percent, "_n", "_t")
+    dropped = written(out.where("NOT kept").select(F.col("doc_id").alias("_n")).distinct())
+    kept = rows.join(dropped, "_n", "left_anti")
+    if repeated:
+        twice = kept.join(ids.select("_i"), "_i", "left_semi")
+        kept = kept.join(ids.select("_i"), "_i", "left_anti").unionByName(twice.dropDuplicates(["_i", "_t"]))
+    return kept.select("_row.*")
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

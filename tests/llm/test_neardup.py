@@ -75,3 +75,23 @@ def test_other_text_of_an_id_is_not_in_its_buckets(spark, monkeypatch, small):
         want |= {i: i, 100 + i: 100 + i if i else i}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 4).collect()} == want
+
+
+def test_no_text_is_lost_with_another_of_its_id(spark):
+    words = lambda k, n=40: [f"{k}{i}" for i in range(n)]
+    a, b, c = " ".join(words("a")), " ".join(words("b")), " ".join(words("c"))
+    rows = [(1, a), (2, a + " z"), (2, b), (2, b), (3, b + " z"), (4, c), (4, c), (5, c + " z"), (None, a), (6, None), (6, "")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, _row string")
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(repr(tuple(r)[:2]) for r in kept.collect()) == sorted(map(repr, [(1, a), (2, b), (4, c), (None, a), (6, None), (6, "")]))
+
+
+def test_pivots_of_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PER_COPY", 3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: rng.randrange(60)], f"x{i}", *base[rng.randrange(60) :]])) for i in range(30)]
+    rows += [(100 + i, " ".join(base + [f"y{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(neardup.near_duplicates(df, 4)) == near(rows)
