@@ -47,6 +47,7 @@ REACH = WIDTH - NAME  # a string holds the starts of REACH + 1 names
 HALF = REACH // 2
 HOT = 2000  # suffixes of one name in different slices or surroundings, from which its strings travel by their own names
 CHUNK, SLICE_BYTES = 1_000_000, 1_500_000
+BUCKET_BYTES = 64 * 2**20  # text for each bucket; there are as many as the shuffle has partitions at least
 SLICE_ROWS = 2**15  # texts of a slice have numbers of 15 bits
 LOW = np.uint64(0xFFFFFFFF)
 PLACE = np.uint64(0xFFFFFF)
@@ -536,7 +537,8 @@ def repeated_spans(docs: DataFrame, base: DataFrame, doc_id: str = "doc_id", tex
     base meets the names here and the spans later; both joins have the same keys and need all of its columns, so that Spark shuffles the texts once."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND octet_length(text) >= " + str(WIDTH))
-    bits = max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one row
+    bits = max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (total // BUCKET_BYTES).bit_length())
     sent = docs.mapInArrow(_send_names(bits), "bucket int, slice long, names binary, local binary, docs binary")
     answers = sent.groupBy("bucket").applyInArrow(_keyed_merge, ANSWER)
     shared = written(answers.groupBy("slice").applyInArrow(_by_document, "doc_id long, print long, shared binary").dropDuplicates(["doc_id", "print", "shared"]))
