@@ -5,7 +5,8 @@ transition weight says how much neighbouring lines agree. Forward-backward gives
 probability of being good, and their mean, weighted by the lines' bytes, is the document's quality,
 calibrated by a logistic curve on the training documents.
 
-Training lines carry their document's label. The model is fitted on the driver on a bounded sample:
+Training lines carry their document's label, so the transition weight learns only how far neighbours agree; that all
+lines of a document agree in training is a limit of the labels. The model is fitted on the driver on a bounded sample:
 the FIT_DOCS labelled documents with the least md5 of their id, whose features come back as numbers
 for at most FIT_LINES lines a document (a document with more is left out of the sample). Scores use
 whole texts, and nothing but the text.
@@ -17,6 +18,8 @@ without any usable label every score is 0.5; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,15 +112,36 @@ def chain(unary: np.ndarray, owner: np.ndarray, stay: float) -> tuple[np.ndarray
     first, length, _ = _grid(owner)
     ahead, behind = np.zeros(len(unary)), np.zeros(len(unary))
     step = lambda m: np.logaddexp(m + stay, 0) - np.logaddexp(m, stay)
-    for t in range(1, length[0] if len(length) else 0):
+    longest = int(length[0]) if len(length) else 0
+    second = max(int(length[1]), 1) if len(length) > 1 else min(longest, 1)
+    # texts side by side; where the longest alone goes on, plain floats are faster than arrays of one
+    for t in range(1, second):
         at = first[: np.searchsorted(-length, -t, "left")] + t
         ahead[at] = step(ahead[at - 1] + unary[at - 1])
-    for t in range((length[0] if len(length) else 0) - 2, -1, -1):
+    if longest > second:
+        a = int(first[0])
+        _single(ahead, unary, range(a + second, a + longest), -1, stay)
+        _single(behind, unary, range(a + longest - 2, a + second - 2, -1), 1, stay)
+    for t in range(min(second, longest) - 2, -1, -1):
         at = first[: np.searchsorted(-length, -(t + 1), "left")] + t
         behind[at] = step(behind[at + 1] + unary[at + 1])
     return ahead, behind, ahead + unary + behind
 
 
+def _single(out: np.ndarray, unary: np.ndarray, places: range, from_: int, stay: float) -> None:
+    """The recursion of one text over its lines at places, each from the line ``from_`` beside it."""
+    if not len(places):
+        return
+    lo = min(places[0], places[-1], places[0] + from_)
+    hi = max(places[0], places[-1], places[0] + from_) + 1
+    u, x = unary[lo:hi].tolist(), out[lo:hi].tolist()
+    for i in places:
+        m = x[i + from_ - lo] + u[i + from_ - lo]
+        up, down = m + stay, m - stay
+        x[i - lo] = (max(up, 0.0) + math.log1p(math.exp(-abs(up)))) - (max(m, stay) + math.log1p(math.exp(-abs(down))))
+    out[lo:hi] = x
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 

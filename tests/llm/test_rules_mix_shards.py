@@ -67,6 +67,13 @@ def check_shards(rows, docs):
         assert sorted(r.slot for r in rs) == list(range(len(rs)))
     order = sorted(rows, key=lambda r: (r.shard, r.slot))
     assert [r.doc_id or -(10**9) for r in order] == sorted(r.doc_id or -(10**9) for r in rows)
+    # the plain version: bytes before a row's middle, in the order of id, checksum and size, cut at equal targets
+    plain = sorted((d is not None, d or 0, zlib.crc32((t or "").encode()), size(t)) for d, t in docs)
+    total, at, want = sum(p[3] for p in plain), 0, []
+    for known, d, crc, n in plain:
+        want.append((d if known else None, crc, n, min(23, (2 * at + n) * 24 // (2 * total))))
+        at += n
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text_crc32, r.size, r.shard)) for r in rows)
     return [sum(r.size for r in by.get(s, [])) for s in range(24)]
 
 
