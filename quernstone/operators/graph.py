@@ -20,10 +20,13 @@ def with_inverse(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, of: str, other: str, most: int = 10) -> DataFrame:
-    """of, number of distinct others, and the first ``most`` of them by value. The list is cut by a ranked window, so it never holds a whole hub."""
+    """of, number of distinct others, and the first ``most`` of them by value. The number is an aggregate; the list is cut by
+    a rank that Spark limits before the shuffle, so no task sorts a whole hub."""
     pairs = edges.select(of, other).distinct()
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy(of).orderBy(other)))
-    return ranked.groupBy(of).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col(other)))).cast("array<string>"), ",").alias("first"))
+    n = pairs.groupBy(of).agg(F.count("*").alias("n"))
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy(of).orderBy(other))).where(F.col("r") <= most)
+    first = first.groupBy(F.col(of).alias("_of")).agg(F.array_join(F.array_sort(F.collect_list(other)).cast("array<string>"), ",").alias("first"))
+    return n.join(first, F.col(of).eqNullSafe(F.col("_of"))).select(of, "n", "first")
 
 
 def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def folded(log: DataFrame, key: str, order: str, kind: str, steps: dict[str, tup
     """A confidence in hundredths, moved by each event in order and clamped by it, as ``confidence`` in [0, 1].
 
     An update is c -> min(hi, max(lo, c + d)), and such updates compose to one of the same form. So
-    chunks of CHUNK ids fold on their own, in parallel, and a key folds its chunks: a hot key is no
-    single task's burden."""
+    chunks of CHUNK ids fold on their own, in parallel, then CHUNK chunks, and a key folds what is left: a
+    hot key is no single task's burden, and no list is longer than CHUNK, up to CHUNK cubed ids."""
     far = 10**12
     one = lambda i, f: F.expr(f"CASE x.k {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v[i] if v[i] is not None else f}' for k, v in steps.items())} ELSE {other[i] if other[i] is not None else f} END")
     log = log.select(key, F.struct(F.col(order).alias("o"), F.col(kind).alias("k")).alias("x"), F.floor(F.col(order) / CHUNK).alias("chunk"))
@@ -60,6 +60,9 @@ def folded(log: DataFrame, key: str, order: str, kind: str, steps: dict[str, tup
 
     chunks = log.groupBy(key, "chunk").agg(F.array_sort(F.collect_list("u")).alias("us"))
     chunks = chunks.select(key, "chunk", F.size("us").cast("long").alias("n"), fold(F.col("us")).alias("f"))
-    whole = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"), F.sum("n").alias("n_updates"))
-    whole = whole.withColumn("f", fold(F.transform("fs", lambda x: x["f"])))
+    for level in (F.floor(F.col("chunk") / CHUNK), None):
+        keys = [key] if level is None else [key, level.alias("above")]
+        up = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"), F.sum("n").alias("n"))
+        chunks = up.select(key, *([] if level is None else [F.col("above").alias("chunk")]), "n", fold(F.transform("fs", lambda x: x["f"])).alias("f"))
+    whole = chunks.withColumnRenamed("n", "n_updates")
     return whole.select(key, (F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.lit(start) + F.col("f.d"))) / 100).alias("confidence"), "n_updates")

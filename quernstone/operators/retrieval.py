@@ -32,54 +32,6 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str) -> DataFrame:
-    """query_id, doc_id and the self-normalised score in [0, 1] of every pair that shares a term."""
-    q = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    body = docs.select(F.col(doc_id).alias("d"), T.tokens(F.col("text")).alias("toks"))
-    stats = body.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    # one scan gives tf and length; the terms of the queries are few, so only their postings go on
-    posts = body.select("d", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("d", "dl", "term").agg(F.count("*").alias("tf"))
-    weights = idf(posts.select("term"), stats.select("n_docs"))
-    # a term that no document holds still counts in the denominator, at df 0
-    qw = q.join(weights, "term", "left").crossJoin(F.broadcast(stats.select("n_docs"))).withColumn("idf", F.coalesce("idf", F.greatest(F.lit(0.1), F.log((F.col("n_docs") + 0.5) / 0.5 + 1))))
-    best = qw.groupBy("q").agg(F.sum(F.col("idf") * (K1 + 1)).alias("most"))
-    hits = posts.join(qw.select("q", "term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    score = hits.withColumn("part", part).groupBy("q", "d").agg(F.sum("part").alias("part")).join(best, "q")
-    return score.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.round(T.clipped(F.col("part") / F.col("most")), 4).alias("score"))
-
-
-def gram_cosine(query: DataFrame, docs: DataFrame, doc_id: str) -> DataFrame:
-    """doc_id and the cosine of 3-gram counts with the one query text, for documents that share a gram."""
-    grams_of = lambda df, *k: df.select(*k, F.explode(T.grams(F.col("t"))).alias("g"), "tn").groupBy(*k, "g").agg(F.sum("tn").alias("n"))
-    words_of = lambda df, *k: df.select(*k, F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(*k, "t").agg(F.count("*").alias("tn"))
-    q = grams_of(words_of(query)).withColumnRenamed("n", "qn")
-    # words are counted before they are cut; the texts go by document, so that no gram is shuffled
-    d = grams_of(words_of(docs.select(doc_id, "text").repartition(doc_id), doc_id), doc_id)
-    d = d.join(q, "g", "left").groupBy(doc_id).agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    norm = q.agg(F.sum(F.col("qn") * F.col("qn")).alias("qq"))
-    return d.where("dot > 0").crossJoin(F.broadcast(norm)).select(doc_id, F.round(F.least(F.lit(1.0), F.col("dot") / (F.sqrt("nn") * F.sqrt("qq"))), 4).alias("score"))
-
-
-def gram_cosines(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str) -> DataFrame:
-    """query_id, doc_id and the cosine of 3-gram counts of every pair that shares a gram."""
-    grams_of = lambda df, k: df.select(k, F.explode(T.grams(F.col("t"))).alias("g"), "tn").groupBy(k, "g").agg(F.sum("tn").alias("n"))
-    words_of = lambda df, k: df.select(k, F.explode(T.tokens(F.col("text"))).alias("t")).groupBy(k, "t").agg(F.count("*").alias("tn"))
-    norm_of = lambda df, k, name: df.groupBy(k).agg(F.sum(F.col("n") * F.col("n")).alias(name))
-    q = grams_of(words_of(queries, query_id), query_id)
-    d = grams_of(words_of(docs.select(doc_id, "text").repartition(doc_id), doc_id), doc_id)
-    dots = d.join(q.withColumnRenamed("n", "qn"), "g").groupBy(query_id, doc_id).agg(F.sum(F.col("n") * F.col("qn")).alias("dot"))
-    out = dots.join(norm_of(d, doc_id, "nn"), doc_id).join(norm_of(q, query_id, "qq"), query_id)
-    return out.select(query_id, doc_id, F.round(F.least(F.lit(1.0), F.col("dot") / (F.sqrt("nn") * F.sqrt("qq"))), 4).alias("score"))
-
-
-def fused(channels: DataFrame, mention: Column) -> Column:
-    """The weighted sum of the six channel columns and the mention bonus."""
-    total = sum((F.lit(w) * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
-    return F.round(total + 0.10 * mention, 4)
-
-
 def overlapping(docs: DataFrame, doc_id: str, block: str, share: int = 75) -> DataFrame:
     """doc_id, the number of earlier documents of its block that hold over ``share`` percent of the smaller token set, and the first of them.
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.sources.tables import written
+
 
 def cochange(items: DataFrame, commit: str, item: str, k: int = 5) -> DataFrame:
-    """item, partner, commits that hold both, and the partner's rank among the first k."""
+    """item, partner, commits that hold both, and the partner's rank among the first k. The pairs of a commit grow with the square of its items, as the counts asked for do; commits hold few."""
     i = items.select(commit, item).distinct()
     pairs = i.join(i.withColumnRenamed(item, "partner"), commit).where(F.col(item) != F.col("partner"))
     n = pairs.groupBy(item, "partner").agg(F.count("*").alias("together"))
@@ -23,3 +25,20 @@ def recent(df: DataFrame, by: str, order: list[Column], n: int = 15) -> DataFram
 
 def churn(commits: Column, fixes: Column) -> Column:
     return F.round(F.least(F.lit(1.0), commits / 20 + fixes / 5 * 0.5), 3)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """df with each row's place in its group, for few groups of any size.
+
+    Rows are dealt into ranges of (by, order), counted in each, and the counts of the ranges before are added: no task holds
+    a whole group. The order must tell rows apart."""
+    keys = [F.col(b).asc() for b in by]
+    ranges = written(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    n = ranges.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    out = ranges.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    return out.join(n, same).select(*df.columns, (F.col("_before") + F.col("_nth")).alias(rank))

@@ -162,6 +162,7 @@ def diversified_topk(spark, d):
 WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_brand) n, p_retailprice / max(p_retailprice) OVER (PARTITION BY p_brand) rel FROM part)
 SELECT p_brand, p_partkey, round((n - pos) / n, 4) AS rank_score, round(1 / (1 + 0.1::DOUBLE * pos), 4) AS neighbour_score, round(rel, 4) AS relative FROM r""")
 def list_rank_score(spark, d):
-    w = Window.partitionBy("p_brand")
-    r = table(spark, d, "part").withColumns({"pos": F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1, "n": F.count("*").over(w), "top": F.max("p_retailprice").over(w)})
+    p = table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    group = p.groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("top"))
+    r = H.numbered(p, ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")]).withColumn("pos", F.col("rank") - 1).join(group, "p_brand")
     return r.select("p_brand", "p_partkey", F.round((F.col("n") - F.col("pos")) / F.col("n"), 4).alias("rank_score"), F.round(1 / (1 + 0.1 * F.col("pos")), 4).alias("neighbour_score"), F.round(F.col("p_retailprice") / F.col("top"), 4).alias("relative"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quernstone.functions import text as T
 from quernstone.operators import ledger as L
 from quernstone.operators import rules as Q
+from quernstone.operators.temporal import numbered
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -55,7 +56,7 @@ SELECT 'error@' || k AS cluster_key, n, n_users, first_event, row_number() OVER
 def regression_clusters(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'").withColumn("cluster_key", F.concat(F.lit("error@"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("-"))))
     g = e.groupBy("cluster_key").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.min("event_id").alias("first_event"))
-    return g.withColumn("cluster_id", F.row_number().over(Window.orderBy("first_event")).cast("long"))
+    return numbered(g, [], [F.asc("first_event")], "cluster_id")
 
 
 OUTCOME = """o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus st, o_orderpriority pr, o_totalprice tp, count(l_orderkey) total, count(*) FILTER (l_returnflag = 'A') f2p, count(*) FILTER (l_returnflag IN ('A','R')) f2p_total, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') p2p, count(*) FILTER (l_returnflag = 'N') p2p_total
@@ -146,7 +147,7 @@ def hypothesis_rank(spark, d):
     n = F.col("n")
     x = F.least(F.lit(75.0), 100 * F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000)) - F.when(n == 0, 40.0).otherwise(0.0) - F.least(F.lit(35), 15 * F.col("unexplained")) + F.when(F.col("tests") > 0, 10.0).otherwise(0.0) + F.when(n > 20, -25.0).when(n <= 5, 20.0).otherwise(0.0)
     h = h.withColumn("x", x).select("c_custkey", "c_mktsegment", F.round("x", 4).alias("score"), (F.col("x") < 20).alias("eliminated"))
-    return h.withColumn("rank", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("eliminated", F.desc("score"), "c_custkey")).cast("long"))
+    return numbered(h, ["c_mktsegment"], [F.asc("eliminated"), F.desc("score"), F.asc("c_custkey")])
 
 
 @query("site_rank", """
@@ -163,7 +164,7 @@ def site_rank(spark, d):
         (c("callers") > 3, -F.least(F.lit(40.0), 4.0 * c("callers"))), (c("p_size") <= 30, 30.0), (c("p_size") > 45, -20.0), (c("p_type").contains("TIN"), -100.0),
     )
     p = p.select("p_brand", "p_partkey", F.when(c("l_partkey").isNull(), 100.0).otherwise(score).alias("score"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey")).cast("long"))
+    return numbered(p, ["p_brand"], [F.desc("score"), F.asc("p_partkey")])
 
 
 @query("best_evidence_link", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import retrieval as R
 from quernstone.operators import rules
+from quernstone.operators import search as X
 from quernstone.operators.temporal import churn
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
@@ -45,8 +46,8 @@ bm AS (SELECT item_id, doc_id, round(least(1, greatest(0, x / most)), 4) AS scor
 
 @query("bm25_topk", f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm) SELECT * FROM r WHERE rank <= 10")
 def bm25_topk(spark, d):
-    s = R.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
-    return R.top(s, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    hits = X.searched(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 10, "lexical")
+    return hits.select("item_id", "doc_id", F.col("lexical").alias("score"), "rank")
 
 
 GRAMS = "unnest(list_transform(range(1, greatest(length(t), 1) + 1), lambda i: substr('^' || t || '$', i, 3)))"
@@ -63,7 +64,26 @@ def first_item(spark, d):
 
 @query("trigram_cosine_topk", f"WITH {COSINE} SELECT doc_id, score FROM cs ORDER BY score DESC, doc_id LIMIT 10")
 def trigram_cosine_topk(spark, d):
-    return R.gram_cosine(first_item(spark, d), table(spark, d, "documents"), "doc_id").orderBy(F.desc("score"), "doc_id").limit(10)
+    return _cosine(first_item(spark, d), table(spark, d, "documents")).orderBy(F.desc("score"), "doc_id").select("doc_id", "score")
+
+
+def _cosine(items, docs):
+    """The first ten documents of each item by the cosine of gram counts."""
+    return X.searched(items, docs, "item_id", "doc_id", 10, "dense").select("item_id", "doc_id", F.col("dense").alias("score"), "rank")
+
+
+def with_static(docs, labels):
+    """doc_id, text and the channels that a document has by its source: languages, churn and labels."""
+    per_source = docs.select("doc_id", "source", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left").groupBy(F.col("source").alias("s")).agg(
+        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 0).alias("fixes"), F.countDistinct("lang").alias("langs"))
+    return docs.join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
+        "doc_id", "text", F.least(F.lit(1.0), F.col("langs") / 10).alias("graph"), churn(F.col("n"), F.col("fixes")).alias("temporal"), F.least(F.lit(1.0), F.col("labelled") / 5).alias("test"))
+
+
+def _fusion(spark, d, items):
+    """The first ten documents of each item by the fused channels."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return X.searched(items, with_static(docs, table(spark, d, "labels")), "item_id", "doc_id", 10)
 
 
 @query("hybrid_fusion_topk", f"""
@@ -75,22 +95,7 @@ ch AS (SELECT d.doc_id, coalesce(bm.score, 0) lexical, coalesce(cs.score, 0) den
 SELECT doc_id, lexical, dense, graph, traceback, temporal, test, round(0.0 + 0.25*lexical + 0.15*dense + 0.2*graph + 0.2*traceback + 0.1*temporal + 0.1*test + 0.1*mention, 4)::DOUBLE AS score
 FROM ch ORDER BY score DESC, doc_id LIMIT 10""")
 def hybrid_fusion_topk(spark, d):
-    docs, item = table(spark, d, "documents"), first_item(spark, d)
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    per_source = docs.select("doc_id", "source", "lang").join(labels, "doc_id", "left").groupBy("source").agg(
-        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 0).alias("fixes"), F.countDistinct("lang").alias("langs"))
-    lexical = R.bm25(item, docs, "item_id", "doc_id").select("doc_id", F.col("score").alias("lexical"))
-    dense = R.gram_cosine(item, docs, "doc_id").withColumnRenamed("score", "dense")
-    q = item.select(T.tokens(F.col("text")).alias("qt"))
-    per_source = per_source.withColumnRenamed("source", "s")
-    c = docs.select("doc_id", "source", T.tokens(F.col("text")).alias("toks")).join(per_source, F.col("source").eqNullSafe(F.col("s"))).crossJoin(F.broadcast(q))
-    c = c.join(lexical, "doc_id", "left").join(dense, "doc_id", "left")
-    one = lambda i: F.array_contains("toks", F.get("qt", F.lit(i)))
-    c = c.select(
-        "doc_id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("dense", F.lit(0.0)).alias("dense"), F.least(F.lit(1.0), F.col("langs") / 10).alias("graph"),
-        F.when(one(0), 1.0).otherwise(0.0).alias("traceback"), churn(F.col("n"), F.col("fixes")).alias("temporal"), F.least(F.lit(1.0), F.col("labelled") / 5).alias("test"), F.when(one(1), 1).otherwise(0).alias("mention"),
-    )
-    return c.withColumn("score", R.fused(c, F.col("mention"))).drop("mention").orderBy(F.desc("score"), "doc_id").limit(10)
+    return _fusion(spark, d, first_item(spark, d)).orderBy(F.desc("score"), "doc_id").drop("item_id", "rank")
 
 
 COSINES = f"""
@@ -102,8 +107,7 @@ ics AS (SELECT item_id, doc_id, round(least(1, dot / (sqrt(nn) * sqrt(qq))), 4)
 @query("trigram_cosine_each", f"WITH {COSINES}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ics) SELECT * FROM r WHERE rank <= 10")
 def trigram_cosine_each(spark, d):
     """The first ten documents of every benchmark item."""
-    s = R.gram_cosines(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
-    return R.top(s, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    return _cosine(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 @query("hybrid_fusion_each", f"""
@@ -116,24 +120,7 @@ r AS (SELECT item_id, doc_id, round(0.0 + 0.25*lexical + 0.15*dense + 0.2*graph
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
 def hybrid_fusion_each(spark, d):
     """The first ten documents of every benchmark item by the fused channels."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", "text")
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    per_source = docs.select("doc_id", "source", "lang").join(labels, "doc_id", "left").groupBy(F.col("source").alias("s")).agg(
-        F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 0).alias("fixes"), F.countDistinct("lang").alias("langs"))
-    static = docs.select("doc_id", "source").join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", F.least(F.lit(1.0), F.col("langs") / 10).alias("graph"), churn(F.col("n"), F.col("fixes")).alias("temporal"), F.least(F.lit(1.0), F.col("labelled") / 5).alias("test"))
-    lexical = R.bm25(items, docs, "item_id", "doc_id").withColumnRenamed("score", "lexical")
-    dense = R.gram_cosines(items, docs, "item_id", "doc_id").withColumnRenamed("score", "dense")
-    # the first two words of an item, looked up among the documents' words
-    words = items.select("item_id", F.posexplode(F.slice(T.tokens(F.col("text")), 1, 2)).alias("at", "term"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(words, "term")
-    held = held.groupBy("item_id", "doc_id").agg(F.max((F.col("at") == 0).cast("double")).alias("traceback"), F.max((F.col("at") == 1).cast("int")).alias("mention"))
-    c = static.crossJoin(items.select("item_id"))
-    for channel in (lexical, dense, held):
-        c = c.join(channel, ["item_id", "doc_id"], "left")
-    c = c.fillna(0, ["lexical", "dense", "traceback", "mention"])
-    c = c.withColumn("score", R.fused(c, F.col("mention")))
-    return R.top(c.select("item_id", "doc_id", "score"), ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    return _fusion(spark, d, table(spark, d, "benchmark").select("item_id", "text")).select("item_id", "doc_id", "score", "rank")
 
 
 @query("jaccard_exemplars", f"""
@@ -314,11 +301,19 @@ def url_path_parse(spark, d):
 
 
 @query("manifest_fingerprint", """
-SELECT source, count(*) AS n, substr(sha256(string_agg(doc_id::VARCHAR || ':' || sha256(coalesce(text, '')), '|' ORDER BY bucket, doc_id)), 1, 0) || substr(sha256(string_agg(DISTINCT part, '|' ORDER BY part)), 1, 16) AS fingerprint
-FROM (SELECT *, bucket::VARCHAR || '=' || sha256(string_agg(doc_id::VARCHAR || ':' || sha256(coalesce(text, '')), '|') OVER (PARTITION BY source, bucket ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS part FROM (SELECT *, doc_id % 64 bucket FROM documents)) GROUP BY source""")
+WITH l0 AS (SELECT source, doc_id // 4096 AS b, doc_id, doc_id::VARCHAR || ':' || sha256(coalesce(text, '')) AS h FROM documents),
+l1 AS (SELECT source, b // 4096 AS c, b, count(*) AS n, b::VARCHAR || '=' || sha256(string_agg(h, '|' ORDER BY doc_id, h)) AS h FROM l0 GROUP BY source, b),
+l2 AS (SELECT source, c, sum(n) AS n, c::VARCHAR || '=' || sha256(string_agg(h, '|' ORDER BY b)) AS h FROM l1 GROUP BY source, c)
+SELECT source, sum(n)::BIGINT AS n, substr(sha256(string_agg(h, '|' ORDER BY c)), 1, 16) AS fingerprint FROM l2 GROUP BY source""")
 def manifest_fingerprint(spark, d):
-    """A digest of each source's documents, in two levels: of each bucket's sorted list, then of the 64 bucket digests."""
-    docs = table(spark, d, "documents").select("source", "doc_id", (F.col("doc_id") % 64).alias("bucket"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"]))
-    part = docs.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.concat(F.col("bucket").cast("string"), F.lit("="), F.sha2(F.array_join(rows, "|").cast("binary"), 256)).alias("part"))
-    return part.groupBy("source").agg(F.sum("n").alias("n"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("part")), "|").cast("binary"), 256), 1, 16).alias("fingerprint"))
+    """A digest of each source's documents, by a tree: of ranges of 4,096 ids, of 4,096 such ranges, and of those. No list is longer, whatever the number of documents."""
+    docs = table(spark, d, "documents").select("source", F.expr("doc_id div 4096").alias("b"), F.col("doc_id").alias("o"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("h"), F.lit(1).cast("long").alias("n"))
+
+    def digest(df, *keys):
+        parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "|")
+        return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sha2(parts.cast("binary"), 256).alias("s"))
+
+    named = lambda df, key, *keys: df.select("source", *keys, F.col(key).alias("o"), F.concat(F.col(key).cast("string"), F.lit("="), "s").alias("h"), "n")
+    one = named(digest(docs, "source", "b").withColumn("c", F.expr("b div 4096")), "b", "c")
+    two = named(digest(one, "source", "c"), "c")
+    return digest(two, "source").select("source", "n", F.substring("s", 1, 16).alias("fingerprint"))

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import graph, retrieval, rules, spans, temporal
+from quernstone.operators import graph, rules, search, spans, temporal
 from quernstone.sources import code
 from quernstone.streaming import intake
 
@@ -91,8 +91,21 @@ def test_hand_worked_formulas(spark):
 def test_empty_texts_score_nothing(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None)], "doc_id long, text string")
     q = spark.createDataFrame([(1, "alpha gamma"), (2, None)], "item_id long, text string")
-    rows = retrieval.bm25(q, docs, "item_id", "doc_id").collect()
-    assert [(r.item_id, r.doc_id) for r in rows] == [(1, 1)] and 0 < rows[0].score <= 1
+    rows = search.searched(q, docs, "item_id", "doc_id", 5, "lexical").collect()
+    assert [(r.item_id, r.doc_id) for r in rows] == [(1, 1)] and 0 < rows[0].lexical <= 1
+    assert search.searched(q.limit(0), docs, "item_id", "doc_id", 5).count() == 0 == search.searched(q, docs.limit(0), "item_id", "doc_id", 5).count()
+
+
+def test_search_in_several_passes_and_slices(spark, sf, monkeypatch):
+    docs, q = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    for by in ("lexical", "dense", "score"):
+        rows = lambda: sorted(map(repr, search.searched(q, docs.repartition(3), "item_id", "doc_id", 4, by).collect()))  # noqa: B023, E731
+        want = rows()
+        with monkeypatch.context() as m:
+            m.setattr(search, "MOST_WORDS", 300)
+            assert rows() == want
+    few = search.Weights([(1, ["ab", "abc"])], {}, 3, 2.0)
+    assert len(few.words) == 2 and [tuple(x) for x in zip(*search.gram_codes(few.words))] == [(94 | 97 << 7 | 98 << 14, 0), (97 | 98 << 7 | 36 << 14, 0), (94 | 97 << 7 | 98 << 14, 1), (97 | 98 << 7 | 99 << 14, 1), (98 | 99 << 7 | 36 << 14, 1)]
 
 
 def test_innermost_span(spark):
