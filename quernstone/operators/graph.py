@@ -54,3 +54,64 @@ def resolved(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     by = lambda key, tag: s.join(nodes.select(key.alias("symbol"), "id"), "symbol").withColumn("tier", F.lit(tag))
     found = by(F.col("id"), 1).unionByName(by(F.col("name"), 2)).unionByName(by(F.regexp_extract("id", "([^:.]+)$", 1), 3))
     return found.groupBy("symbol").agg(F.min(F.struct("tier", "id")).alias("m")).select("symbol", F.col("m.tier").cast("long").alias("tier"), F.col("m.id").alias("id"))
+
+
+SYMBOL = "symbol:"
+
+
+def concrete(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose placeholder targets, symbol:<name>, are the nodes of that name; one that names no node stays. One edge for each (src, dst, kind)."""
+    named = nodes.select(F.col("name").alias("_name"), F.col("id").alias("_id"))
+    open_ = edges.where(F.col("dst").startswith(SYMBOL)).select("src", "dst", "kind", F.expr(f"substring(dst, {len(SYMBOL) + 1})").alias("_name"))
+    found = open_.join(named, "_name", "left").select("src", F.coalesce("_id", "dst").alias("dst"), "kind")
+    return edges.where(~F.col("dst").startswith(SYMBOL)).select("src", "dst", "kind").unionByName(found).distinct()
+
+
+def related(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] | None = None, out: bool = True, into: bool = True) -> DataFrame:
+    """node and other, distinct, along edges of the kinds: what a node points at, what points at it, or both. Only nodes count."""
+    e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+    one = lambda a, b: e.select(F.col(a).alias("node"), F.col(b).alias("other"))
+    pairs = [one(a, b) for a, b, wanted in (("src", "dst", out), ("dst", "src", into)) if wanted]
+    pairs = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
+    ids = nodes.select("id")
+    return pairs.distinct().join(ids, F.col("other") == F.col("id"), "left_semi").join(ids, F.col("node") == F.col("id"), "left_semi")
+
+
+def tests_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and other: tests, by kind or by path, that test or call the node."""
+    tests = nodes.where((F.col("kind") == "TEST") | F.lower("path").contains("test")).select(F.col("id").alias("_t"))
+    return related(edges, nodes, ("TESTS", "CALLS"), out=False).join(tests, F.col("other") == F.col("_t"), "left_semi")
+
+
+def ancestry(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, relation and name of each class: its bases, placeholders by their name, and its subclasses."""
+    classes = nodes.where("kind = 'CLASS'").select(F.col("id").alias("node"))
+    e = edges.where("kind = 'INHERITS'")
+    bases = e.select(F.col("src").alias("node"), F.lit("base").alias("relation"), F.regexp_replace("dst", f"^{SYMBOL}", "").alias("name"))
+    subs = e.join(nodes.select(F.col("id").alias("src"), "name"), "src").select(F.col("dst").alias("node"), F.lit("subclass").alias("relation"), "name")
+    return bases.unionByName(subs).distinct().join(classes, "node", "left_semi")
+
+
+def imports_of(edges: DataFrame) -> DataFrame:
+    """node, relation and name: what a module imports and what imports it, without the kinds before the colon."""
+    e = edges.where("kind = 'IMPORTS'")
+    bare = lambda c: F.regexp_replace(c, "^(module:|symbol:)", "")
+    out = e.select(F.col("src").alias("node"), F.lit("imported").alias("relation"), bare("dst").alias("name"))
+    return out.unionByName(e.select(F.col("dst").alias("node"), F.lit("importer").alias("relation"), bare("src").alias("name"))).distinct()
+
+
+def site_relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (primary, failing) with how the failing site stands to the primary one."""
+    calls = edges.where("kind = 'CALLS'").select("src", "dst").distinct()
+    down = calls.select(F.col("src").alias("primary"), F.col("dst").alias("failing"), F.lit(True).alias("_down"))
+    up = calls.select(F.col("dst").alias("primary"), F.col("src").alias("failing"), F.lit(True).alias("_up"))
+    p = pairs.join(down, ["primary", "failing"], "left").join(up, ["primary", "failing"], "left")
+    kind = F.when(F.col("primary") == F.col("failing"), "SAME_SITE").when(F.col("_down"), "CALLED_BY_PRIMARY").when(F.col("_up"), "CALLER_OF_PRIMARY").otherwise("CROSS_MODULE")
+    return p.withColumn("relation", kind).drop("_down", "_up")
+
+
+def first_of(pairs: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
+    """For each group the number of its values and the first ``most`` of them, joined."""
+    n = pairs.groupBy(*by).agg(F.count("*").alias("n"))
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value))).where(F.col("_r") <= most)
+    return n.join(first.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("first")), by)

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quernstone.plans import graph_queries, outcome_queries, stream_queries, text_queries, verdict_queries  # noqa: F401
+    from quernstone.plans import gate_queries, graph_queries, outcome_queries, relation_queries, stream_queries, text_queries, verdict_queries  # noqa: F401
 
 
 def queries() -> dict:
