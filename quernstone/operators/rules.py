@@ -85,3 +85,29 @@ def contract_category(text: Column, hints: Column) -> tuple[Column, Column]:
     keyword = hints.rlike(r"`[a-zA-Z_]\w*=[^`]+`")
     api, mixed = (n >= 2) | ((n >= 1) & keyword), (n == 1) | keyword
     return F.when(api, "API_SIGNATURE").when(mixed, "MIXED").otherwise("ALGORITHMIC_BEHAVIORAL"), F.when(api, 0.95).when(mixed, 0.75).otherwise(0.2)
+
+
+def failure_cause(error: Column, infra: Column, valid: Column, patch: Column, patch_error: Column, applied: Column, resolved: Column, f2p: Column, f2p_total: Column, p2p: Column, p2p_total: Column, output: Column, changed: Column, likely: Column, target_file: Column, target_symbol: Column) -> Column:
+    """The full decision list of a run's outcome. changed: files of the patch; likely: files of the first candidates.
+
+    Of a run that mended nothing the output says why: broken syntax, missing names, a patch beside all likely files, a
+    failure that passed through the patched code, or none of these."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    error, patch_error, output = text(error), F.lower(text(patch_error)), F.concat_ws(" ", text(output), text(error))
+    late = F.lower(error).contains("timeout")
+    broken = ~valid | (F.trim(text(patch), F.lit(" \t\n\r")) == "")
+    none = (f2p_total > 0) & (f2p == 0)
+    likely = F.filter(F.slice(likely, 1, 5), lambda f: f != "")
+    beside = (F.size(likely) > 0) & (F.size(changed) > 0) & ~F.exists(changed, lambda p: F.exists(likely, lambda f: p.contains(f) | f.contains(p)))
+    files = F.concat(changed, F.when(text(target_file) != "", F.array(target_file)).otherwise(F.array().cast("array<string>")))
+    name = lambda f: F.substring_index(F.translate(f, "\\", "/"), "/", -1)
+    passed = F.exists(files, lambda f: (name(f) != "") & output.contains(name(f))) | ((text(target_symbol) != "") & output.contains(text(target_symbol)))
+    return first_true([
+        (late, "TIMEOUT"), (infra, "INFRA_FAILURE"), ((error != "") & ~applied, "INFRA_FAILURE"),
+        (broken & patch_error.contains("schema"), "REPAIR_SCHEMA_FAILURE"), (broken & patch_error.contains("validation"), "REPAIR_VALIDATION_FAILURE"), (broken & patch_error.contains("expansion"), "REPAIR_OVEREXPANSION"),
+        (broken | ~applied, "PATCH_SYNTAX"), (resolved, "RESOLVED"),
+        ((f2p_total > 0) & (f2p == f2p_total) & (p2p < p2p_total), "REGRESSION"), ((f2p_total > 0) & (f2p > 0) & (f2p < f2p_total), "PATCH_SEMANTICS"),
+        (none & output.rlike(r"\b(?:SyntaxError|IndentationError|TabError)\b"), "PATCH_SYNTAX"),
+        (none & output.rlike(r"\b(?:NameError|ImportError|ModuleNotFoundError|UnboundLocalError)\b|is not defined|cannot import name"), "PATCH_SEMANTICS"),
+        (none & beside, "WRONG_LOCALIZATION"), (none & passed, "PATCH_SEMANTICS"), (none, "WRONG_HYPOTHESIS"),
+    ], "TEST_FAILURE")
