@@ -30,3 +30,12 @@ def conflicts(spans: DataFrame, file: str, ident: str) -> DataFrame:
     """Spans, by falling start, whose successor reaches into them."""
     w = Window.partitionBy(file).orderBy(F.desc("lo"), F.desc(ident), F.desc("hi"))
     return spans.withColumns({"next_hi": F.lead("hi").over(w), "next_id": F.lead(ident).over(w)}).where(F.col("next_hi") >= F.col("lo"))
+
+
+def kept_first(spans: DataFrame, file: str, order: list[str]) -> DataFrame:
+    """Each file's spans (lo, hi) in order, without those that reach into one kept before, as an array ``kept``, and the number of all. A file's spans are one row: files hold few."""
+    s = spans.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(*order, "lo", "hi"))).alias("xs"))
+    none = F.array().cast(s.schema["xs"].dataType)
+    over = lambda a, x: F.greatest(a["lo"], x["lo"]) <= F.least(a["hi"], x["hi"])
+    keep = F.aggregate("xs", none, lambda kept, x: F.when(F.exists(kept, lambda a: over(a, x)), kept).otherwise(F.array_append(kept, x)))
+    return s.select(file, keep.alias("kept"), F.size("xs").cast("long").alias("n"))
