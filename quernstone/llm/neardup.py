@@ -38,6 +38,7 @@ BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 EMPTY = np.uint64(2**64 - 1)
 SMALL, BLOCK = 64, 1000
+SLICE_BYTES = 1_500_000  # of texts that are hashed at once; hashing takes some 60 bytes for each
 #: Pairs of one pivot that a copy of its set serves.
 PER_COPY = 256
 
@@ -79,7 +80,7 @@ def _sketched(width: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, offsets in textbytes.slices(batch.column(1)):
+            for a, b, data, offsets in textbytes.slices(batch.column(1), most_bytes=SLICE_BYTES):
                 x, edges = textbytes.shingle_sets(data, offsets, width)
                 size = np.diff(edges)
                 prints = [hashlib.md5(x[s:e].tobytes()).digest() if e > s else None for s, e in zip(edges[:-1], edges[1:])]
@@ -96,7 +97,7 @@ def _sets(width: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, offsets in textbytes.slices(batch.column(1)):
+            for a, b, data, offsets in textbytes.slices(batch.column(1), most_bytes=SLICE_BYTES):
                 x, edges = textbytes.shingle_sets(data, offsets, width)
                 lists = pa.LargeListArray.from_arrays(pa.array(edges.astype(np.int64)), pa.array(x.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), lists], names=["doc_id", "shingles"])
