@@ -16,6 +16,7 @@ TRACEBACK = "Traceback (most recent call last):"
 SENTINEL = r"__PF_PROBE__:([a-zA-Z0-9_\-]+):(.*)"
 ASSIGNED = r"`?\b([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*(True|False|None|'[^']*'|\"[^\"]*\"|[0-9]+)\b`?"
 HINTED = r"(?i)\b(?:parameter|argument|option|flag)\s+`?([a-zA-Z_][a-zA-Z0-9_]*)`?|\b`?([a-zA-Z_][a-zA-Z0-9_]*)`?\s+(?:parameter|argument|keyword argument|kwarg)\b"
+CALLED = r"([A-Za-z_][A-Za-z0-9_\.]*)\s*\([^)]*?\b([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*([^,\)\s]+)[^)]*?\)"
 CATCHES = r"(?i)(?:catch|handle|intercept|trap)\s+([A-Za-z_][A-Za-z0-9_\.]*(?:Error|Exception))"
 REJECTS = r"(?i)\b(?:rather than|instead of|don't use|do not use|avoid|replace)\s+`?([a-zA-Z_][a-zA-Z0-9_]*)\b"
 RAISES = r"(?i)(?:raise|throw|wrap in|convert to)\s+([A-Za-z_][A-Za-z0-9_\.]*(?:Error|Exception))"
@@ -127,7 +128,7 @@ def blamed(logs: DataFrame, case: str, log: str) -> DataFrame:
 
 def contract_terms(problem: Column, hints: Column, target: Column, api: Column) -> Column:
     """struct<forbidden, parameters, handled, expected> of what a text asks of an interface; parameters only where ``api`` says that its signature is at issue:
-    those set in the hints, those that prose names where the hints or the target's name back them."""
+    those set in the hints, those that prose names where the hints or the target's name back them, those of calls of the target."""
     problem, hints = _text(problem), _text(hints)
     text = F.concat(problem, F.lit("\n"), hints)
     every = lambda c, p, g=1: F.regexp_extract_all(c, F.lit(p), F.lit(g))
@@ -136,7 +137,8 @@ def contract_terms(problem: Column, hints: Column, target: Column, api: Column)
     allowed = lambda x: fit(x) & ~F.array_contains(forbidden, F.lower(x))
     prose = F.zip_with(every(text, HINTED, 1), every(text, HINTED, 2), lambda a, b: F.when(a != "", a).otherwise(b))
     backed = lambda x: ((hints != "") & hints.contains(x)) | ((_text(target) != "") & text.contains(_text(target)))
-    named = F.concat(F.filter(every(hints, ASSIGNED), allowed), F.filter(prose, lambda x: allowed(x) & backed(x)))
+    calls = F.zip_with(every(text, CALLED, 1), every(text, CALLED, 2), lambda f, k: F.when((_text(target) != "") & f.contains(_text(target)), k))
+    named = F.concat(F.filter(every(hints, ASSIGNED), allowed), F.filter(prose, lambda x: allowed(x) & backed(x)), F.filter(calls, lambda x: x.isNotNull() & allowed(x)))
     return F.struct(
         forbidden.alias("forbidden"), F.when(api, F.array_distinct(named)).otherwise(F.array().cast("array<string>")).alias("parameters"),
         F.array_distinct(every(text, CATCHES)).alias("handled"), F.array_distinct(every(text, RAISES)).alias("expected"),

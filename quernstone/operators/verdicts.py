@@ -19,6 +19,25 @@ COMMON_NAMES = (
 PROBED = ("proxies", "kwargs", "config", "settings", "headers", "args", "params", "options", "state", "mode", "text", "scope", "encoding")
 
 
+#: Marks of answers and diffs that must not get into a source.
+LEAKS = ("```", "diff --git", "<<<<<<< SEARCH", "=======", ">>>>>>> REPLACE", "@@ -")
+
+
+def static_gate(before: Column, after: Column, facts: Column, targets: Column, required: Column, most: int = 150) -> Column:
+    """The errors of a revised source, in the gate's order: leak, syntax, unchanged, expansion, removed, signature. None: it passes.
+
+    facts: of sources.code.revision. targets: names that may change; required: parameters that a changed target must have. Of a
+    text that does not parse nothing beyond leaks is judged."""
+    before, after = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    leak = F.exists(F.array(*map(F.lit, LEAKS)), lambda m: after.contains(m) & ~before.contains(m))
+    ok = facts["ok"]
+    gone = F.size(F.array_except(F.array_except(facts["before"], targets), facts["after"])) > 0
+    changed = F.array_intersect(facts["before"], targets)
+    lacks = F.exists(changed, lambda t: F.coalesce(F.size(F.array_except(required, F.try_element_at(facts["arguments"], t))) > 0, F.lit(False)))
+    tests = ((leak, "LEAK"), (~ok, "SYNTAX"), (ok & ~facts["changed"], "UNCHANGED"), (ok & (facts["added"] > most), "EXPANSION"), (ok & gone, "REMOVED"), (ok & lacks, "SIGNATURE"))
+    return F.array_compact(F.array(*[F.when(t, n) for t, n in tests]))
+
+
 def _is(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 

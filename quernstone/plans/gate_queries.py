@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import logs as L
 from quernstone.operators import rules as Q
+from quernstone.operators import verdicts as V
 from quernstone.plans.outcome_queries import OUTCOME, outcomes
 from quernstone.plans.registry import query
+from quernstone.sources import code as C
 from quernstone.sources.tables import table
 
 
@@ -154,3 +156,21 @@ def contract_terms(spark, d):
     kind, _ = Q.contract_category(text, F.coalesce(hints, F.lit("")))
     out = table(spark, d, "orders").select("o_orderkey", L.contract_terms(problem, hints, target, kind.isin("API_SIGNATURE", "MIXED")).alias("i"))
     return out.select("o_orderkey", *[F.array_join(f"i.{x}", ",").alias(x) for x in ("forbidden", "parameters", "handled", "expected")])
+
+
+@query("static_gate", """
+SELECT o_orderkey, CASE s WHEN 1 THEN 'LEAK,SYNTAX' WHEN 2 THEN 'SYNTAX' WHEN 3 THEN 'UNCHANGED' WHEN 4 THEN 'EXPANSION' WHEN 5 THEN 'REMOVED' WHEN 6 THEN 'SIGNATURE' WHEN 7 THEN 'LEAK,EXPANSION,REMOVED' ELSE '' END AS errors,
+  CASE s WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 151 WHEN 5 THEN 0 WHEN 7 THEN 151 ELSE 1 END::BIGINT AS added FROM (SELECT *, o_orderkey % 9 AS s FROM orders)""")
+def static_gate(spark, d):
+    """Orders as revisions of a small source: good, a diff mark, broken, unchanged, too long, a function gone, a parameter missing, all at once, a good new symbol."""
+    c = F.col
+    s = c("o_orderkey") % 9
+    before = _s("def a(x, text=1):\n    return ", c("o_custkey"), "\n\ndef b():\n    pass\n")
+    more = lambda n: F.repeat(F.lit("z = 1\n"), F.lit(n))
+    after = _case(s, {
+        0: _s("def a(x, text=1):\n    return -", c("o_custkey"), "\n\ndef b():\n    pass\n"), 1: F.concat(before, F.lit("@@ -1 @@\nx = 1\n")), 2: F.concat(before, F.lit("def (:\n")), 3: before, 4: F.concat(before, more(151)),
+        5: _s("def a(x, text=1):\n    return ", c("o_custkey"), "\n"), 6: _s("def a(x):\n    return ", c("o_custkey"), "\n\ndef b():\n    pass\n"), 7: _s("def a(x, text=1):\n    return ", c("o_custkey"), "\n\ns = '```'\n", more(150)),
+    }, F.concat(before, F.lit("c = b\n")))
+    o = table(spark, d, "orders").select("o_orderkey", before.alias("x"), after.alias("y")).withColumn("f", C.revision("x", "y"))
+    errors = V.static_gate(c("x"), c("y"), c("f"), F.array(F.lit("a")), F.array(F.lit("text")))
+    return o.select("o_orderkey", F.array_join(errors, ",").alias("errors"), c("f.added").alias("added"))

@@ -8,8 +8,10 @@ tells which. Code is never run.
 from __future__ import annotations
 
 import ast
+import difflib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -176,6 +178,29 @@ class ParseState:
                 yield ident, ast.unparse(n), "WRITE" if isinstance(n.ctx, (ast.Store, ast.Del)) else "READ", n.lineno
 
 
+REVISION = "ok boolean, changed boolean, added long, deleted long, before array<string>, after array<string>, arguments map<string,array<string>>"
+
+
+def revision(before: Column | str, after: Column | str) -> Column:
+    """What a revision of a source file does, as REVISION: whether both texts parse, lines added and deleted, symbols before and after, and the new functions' arguments."""
+    return F.pandas_udf(_revised, REVISION)(before, after)
+
+
+def _revised(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    def one(old: str, new: str) -> tuple:
+        a, b = (old or "").splitlines(), (new or "").splitlines()
+        diff = [x[:3] for x in difflib.unified_diff(a, b, lineterm="")]
+        added, deleted = (sum(x.startswith(c) and x != c * 3 for x in diff) for c in "+-")
+        trees = _tree(old), _tree(new)
+        if None in trees:
+            return False, a != b, added, deleted, [], [], {}
+        named = [[n for n in ast.walk(t) if isinstance(n, (ast.ClassDef, *FUNCTIONS))] for t in trees]
+        args = {n.name: [x.arg for x in (*n.args.args, *n.args.kwonlyargs)] for n in named[1] if isinstance(n, FUNCTIONS)}
+        return True, a != b, added, deleted, sorted({n.name for n in named[0]}), sorted({n.name for n in named[1]}), args
+
+    return pd.DataFrame([one(x, y) for x, y in zip(before, after)], columns=["ok", "changed", "added", "deleted", "before", "after", "arguments"])
+
+
 def parsed(files: DataFrame, what) -> DataFrame:
     """The rows of one UDTF over files(path, code), with the path."""
     return files.select("path", "code").lateralJoin(what(F.col("path").outer(), F.col("code").outer())).drop("code")
