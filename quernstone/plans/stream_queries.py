@@ -19,6 +19,13 @@ def stream_ledger_latest(spark, d):
     return intake.drained(intake.latest_state(intake.event_stream(spark, d), "user_id", "event_id", ["event_type"]), "complete")
 
 
+@query("stream_ledger_status", """
+SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (event_type IN ('purchase', 'error')), 'PENDING') AS status, min(event_id) FILTER (event_type IN ('purchase', 'error')) AS decided_at, count(*) AS n_events FROM events GROUP BY user_id""")
+def stream_ledger_status(spark, d):
+    """Purchases accept and errors reject, once: a decided candidate stays decided."""
+    return intake.drained(intake.decided_state(intake.event_stream(spark, d), "user_id", "event_id", "event_type", ("purchase", "error")), "complete")
+
+
 @query("stream_first_deliveries", """
 SELECT user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS delivery, count(DISTINCT user_id) AS n FROM events WHERE value > 1 GROUP BY ALL""")
 def stream_first_deliveries(spark, d):

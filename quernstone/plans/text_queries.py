@@ -138,6 +138,45 @@ def jaccard_exemplars(spark, d):
     return e.withColumn("x", total).where("x > 0.1").select("doc_id", F.round("x", 3).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(3)
 
 
+LIKENESS = "CASE WHEN same THEN 0.3 ELSE 0 END + CASE WHEN held THEN 0.4 ELSE 0 END + CASE WHEN m > n THEN 0.3 * n / (m - n) ELSE 0 END + CASE WHEN quality = 1 THEN 0.1 ELSE 0 END"
+
+
+@query("jaccard_exemplars_each", f"""
+WITH e AS (SELECT doc_id, source, {SET.format('text')} s, regexp_extract(lower(coalesce(text, '')), '[a-z_][a-z0-9_]*') f, quality FROM documents LEFT JOIN labels USING (doc_id)), cur AS (SELECT doc_id cid, source csource, s cs, f cf FROM e WHERE doc_id % 100 = 0),
+j AS (SELECT cid, doc_id, source IS NOT DISTINCT FROM csource same, list_contains(s, cf) held, len(list_intersect(s, cs)) n, len(s) + len(cs) m, quality FROM e, cur WHERE doc_id <> cid),
+x AS (SELECT cid, doc_id, round({LIKENESS}, 3)::DOUBLE AS similarity FROM j WHERE {LIKENESS} > 0.1)
+SELECT cid AS current, doc_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY similarity DESC, doc_id) AS rank FROM x) WHERE rank <= 3""")
+def jaccard_exemplars_each(spark, d):
+    """The three documents most like each document whose id is divisible by 100."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    good = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return X.exemplars(docs.join(good, "doc_id", "left"), docs.where("doc_id % 100 = 0"), 3)
+
+
+@query("symbol_search_each", """
+WITH q AS (SELECT p_partkey k, p_name AS name, lower(string_split(p_name, ' ')[1]) w FROM part WHERE p_partkey % 100 = 0),
+h AS (SELECT k, p_partkey, p_name, p_brand, (CASE WHEN p_name = q.name THEN 0 ELSE 1 END)::BIGINT AS tier FROM q JOIN part ON contains(lower(p_name), w))
+SELECT k AS query, p_partkey, p_name, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tier, p_brand, p_partkey, p_name) AS rank FROM h) WHERE rank <= 10""")
+def symbol_search_each(spark, d):
+    """The first ten parts for each part whose key is divisible by 100, by the first word of its name: exact names first.
+
+    Words are searched once each: a name's substrings meet the distinct words. A query then needs the first parts of its word
+    and those of its very name, ten of each at most."""
+    c = F.col
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    q = part.where("p_partkey % 100 = 0").select(c("p_partkey").alias("query"), c("p_name").alias("name"), F.lower(F.get(F.split("p_name", " "), F.lit(0))).alias("w"))
+    low = F.lower("p_name")
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n)))))
+    words = q.where("w <> ''").select("w").distinct()
+    order = [F.asc("p_brand"), F.asc("p_partkey"), F.asc("p_name")]
+    hits = part.where(F.length(low) > 0).select("*", F.explode(pieces).alias("w")).join(words, "w", "left_semi")
+    first = R.top(hits, ["w"], order, 20, "_r").drop("_r")
+    exact = R.top(part.join(q.select(c("name").alias("p_name")).distinct(), "p_name", "left_semi"), ["p_name"], order, 10, "_r").drop("_r")
+    both = q.join(first, "w").select("query", "name", "p_partkey", "p_name", "p_brand").unionByName(q.join(exact, q["name"] == exact["p_name"]).select("query", "name", "p_partkey", "p_name", "p_brand")).distinct()
+    both = both.withColumn("tier", F.when(c("p_name") == c("name"), 0).otherwise(1).cast("long"))
+    return R.top(both, ["query"], [F.asc("tier"), *order], 10).select("query", "p_partkey", "p_name", "tier", "rank")
+
+
 @query("overlap_dedup", f"""
 WITH s AS (SELECT doc_id, source, list_distinct({TOKS.format('text')}) s FROM documents), t AS (SELECT doc_id, source, len(s) n, unnest(s) t FROM s),
 p AS (SELECT a.doc_id first, b.doc_id later, count(*) c, least(a.n, b.n) m FROM t a JOIN t b ON a.source = b.source AND a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)

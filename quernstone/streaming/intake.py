@@ -41,6 +41,14 @@ def latest_state(stream: DataFrame, key: str, order: str, values: list[str]) ->
     return stream.groupBy(key).agg(F.max(F.struct(order, *values)).alias("s"), F.count("*").alias("n_events")).select(key, f"s.{order}", *[f"s.{v}" for v in values], "n_events")
 
 
+def decided_state(stream: DataFrame, key: str, order: str, kind: str, decisions: tuple[str, ...]) -> DataFrame:
+    """Running status of each key: its first decision by order stays, whatever comes later and in whatever order the files
+    come; PENDING without one. The state is one row a key."""
+    first = F.min(F.when(F.col(kind).isin(*decisions), F.struct(F.col(order).alias("at"), F.col(kind).alias("kind"))))
+    s = stream.groupBy(key).agg(first.alias("d"), F.count("*").alias("n_events"))
+    return s.select(key, F.coalesce("d.kind", F.lit("PENDING")).alias("status"), F.col("d.at").alias("decided_at"), "n_events")
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over what there is and returns its last result, from tables in the shared folder."""
     spark = stream.sparkSession

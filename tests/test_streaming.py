@@ -17,7 +17,7 @@ def parts(spark, sf, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["stream_first_deliveries", "stream_window_counts", "stream_ledger_latest"])
+@pytest.mark.parametrize("name", ["stream_first_deliveries", "stream_window_counts", "stream_ledger_latest", "stream_ledger_status"])
 def test_part_files_out_of_order(spark, sf, parts, name):
     rows = lambda d: sorted(map(repr, registry.queries()[name](spark, d).collect()))
     assert rows(parts) == rows(sf) != []
