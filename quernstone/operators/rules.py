@@ -111,3 +111,14 @@ def failure_cause(error: Column, infra: Column, valid: Column, patch: Column, pa
         (none & output.rlike(r"\b(?:NameError|ImportError|ModuleNotFoundError|UnboundLocalError)\b|is not defined|cannot import name"), "PATCH_SEMANTICS"),
         (none & beside, "WRONG_LOCALIZATION"), (none & passed, "PATCH_SEMANTICS"), (none, "WRONG_HYPOTHESIS"),
     ], "TEST_FAILURE")
+
+
+def hypothesis_score(confidence: Column, evidence: Column, frames: Column, matched: Column, unexplained: Column, wide: Column, local: Column, specific: Column, tested: Column, forbidden: Column, branch: Column) -> tuple[Column, Column]:
+    """A hypothesis' score and whether it is eliminated. wide and local: numbers of its sites with a global and a local
+    radius; forbidden: number of forbidden events seen. A confidence that is no finite number counts as a half; without any evidence it counts up to 0.75."""
+    c = F.coalesce(F.when(F.isnan(confidence) | (F.abs(confidence) == float("inf")), 0.5).otherwise(confidence), F.lit(0.5))
+    score = F.when(~evidence, F.least(F.lit(75.0), 100 * c)).otherwise(100 * c)
+    score = score - F.when((frames >= 2) & ~matched, 40.0).otherwise(0.0) - F.least(F.lit(35.0), 15.0 * unexplained) - 25.0 * wide + 20.0 * local
+    score = score + points((specific, 15.0), (tested, 10.0), (branch, 15.0)) - 30.0 * forbidden
+    contradicted = (forbidden >= 2) & (forbidden > F.when(branch, 1).otherwise(0))
+    return F.round(score, 2), contradicted | (score < 20)

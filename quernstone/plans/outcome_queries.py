@@ -137,16 +137,20 @@ def evidence_support(spark, d):
 
 
 @query("hypothesis_rank", """
-WITH h AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) n, count(*) FILTER (o_orderstatus = 'F') unexplained, count(*) FILTER (o_orderpriority = '1-URGENT') tests, c_acctbal / 10000 conf FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
-s AS (SELECT *, least(75, 100 * greatest(0, conf)) - CASE WHEN n = 0 THEN 40.0::DOUBLE ELSE 0 END - least(35, 15 * unexplained) + CASE WHEN tests > 0 THEN 10.0::DOUBLE ELSE 0 END + CASE WHEN n > 20 THEN -25.0::DOUBLE WHEN n <= 5 THEN 20.0::DOUBLE ELSE 0 END x FROM h),
-r AS (SELECT *, round(x, 4) AS score, x < 20 AS eliminated FROM s)
+WITH h AS (SELECT c_custkey, c_mktsegment, c_nationkey, count(o_orderkey) n, count(*) FILTER (o_orderstatus = 'F') unexplained, count(*) FILTER (o_orderpriority = '1-URGENT') urgent, count(*) FILTER (o_orderstatus = 'P') forbidden, CASE WHEN c_custkey % 50 = 0 THEN 0.5::DOUBLE ELSE floor(c_acctbal) / 10000 END conf FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+s AS (SELECT *, CASE WHEN n = 0 THEN least(75.0::DOUBLE, 100 * conf) ELSE 100 * conf END - CASE WHEN n >= 2 AND urgent = 0 THEN 40.0::DOUBLE ELSE 0 END - least(35.0::DOUBLE, 15.0::DOUBLE * unexplained) - 25.0::DOUBLE * (n // 20) + 20.0::DOUBLE * CASE WHEN n <= 5 THEN 1 ELSE 0 END
+  + CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0 THEN 15.0::DOUBLE ELSE 0 END + CASE WHEN urgent > 1 THEN 10.0::DOUBLE ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 15.0::DOUBLE ELSE 0 END - 30.0::DOUBLE * forbidden x FROM h),
+r AS (SELECT *, round(x, 2) AS score, x < 20 OR (forbidden >= 2 AND forbidden > CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS eliminated FROM s)
 SELECT c_custkey, c_mktsegment, score, eliminated, row_number() OVER (PARTITION BY c_mktsegment ORDER BY eliminated, score DESC, c_custkey) AS rank FROM r""")
 def hypothesis_rank(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("unexplained"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("tests"))
-    h = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").na.fill(0, ["n", "unexplained", "tests"])
-    n = F.col("n")
-    x = F.least(F.lit(75.0), 100 * F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000)) - F.when(n == 0, 40.0).otherwise(0.0) - F.least(F.lit(35), 15 * F.col("unexplained")) + F.when(F.col("tests") > 0, 10.0).otherwise(0.0) + F.when(n > 20, -25.0).when(n <= 5, 20.0).otherwise(0.0)
-    h = h.withColumn("x", x).select("c_custkey", "c_mktsegment", F.round("x", 4).alias("score"), (F.col("x") < 20).alias("eliminated"))
+    """Customers as hypotheses, their orders as frames, symptoms, tests and forbidden events; every fiftieth has a confidence that is no number."""
+    c = F.col
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(c("o_orderstatus") == "F").alias("unexplained"), F.count_if(c("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(c("o_orderstatus") == "P").alias("forbidden"))
+    h = table(spark, d, "customer").join(o, c("c_custkey") == c("o_custkey"), "left").na.fill(0, ["n", "unexplained", "urgent", "forbidden"])
+    conf = F.when(c("c_custkey") % 50 == 0, float("nan")).otherwise(F.floor("c_acctbal") / 10000)
+    score, out = Q.hypothesis_score(
+        conf, c("n") > 0, c("n"), c("urgent") > 0, c("unexplained"), F.expr("n div 20"), F.when(c("n") <= 5, 1).otherwise(0), (c("c_mktsegment") == "BUILDING") & (c("c_nationkey") % 2 == 0), c("urgent") > 1, c("forbidden"), c("c_custkey") % 3 == 0)
+    h = h.select("c_custkey", "c_mktsegment", score.alias("score"), out.alias("eliminated"))
     return numbered(h, ["c_mktsegment"], [F.asc("eliminated"), F.desc("score"), F.asc("c_custkey")])
 
 
