@@ -70,7 +70,9 @@ def json_body(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)^.*<think>", "")
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    good = lambda c: F.when((c != "") & F.try_parse_json(c).isNotNull(), c)
+    listed = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    # in a list nothing may follow the object, which the parser would pass over
+    good = lambda c: F.when((c != "") & F.try_parse_json(listed(c)).isNotNull() & (F.json_array_length(listed(c)) == 1), c)
     return F.coalesce(good(fenced), good(braces))
 
 

@@ -18,16 +18,19 @@ from quernstone.sources.tables import table
 
 
 @query("json_answers", """
-SELECT event_id, event_type, CASE WHEN event_type IN ('signup', 'purchase', 'click') THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
+SELECT event_id, event_type, CASE WHEN event_id % 9 IN (0, 1, 2, 5, 7) THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) WHEN event_id % 9 = 6 THEN 7 END AS k FROM events""")
 def json_answers(spark, d):
-    """Answers with a fenced object, one behind thoughts, a bare one, a broken one or none."""
+    """Answers of nine shapes: a fenced object, one behind thoughts, a bare one, a broken one, none, a fence after other braces, a nested one, thoughts without an end, two objects."""
     e = table(spark, d, "events").select("event_id", "event_type", "props")
-    kind, props = F.col("event_type"), F.col("props")
-    answer = (
-        F.when(kind == "signup", F.concat(F.lit("Here {it} is:\n```json\n"), props, F.lit("\n```\nDone.")))
-        .when(kind == "purchase", F.concat(F.lit('<think>maybe {"k": 0}</think>The answer is '), props, F.lit(".")))
-        .when(kind == "click", props).when(kind == "view", F.concat(F.lit("{"), props)).otherwise(F.lit("none"))
-    )
+    props, shape = F.col("props"), F.col("event_id") % 9
+    s = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    shapes = [
+        s("Here {it} is:\n```json\n", props, "\n```\nDone."), s('<think>maybe {"k": 0}</think>The answer is ', props, "."), props, s("{", props), F.lit("none"),
+        s("Use {x} or {y}.\n```\n", props, "\n```\nand {z}"), s('So {"a": ', props, ', "k": 7} it is'), s("<think>this never ends ", props), s(props, " and ", props),
+    ]
+    answer = F.when(shape == 0, shapes[0])
+    for i, x in enumerate(shapes[1:], 1):
+        answer = answer.when(shape == i, x)
     return e.select("event_id", "event_type", F.get_json_object(A.json_body(answer), "$.k").try_cast("long").alias("k"))
 
 
@@ -85,12 +88,18 @@ def test_log_outcomes(spark, d):
 
 
 @query("edit_blocks", """
-SELECT conv_id, turn, 'src/' || conv_id || '.py' AS file, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_edits, md5(coalesce(text, '')) AS search, role AS replace FROM conversations""")
+SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN 'b/c.py' ELSE 'src/' || conv_id || '.py' END AS file, CASE turn % 4 WHEN 0 THEN 2 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS n_edits, CASE turn % 4 WHEN 3 THEN md5('') ELSE md5(coalesce(text, '')) END AS search, CASE turn % 4 WHEN 3 THEN 'new' ELSE role END AS replace FROM conversations""")
 def edit_blocks(spark, d):
-    """Turns as edits: each text is to become its role, every second one also the other way round."""
+    """Turns as edits in four shapes: there and back, one block, blocks of two files with one that never ends, a block before any heading and one with nothing to search."""
     c = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     block = lambda a, b: F.concat(F.lit("\n<<<<<<< SEARCH\n"), a, F.lit("\n=======\n"), b, F.lit("\n>>>>>>> REPLACE\n"))
-    answer = F.concat(F.lit("I change this.\n### `src/"), F.col("conv_id").cast("string"), F.lit(".py` :: f"), block("text", "role"), F.when(F.col("turn") % 2 == 0, block("role", "text")).otherwise(F.lit("")))
+    lit, shape = F.lit, F.col("turn") % 4
+    head = F.concat(lit("I change this.\n### `src/"), F.col("conv_id").cast("string"), lit(".py` :: f"))
+    one = F.concat(head, block("text", "role"))
+    answer = (
+        F.when(shape == 0, F.concat(one, block("role", "text"))).when(shape == 2, F.concat(one, lit("\nand\n### d.py\n"), block(lit("x"), lit("")), block(lit("y"), lit("z\nz")), lit("\n<<<<<<< SEARCH\nopen\n=======\n")))
+        .when(shape == 3, F.concat(block("text", "role"), lit("### b/c.py"), block(lit(""), lit("new")), lit("### e.py\nnothing"))).otherwise(one)
+    )
     e = c.select("conv_id", "turn", A.edits(answer).alias("e"))
     one = F.col("e")[0]
     return e.select("conv_id", "turn", one["file"].alias("file"), F.size("e").cast("long").alias("n_edits"), F.md5(one["search"].cast("binary")).alias("search"), one["replace"].alias("replace"))
