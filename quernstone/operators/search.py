@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators.retrieval import B, K1, WEIGHTS, top
+from quernstone.sources.tables import written
 
 #: Words of queries that tasks are given in one pass.
 MOST_WORDS = 500_000
@@ -171,11 +172,10 @@ def _best(weights: Weights, k: int, by: str):
 
 
 def weights_of(q: DataFrame, docs: DataFrame) -> Weights:
-    """The weights of the queries q, (q, ws), by the documents' word counts. They are at most MOST_WORDS words, or one query."""
-    body = docs.select(T.tokens(F.col("text")).alias("toks"))
-    n_docs, avgdl = body.agg(F.count("*"), F.coalesce(F.avg(F.size("toks")), F.lit(0.0))).first()
+    """The weights of the queries q, (q, ws), by the word counts of docs, (toks). They are at most MOST_WORDS words, or one query."""
+    n_docs, avgdl = docs.agg(F.count("*"), F.coalesce(F.avg(F.size("toks")), F.lit(0.0))).first()
     terms = q.select(F.explode("ws").alias("term")).distinct()
-    df = body.select(F.explode(F.array_distinct("toks")).alias("term")).join(terms, "term", "left_semi").groupBy("term").count()
+    df = docs.select(F.explode(F.array_distinct("toks")).alias("term")).join(terms, "term", "left_semi").groupBy("term").count()
     return Weights(sorted((r.q, r.ws) for r in q.collect()), {r.term: r["count"] for r in df.collect()}, n_docs, avgdl)
 
 
@@ -184,11 +184,12 @@ def searched(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k:
     a word), dense (pairs that share a gram) or score (all pairs). docs: doc_id, text and the channels of STATIC, 0 where they are missing."""
     q = queries.select(F.col(query_id).cast("long").alias("q"), T.tokens(F.col("text")).alias("ws")).where("q IS NOT NULL")
     passes = max(1, -(-(q.agg(F.sum(F.size("ws"))).first()[0] or 0) // MOST_WORDS))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), T.tokens(F.col("text")).alias("toks"), *[c for c in STATIC if c in docs.columns])
+    # tokenised once, read by the counts and by the scores
+    rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), T.tokens(F.col("text")).alias("toks"), *[c for c in STATIC if c in docs.columns]))
     schema = "query_id long, doc_id long, lexical double, dense double, graph double, temporal double, test double, traceback double, score double"
     found = None
     for i in range(passes):
-        weights = weights_of(q.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i), docs)
+        weights = weights_of(q.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i), rows)
         part = rows.mapInArrow(_best(weights, k, by), schema)
         found = part if found is None else found.unionByName(part)
     return top(found, ["query_id"], [F.desc(by), F.asc("doc_id")], k).withColumnsRenamed({"query_id": query_id, "doc_id": doc_id})
