@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm import textbytes
+from quernstone.llm import confirm, textbytes
 from quernstone.llm.components import components
 from quernstone.sources.tables import forget, table, written
 
@@ -106,18 +106,8 @@ def _sets(width: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. A pivot's pairs are dealt to as many tasks as they fill PER_COPY times, each with a copy of the pivot's set."""
-    hot = written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PER_COPY).select("a", F.ceil(F.col("n") / PER_COPY).cast("int").alias("copies")))
-    salted = pairs.join(hot, "a", "left").select("a", "b", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("copies"))).cast("int").alias("salt"))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    more = one.join(hot, "a").select("a", "x", F.explode(F.sequence(F.lit(1), F.col("copies") - 1)).alias("salt"))
-    left = one.withColumn("salt", F.lit(0)).unionByName(more).hint("merge").join(salted, ["a", "salt"])
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    total = F.size("x") + F.size("y") - F.col("common")
-    out = written(both.where((total > 0) & (100 * F.col("common") >= percent * total)).select("a", "b").distinct())
-    forget(hot)
-    return out
+    """The pairs (a, b) whose full shingle sets reach the similarity, however many pairs one document has on either side."""
+    return confirm.confirmed(pairs, sets, percent, PER_COPY)
 
 
 def least_agreement(percent: int) -> int:
