@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import crf, html, mixing, neardup, packing, rules, sharding, simjoin, suffixes, tokens, topk
+from quernstone.llm import crf, html, mixing, neardup, packing, rules, sharding, simjoin, spelling, suffixes, tokens, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_exact_top_k": topk.op9_exact_top_k,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_jaccard_join": simjoin.op13_jaccard_join,
     }
 
