@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import crf, html, mixing, neardup, packing, rules, sharding, simjoin, spelling, suffixes, tokens, topk
+from quernstone.llm import crf, html, mixing, neardup, packing, phrases, rules, sharding, simjoin, spelling, suffixes, tokens, topk
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_exact_top_k": topk.op9_exact_top_k,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+        "op11_phrase_collocations": phrases.op11_phrase_collocations,
         "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_jaccard_join": simjoin.op13_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**rules.oracle(), **mixing.oracle(), **topk.oracle()}
+    return {**rules.oracle(), **mixing.oracle(), **topk.oracle(), **phrases.oracle()}

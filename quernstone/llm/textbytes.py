@@ -74,9 +74,9 @@ def slices(texts: pa.Array, most_rows: int = 2**30, most_bytes: int | None = Non
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of all words."""
-    solid = ~SPACES[data]
+    solid = ~spaces[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
