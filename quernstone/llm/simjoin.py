@@ -181,14 +181,22 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: s
     prefixes = written(prefixes.select(F.col("doc_id").alias("doc"), F.xxhash64("print").alias("h"), "n", "matches", "prefix"))
     posts = _live_postings(prefixes, percent)
     forget(prefixes)
-    needed = docs.join(posts.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written((needed.dropDuplicates(["doc_id", "text"]) if repeated else needed).mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that the full sets confirm; only texts of documents in pairs are hashed for that."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        needed = docs.join(ids, "doc_id", "left_semi")
+        sets = written((needed.dropDuplicates(["doc_id", "text"]) if repeated else needed).mapInArrow(_sets(width), "doc_id long, shingles array<long>"))
+        out = confirmed(pairs, sets, percent)
+        forget(sets)
+        return out
+
     pairs = written(_pivot_pairs(posts, percent))
-    edges = same_id.unionByName(confirmed(pairs, sets, percent))
+    edges = same_id.unionByName(linked(pairs))
     label = components(edges)
-    more = _crossing_pairs(posts, label, percent).join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    label = components(edges.unionByName(confirmed(written(more), sets, percent)))
-    for done in (posts, sets, pairs):
+    more = written(_crossing_pairs(posts, label, percent).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    label = components(edges.unionByName(linked(more)))
+    for done in (posts, pairs, more):
         forget(done)
     out = marks.join(copies, F.col("print") == F.col("p"), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
