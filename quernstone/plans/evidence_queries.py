@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +10,7 @@ from quernstone.operators import spans as S
 from quernstone.operators import verdicts as V
 from quernstone.plans.registry import query
 from quernstone.sources import records as R
-from quernstone.sources.tables import shared_dir, table
+from quernstone.sources.tables import new_folder, table
 
 
 @query("overlap_free", """
@@ -126,7 +124,7 @@ def localized_places(spark, d):
 SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 12 = 0 GROUP BY o_custkey""")
 def work_to_do(spark, d):
     """Every third order has a result in a ledger of JSON lines; of those every fourth has changed since. What is left is the rest."""
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", F.col("o_orderstatus").alias("state"))
     done = orders.where("key % 3 = 0").withColumn("state", F.when(F.col("key") % 12 == 0, "old").otherwise(F.col("state")))
     fp = R.fingerprint("key", "state")

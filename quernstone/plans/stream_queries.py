@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.functions import digests
 from quernstone.plans.registry import query
-from quernstone.streaming import intake
+from quernstone.sources.tables import new_folder
+from quernstone.streaming import deliveries, intake
 
 
 @query("stream_window_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -33,3 +35,57 @@ def stream_first_deliveries(spark, d):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd"))
     s = intake.first_deliveries(intake.event_stream(spark, d), key, F.col("value") > 1, ttl=None)
     return intake.drained(s.select(key.alias("delivery"), F.lit(1).cast("long").alias("n")), "append")
+
+
+UID = "CAST(user_id AS VARCHAR)"
+EID = "CAST(event_id AS VARCHAR)"
+#: The deliveries of both SQLs: an event's row as headers and a body; malformed, empty, foreign and repeated ones are among them.
+DELIVERIES = f"""
+d AS (SELECT event_id, epoch_us(ts) AS us, CASE WHEN event_id % 13 = 5 THEN 'ping' WHEN event_id % 13 = 6 THEN '' WHEN event_id % 13 = 8 THEN 'push' WHEN event_id % 13 IN (9, 10, 11) THEN 'issue_comment' ELSE 'issues' END AS event,
+  CASE WHEN event_id % 13 = 7 THEN '' ELSE user_id || ':' || event_id % 3 END AS id,
+  CASE event_id % 13 WHEN 0 THEN '{{"action": "opened", "issue": {{"title": "x"' WHEN 1 THEN '["opened"]' WHEN 2 THEN '{{"action": "opened", "repository": {{"name": "r' || {UID} || '"}}, "issue": {{"title": "t"}}}}'
+    ELSE '{{"action": "' || CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'created' WHEN 'signup' THEN 'labeled' WHEN 'purchase' THEN 'closed' ELSE 'edited' END || '", "repository": {{"full_name": "' || CASE WHEN event_id % 13 = 3 THEN '../' ELSE 'o/' END || 'r' || {UID}
+      || '", "default_branch": "dev"}}, "issue": {{"number": ' || {EID} || ', "title": "' || CASE WHEN event_id % 13 = 4 THEN ' ' ELSE 'T ' || event_type END || '", "body": ' || CASE WHEN event_id % 13 = 4 THEN 'null' ELSE '"see `pytest t_' || {UID} || '.py` or \\"é\\""' END
+      || ', "labels": [{{"name": "bug"}}, "plain", {{"name": "' || event_type || '"}}, {{}}]}}, "comment": {{"body": "please ' || CASE WHEN event_id % 2 = 0 THEN '/Fix' ELSE 'look' END || ' it", "user": {{"login": "c"}}}}, "sender": {{"login": "s"}}, "more": ' || props || '}}' END AS body FROM events)"""
+
+
+@query("stream_deliveries", f"""
+WITH RECURSIVE {DELIVERIES},
+j AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END v FROM d),
+p AS (SELECT *, coalesce(v ->> '$.action', '') action, coalesce(nullif(v ->> '$.repository.full_name', ''), v ->> '$.repository.name', '') repo, coalesce(v ->> '$.issue.title', '') title, coalesce(v ->> '$.issue.body', '') text, coalesce(v ->> '$.comment.body', '') comment,
+  coalesce(len(list_filter(CASE WHEN json_type(v) = 'OBJECT' THEN (v -> '$.issue.labels')::JSON[] ELSE [] END, lambda x: json_type(x) = 'OBJECT')), 0) n_labels FROM j),
+s AS (SELECT *, CASE WHEN event = 'issue_comment' THEN text || chr(10) || chr(10) || 'Additional comment instruction:' || chr(10) || comment ELSE text END statement FROM p),
+o AS (SELECT *, event = '' OR event = 'ping' OR id = '' early, CASE WHEN event = '' THEN 'no event' WHEN event = 'ping' THEN 'ping' WHEN id = '' THEN 'no delivery id' WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'malformed body' WHEN event = 'push' THEN 'event ignored'
+  WHEN event = 'issues' AND action NOT IN ('opened', 'reopened', 'labeled', 'edited') THEN 'action ignored' WHEN event = 'issue_comment' AND action <> 'created' THEN 'comment ignored' WHEN event = 'issue_comment' AND NOT contains(lower(comment), '/fix') THEN 'no command'
+  WHEN trim(repo) = '' THEN 'no repository' WHEN trim(title) = '' AND trim(statement) = '' THEN 'no title or statement' WHEN contains(repo, '..') THEN 'repository leaves its folder' ELSE 'accepted' END reason FROM s),
+a(id, us, event_id) AS (SELECT id, min(us), arg_min(event_id, (us, event_id)) FROM o WHERE NOT early AND reason = 'accepted' GROUP BY id
+  UNION ALL SELECT a.id, min(o.us), arg_min(o.event_id, (o.us, o.event_id)) FROM a JOIN o ON o.id = a.id AND NOT o.early AND o.reason = 'accepted' AND o.us - a.us > 43200000000 GROUP BY a.id, a.us),
+r AS (SELECT o.*, EXISTS (SELECT 1 FROM a WHERE a.id = o.id AND NOT o.early AND (o.us, o.event_id) > (a.us, a.event_id) AND o.us - a.us <= 43200000000) again FROM o),
+f AS (SELECT *, CASE WHEN again THEN 'duplicate' ELSE reason END said FROM r)
+SELECT said AS reason, CASE WHEN said IN ('no event', 'no delivery id', 'malformed body') THEN 400 WHEN said IN ('no repository', 'no title or statement', 'repository leaves its folder') THEN 422 ELSE 200 END::INTEGER AS status,
+  count(*) AS n, min(event_id) AS first_event, count(DISTINCT id) FILTER (said = 'accepted') AS ids, coalesce(sum(length(statement)) FILTER (said = 'accepted'), 0)::BIGINT AS statement_chars, coalesce(sum(n_labels) FILTER (said = 'accepted'), 0)::BIGINT AS labels,
+  count(*) FILTER (said = 'accepted' AND event = 'issues' AND contains(text, 'pytest')) AS commands FROM f GROUP BY said""")
+def stream_deliveries(spark, d):
+    """Events as signed deliveries of a hub, an id remembered for half a day of their own clock; each outcome's sink is read back."""
+    c = F.col
+    n = c("event_id") % 13
+    t = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    event = F.when(n == 5, "ping").when(n == 6, "").when(n == 8, "push").when(n.isin(9, 10, 11), "issue_comment").otherwise("issues")
+    action = F.when(c("event_type") == "view", "opened").when(c("event_type") == "click", "created").when(c("event_type") == "signup", "labeled").when(c("event_type") == "purchase", "closed").otherwise("edited")
+    text = F.when(n == 4, "null").otherwise(t('"see `pytest t_', c("user_id"), '.py` or \\"é\\""'))
+    full = t('{"action": "', action, '", "repository": {"full_name": "', F.when(n == 3, "../").otherwise("o/"), "r", c("user_id"), '", "default_branch": "dev"}, "issue": {"number": ', c("event_id"), ', "title": "', F.when(n == 4, " ").otherwise(t("T ", c("event_type"))),
+             '", "body": ', text, ', "labels": [{"name": "bug"}, "plain", {"name": "', c("event_type"), '"}, {}]}, "comment": {"body": "please ', F.when(c("event_id") % 2 == 0, "/Fix").otherwise("look"), ' it", "user": {"login": "c"}}, "sender": {"login": "s"}, "more": ', c("props"), "}")
+    body = F.when(n == 0, '{"action": "opened", "issue": {"title": "x"').when(n == 1, '["opened"]').when(n == 2, t('{"action": "opened", "repository": {"name": "r', c("user_id"), '"}, "issue": {"title": "t"}}')).otherwise(full)
+    delivery = F.when(n == 7, "").otherwise(t(c("user_id"), ":", c("event_id") % 3))
+    secret = b"of the stream"
+    s = intake.event_stream(spark, d).withColumn("body", body)
+    headers = F.create_map(F.lit("X-Hub-Event"), event, F.lit("x-hub-Delivery"), delivery, F.lit("X-HUB-SIGNATURE-256"), F.concat(F.lit("sha256="), digests.hmac_sha256(c("body"), secret)))
+    decided = deliveries.hub(s.withColumn("headers", headers), secret)
+    path = new_folder(spark)
+    deliveries.settle(deliveries.once_each(decided, "ts", "event_id", 43_200), path)
+    out = deliveries.settled(spark, path).withColumn("ok", c("sink") == "accepted")
+    item = c("verdict.item")
+    return out.groupBy("verdict.reason", "verdict.status").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first_event"), F.countDistinct(F.when(c("ok"), item["event_id"])).alias("ids"), F.coalesce(F.sum(F.when(c("ok"), F.length(item["statement"]))), F.lit(0)).cast("long").alias("statement_chars"),
+        F.coalesce(F.sum(F.when(c("ok"), F.size(item["labels"]))), F.lit(0)).cast("long").alias("labels"), F.count_if(c("ok") & (item["reproduction"] != "")).alias("commands"),
+    )

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Paths of the tables that written() has made and forget() has not deleted.
+#: Paths of the tables and folders that written() and new_folder() have made and forget() has not deleted.
 WRITTEN: list[str] = []
 
 
@@ -31,17 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, deleted with the tables that written() makes."""
+    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
-    WRITTEN.append(path)
     return out
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.sources.tables import shared_dir
+from quernstone.sources.tables import new_folder
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", ts: str = "ts", files_per_trigger: int = 1) -> DataFrame:
@@ -52,7 +50,7 @@ def decided_state(stream: DataFrame, key: str, order: str, kind: str, decisions:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over what there is and returns its last result, from tables in the shared folder."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     if mode == "append":
         stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/rows")
