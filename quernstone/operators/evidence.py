@@ -62,3 +62,9 @@ def localized(files: DataFrame, hits: DataFrame, case: str, per_file: int = 3, m
     order = [F.desc("score"), (F.col("symbol") == "").cast("int"), F.asc("file"), F.asc("symbol")]
     places = places.withColumn("_nth", F.row_number().over(Window.partitionBy(case, "file").orderBy(*order))).where(F.col("_nth") <= per_file)
     return places.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("_nth")
+
+
+def rows_state(df: DataFrame) -> tuple:
+    """What tells one set of rows from another, whatever their order: their number and two sums of hashes."""
+    h = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])))
+    return tuple(df.agg(F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))).first())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.sources.tables import forget, written
+
 
 def last_wins(edges: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
     """One edge for each key, with the last attributes."""
@@ -115,3 +117,24 @@ def first_of(pairs: DataFrame, by: list[str], value: str, most: int) -> DataFram
     n = pairs.groupBy(*by).agg(F.count("*").alias("n"))
     first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value))).where(F.col("_r") <= most)
     return n.join(first.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("first")), by)
+
+
+def lineage(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, root and depth of every node of a parent table, at any depth: a root has depth 0 and is its own root.
+
+    Pointer doubling: after k rounds a node knows its ancestor 2 ** k steps up, so a chain of n nodes takes log2(n) joins. What has no root, since its
+    parents form a cycle or lead into one, or since its parent is not in the table, gets a null root and depth; cycles end by the number of rounds, of
+    which no chain needs more. A node that occurs with several parents counts with the least."""
+    one = nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("up"))
+    now = written(one.select("node", "up", F.lit(1).cast("long").alias("steps"), F.when(F.col("up").isNull(), 0).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.col("node")).alias("root")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        if now.where("depth IS NULL AND up IS NOT NULL").isEmpty():
+            break
+        done, open_ = now.where("depth IS NOT NULL OR up IS NULL"), now.where("depth IS NULL AND up IS NOT NULL")
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("depth").alias("d"), F.col("root").alias("r"))
+        met = open_.join(above, "up", "left")  # a parent outside the table leaves next, d and r null: no root
+        met = met.select("node", F.when(F.col("d").isNull(), F.col("next")).alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("steps") + F.col("d")).alias("depth"), F.col("r").alias("root"))
+        step = written(done.unionByName(met))
+        forget(now)
+        now = step
+    return now.select("node", "root", "depth")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import digests
 from quernstone.plans.registry import query
-from quernstone.sources.tables import new_folder
-from quernstone.streaming import deliveries, intake
+from quernstone.sources.tables import new_folder, table
+from quernstone.streaming import deliveries, intake, memory
 
 
 @query("stream_window_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -89,3 +89,37 @@ def stream_deliveries(spark, d):
         F.count("*").alias("n"), F.min("seq").alias("first_event"), F.countDistinct(F.when(c("ok"), item["event_id"])).alias("ids"), F.coalesce(F.sum(F.when(c("ok"), F.length(item["statement"]))), F.lit(0)).cast("long").alias("statement_chars"),
         F.coalesce(F.sum(F.when(c("ok"), F.size(item["labels"]))), F.lit(0)).cast("long").alias("labels"), F.count_if(c("ok") & (item["reproduction"] != "")).alias("commands"),
     )
+
+
+RECALL = """s AS (SELECT s_suppkey AS id, 'Brand#' || s_suppkey % 25 AS repo, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE split_part(s_name, '#', 1) || '.r' || s_suppkey % 9 END AS symbol, 'A small ' || CASE s_suppkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'bolt widget' ELSE 'GEAR' END AS text, s_suppkey % 3 AS batch FROM supplier),
+p AS (SELECT p_partkey + 1000000 AS id, p_brand AS repo, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'r' || p_partkey % 40 END AS symbol, p_name AS text, p_size % 2 = 0 AS resolved, -1 AS batch FROM part),
+e AS (SELECT * FROM p WHERE resolved UNION ALL SELECT id, repo, symbol, text, true, batch FROM s),
+w AS (SELECT s.id task, e.id episode, s.repo = e.repo same, lower(s.symbol) a, lower(e.symbol) b, list_distinct(regexp_extract_all(lower(s.text), '[a-zA-Z_][a-zA-Z0-9_]*')) x, list_distinct(regexp_extract_all(lower(coalesce(e.text, '')), '[a-zA-Z_][a-zA-Z0-9_]*')) y, e.batch FROM s JOIN e ON {where} AND s.id <> e.id),
+v AS (SELECT task, episode, batch, CASE WHEN same THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) THEN 0.4::DOUBLE ELSE 0 END + 0.3::DOUBLE * (len(list_intersect(x, y))::DOUBLE / len(list_distinct(x || y))) + 0.1::DOUBLE AS exact FROM w),
+r AS (SELECT task, episode, batch, round(exact, 3) AS score FROM v WHERE exact > 0.1 QUALIFY row_number() OVER (PARTITION BY task ORDER BY round(exact, 3) DESC, episode) <= 3)"""
+
+
+@query("stream_memory_modes", f"""
+WITH {RECALL.format(where='e.batch < s.batch')}, f AS (SELECT * FROM (SELECT task, episode, batch, round(exact, 3) AS score FROM v WHERE exact > 0.1 AND batch < 0) QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, episode) <= 3)
+SELECT 'ONLINE' AS mode, count(*) AS n, count(*) FILTER (batch >= 0) AS recorded, sum(episode)::BIGINT AS episodes, round(sum(score), 3) AS score FROM r UNION ALL SELECT 'FROZEN', count(*), 0, sum(episode)::BIGINT, round(sum(score), 3) FROM f UNION ALL SELECT 'DISABLED', 0, 0, NULL, NULL""")
+def stream_memory_modes(spark, d):
+    """Suppliers as tasks in three batches, parts as past episodes: each mode recalls what it may see."""
+    c = F.col
+    n = c("s_suppkey") % 3
+    what = F.when(n == 0, "ring").when(n == 1, "bolt widget").otherwise("GEAR")
+    symbol = F.when(c("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.split("s_name", "#")[0], F.lit(".r"), c("s_suppkey") % 9))
+    tasks = table(spark, d, "supplier").select(c("s_suppkey").alias("id"), F.concat(F.lit("Brand#"), c("s_suppkey") % 25).alias("repo"), symbol.alias("symbol"), F.concat(F.lit("A small "), what).alias("text"), F.lit(True).alias("resolved"), n.alias("n"))
+    past = table(spark, d, "part").select((c("p_partkey") + 1_000_000).alias("id"), c("p_brand").alias("repo"), F.when(c("p_partkey") % 5 > 0, F.concat(F.lit("r"), c("p_partkey") % 40)).alias("symbol"), c("p_name").alias("text"), (c("p_size") % 2 == 0).alias("resolved"))
+    source = new_folder(spark)
+    for b in range(3):  # in this order, a file each
+        tasks.where(c("n") == b).drop("n").coalesce(1).write.mode("append").json(source)
+    out = None
+    for mode in ("ONLINE", "FROZEN", "DISABLED"):
+        folder, path = new_folder(spark), new_folder(spark)
+        memory.Memory(spark, folder).record(past, "past")
+        stream = spark.readStream.schema(memory.EPISODE).option("maxFilesPerTrigger", 1).json(source)
+        memory.answer(stream, memory.Memory(spark, folder, mode), path)
+        rows = spark.read.schema("task long, episode long, score double, rank long").parquet(f"{path}/rows")
+        one = rows.agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.count_if(c("episode") < 1_000_000).alias("recorded"), F.sum("episode").alias("episodes"), F.round(F.sum("score"), 3).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
