@@ -90,3 +90,9 @@ def phrases(lines: Column, patterns: tuple[str, ...], most: int, longer_than: in
 def lines(df, keep: list[str], text: str = "text"):
     """A row for each line: keep, line_no from 1, line."""
     return df.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))
+
+
+def parts(text: Column, least: int, most: int) -> Column:
+    """Distinct substrings of ``least`` to ``most`` letters: keys by which a containment join finds its candidates, linear in the text's length."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[at(n) for n in range(least, most + 1)]))

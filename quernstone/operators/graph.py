@@ -112,6 +112,21 @@ def site_relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return p.withColumn("relation", kind).drop("_down", "_up")
 
 
+def first_with_siblings(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """node, the number of its distinct others and siblings, and the first ``most`` of them, joined. pairs: node, other; nodes: id, path. Siblings are all
+    other nodes of the path; they are counted by path and listed by rank, not paired with each other."""
+    inside = nodes.groupBy("path").agg(F.count("*").alias("k"))
+    ranked = nodes.withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("id"))).where(F.col("_r") <= most + 1).select("path", F.col("id").alias("other"))
+    homes = nodes.select(F.col("id").alias("node"), "path")
+    outside = pairs.select("node", "other").distinct().join(homes, "node").join(homes.select(F.col("node").alias("other"), F.col("path").alias("_p")), "other").where("NOT path <=> _p")
+    siblings = homes.join(ranked, "path").where("node <> other").select("node", "other")
+    both = outside.select("node", "other").unionByName(siblings)
+    first = both.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("_r") <= most).groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("first"))
+    n = outside.groupBy("node").agg(F.count("*").alias("o"))
+    out = homes.join(inside, "path", "left").join(n, "node", "left").join(first, "node")
+    return out.select("node", (F.coalesce(F.col("k") - 1, F.lit(0)) + F.coalesce("o", F.lit(0))).alias("n"), "first")
+
+
 def first_of(pairs: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
     """For each group the number of its values and the first ``most`` of them, joined."""
     n = pairs.groupBy(*by).agg(F.count("*").alias("n"))

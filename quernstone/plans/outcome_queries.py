@@ -227,13 +227,12 @@ WITH w AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(
 n AS (SELECT DISTINCT item_id, name FROM w JOIN p ON contains(name, word)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY name) r FROM n)
 SELECT item_id, count(*) AS n_names, string_agg(CASE WHEN r <= 5 THEN name END, ',' ORDER BY name) AS first_names FROM r GROUP BY item_id""")
 def declared_by_containment(spark, d):
-    """Issue words of over four letters inside names, the documents' words. Both sides are cut to their distinct strings first; a name's substrings of the words' lengths make it an equi-join."""
+    """Issue words of over four letters inside names, the documents' words. Both sides are cut to their distinct strings first; a word's first five letters among a name's substrings of five make it an equi-join, held against the whole word."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z_]+)"), F.lit(1))
     w = table(spark, d, "benchmark").select("item_id", F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.length(x) > 4)).alias("word")).distinct()
     p = table(spark, d, "documents").select(F.explode(F.array_distinct(words)).alias("name")).distinct().where(F.length("name") > 4)
-    parts = p.select("name", F.explode(F.sequence(F.lit(5), F.length("name"))).alias("n"))
-    parts = parts.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda i: F.substring(F.col("name"), i, F.col("n")))).alias("word"))
-    held = parts.join(w, "word").select("item_id", "name").distinct()
+    keyed = p.select("name", F.explode(T.parts(F.col("name"), 5, 5)).alias("key"))
+    held = keyed.join(w.withColumn("key", F.substring("word", 1, 5)), "key").where(F.col("name").contains(F.col("word"))).select("item_id", "name").distinct()
     first = held.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("name"))).where("r <= 5").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("first_names"))
     return held.groupBy("item_id").agg(F.count("*").alias("n_names")).join(first, "item_id")
 

@@ -83,16 +83,14 @@ def module_imports(spark, d):
 
 
 @query("symbol_neighbourhood", f"""WITH {GRAPH}, calls AS (SELECT src AS node, dst AS other FROM edges WHERE kind = 'CALLS' UNION SELECT dst, src FROM edges WHERE kind = 'CALLS'),
-refs AS (SELECT node, other FROM ({BOTH}) JOIN nodes ON id = other WHERE kind IN ('FUNCTION', 'METHOD', 'CLASS')), g AS (SELECT path, min(id) m FROM nodes GROUP BY path), sib AS (SELECT id AS node, m AS other FROM nodes JOIN g USING (path) WHERE id <> m)
+refs AS (SELECT node, other FROM ({BOTH}) JOIN nodes ON id = other WHERE kind IN ('FUNCTION', 'METHOD', 'CLASS')), sib AS (SELECT a.id AS node, b.id AS other FROM nodes a JOIN nodes b USING (path) WHERE a.id <> b.id)
 {first_sql(IN_NODES.format("SELECT * FROM calls UNION ALL SELECT * FROM refs UNION ALL SELECT * FROM sib"), 'node', 'other', 15)}""")
 def symbol_neighbourhood(spark, d):
-    """A symbol's callers, callees, references to code and the first symbol of its file, as one set."""
+    """A symbol's callers, callees, references to code and the other symbols of its file, as one set."""
     n, e = graph(spark, d)
     calls, code = G.related(e, n, ("CALLS",)), n.where(F.col("kind").isin("FUNCTION", "METHOD", "CLASS")).select(F.col("id").alias("other"))
-    lead = n.groupBy("path").agg(F.min("id").alias("other"))
-    siblings = n.join(lead, "path").where("id <> other").select(F.col("id").alias("node"), "other")
-    pairs = calls.unionByName(G.related(e, n).join(code, "other", "left_semi").select("node", "other")).unionByName(siblings).distinct()
-    return G.first_of(pairs, ["node"], "other", 15)
+    pairs = calls.unionByName(G.related(e, n).join(code, "other", "left_semi").select("node", "other"))
+    return G.first_with_siblings(pairs, n, 15)
 
 
 def _part(name: str, pairs: str, value: str = "other") -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.functions import text as T
 from quernstone.operators.evidence import rows_state
 from quernstone.sources.tables import forget, written
 
@@ -24,12 +25,6 @@ def _tokens(text: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0)))
 
 
-def _grams(symbol: Column) -> Column:
-    """Distinct parts of one to three letters."""
-    at = lambda n: F.when(F.length(symbol) >= n, F.transform(F.sequence(F.lit(1), F.length(symbol) - n + 1), lambda i: F.substring(symbol, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(at(1), at(2), at(3)))
-
-
 def recall(tasks: DataFrame, episodes: DataFrame, k: int = 3, resolved_only: bool = True) -> DataFrame:
     """task, episode, score and rank of each task's k best episodes, other than one of its own id. tasks and episodes: id, repo, symbol, text; episodes say whether they are resolved.
 
@@ -44,8 +39,8 @@ def recall(tasks: DataFrame, episodes: DataFrame, k: int = 3, resolved_only: boo
     repo = t.join(ranked, F.col("t_repo") == F.col("e_repo")).select("task", "episode")
     head = lambda s: F.substring(s, 1, 3)
     named_t, named_e = t.where("t_s <> ''").select("task", "t_s"), e.where("e_s <> ''").select("episode", "e_s")
-    inside = named_t.withColumn("g", head("t_s")).join(named_e.withColumn("g", F.explode(_grams(F.col("e_s")))), "g").where(F.col("e_s").contains(F.col("t_s")))
-    around = named_t.withColumn("g", F.explode(_grams(F.col("t_s")))).join(named_e.withColumn("g", head("e_s")), "g").where(F.col("t_s").contains(F.col("e_s")))
+    inside = named_t.withColumn("g", head("t_s")).join(named_e.withColumn("g", F.explode(T.parts(F.col("e_s"), 1, 3))), "g").where(F.col("e_s").contains(F.col("t_s")))
+    around = named_t.withColumn("g", F.explode(T.parts(F.col("t_s"), 1, 3))).join(named_e.withColumn("g", head("e_s")), "g").where(F.col("t_s").contains(F.col("e_s")))
     met = words.unionByName(repo).unionByName(inside.select("task", "episode")).unionByName(around.select("task", "episode")).distinct().where("task <> episode")
     both = met.join(t, "task").join(e, "episode")
     common = F.size(F.array_intersect("t_w", "e_w"))
