@@ -23,6 +23,7 @@ def test_whole_table_against_brute_force(spark, sf):
 def test_drifting_copies_and_template_texts(spark, monkeypatch, block, per_copy, bits):
     """Large groups whose pairs lie on both sides of the limit; few buckets, so that the order of shingles is nearly their hashes'."""
     monkeypatch.setattr(simjoin, "BLOCK", block)
+    monkeypatch.setattr(simjoin, "SHORT", block // 5)
     monkeypatch.setattr(confirm, "PER_COPY", per_copy)
     monkeypatch.setattr(simjoin, "BITS", bits)
     monkeypatch.setattr(simjoin, "BUCKETS", 1 << bits)
@@ -42,6 +43,26 @@ def test_drifting_copies_and_template_texts(spark, monkeypatch, block, per_copy,
     assert result(simjoin.jaccard_groups(df)) == near(rows, 5, 80)
 
 
+@pytest.mark.parametrize("bits", [18, 5])
+def test_partners_of_other_sizes(spark, monkeypatch, bits):
+    """A text within a longer one: the prefixes end at different shingles, so what is dead for one prefix may be shared beyond the other."""
+    monkeypatch.setattr(simjoin, "BITS", bits)
+    monkeypatch.setattr(simjoin, "BUCKETS", 1 << bits)
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(30, 90))]
+        rows.append((3 * i, " ".join(words)))
+        rows.append((3 * i + 1, " ".join(words[rng.randrange(3) : len(words) - rng.randrange(8)])))
+        rows.append((3 * i + 2, " ".join([f"u{i}", *words[: len(words) - rng.randrange(6)], f"v{i}"])))
+    if bits == 5:
+        monkeypatch.setattr(simjoin, "MOST_IDS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near(rows, 3, 90)
+    assert result(simjoin.jaccard_groups(df, 3, 90)) == want
+    assert len({c for _, c in want.values()}) < 300
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  B\n"), (6, "a b c d e"), (6, "a b c d e"), (7, "a b c d e"), (None, "a b"), (8, "x" * 100_000), (9, "q r s t"), (9, "a b"), (10, "q r s t")]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, token int, print int")
@@ -67,3 +88,14 @@ def test_confirmation_deals_hot_documents_of_either_side(spark):
         got = {tuple(r) for r in confirm.confirmed(pairs, sets, 90, per_copy=4).collect()}
         want = {tuple(r) for r in pairs.collect()}
         assert got == want
+
+
+def test_signatures_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**62, n).astype(np.uint64)) for n in (0, 1, 50, 3000)]
+    sets += [np.concatenate([s[5:], rng.integers(0, 2**62, 3).astype(np.uint64)]) for s in sets[2:]]
+    edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sign = simjoin.signatures(np.concatenate(sets), edges)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert int(np.bitwise_count(sign[i] ^ sign[j]).sum()) <= len(np.setxor1d(a, b))
