@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that are not the first of their group, with docs' own columns.
 
-    Rows with equal id and text are one document, of which one row stays. Rows with one id and different texts are
+    Rows with equal id and text are one document, of which the row stays that is least by its fields as JSON. Rows with one id and different texts are
     documents of their own here, each kept or dropped by its own text, so that none is lost with the other; rows with a
     null id stay."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_i"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
@@ -258,10 +258,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc
         rows = rows.withColumn("_n", F.col("_i"))
     out = near_duplicates(rows.where("_n IS NOT NULL"), width, percent, "_n", "_t")
     dropped = written(out.where("NOT kept").select(F.col("doc_id").alias("_n")).distinct())
-    kept = rows.join(dropped, "_n", "left_anti")
+    kept = rows.join(dropped, "_n", "left_anti").select("_row", "_i", "_t")
     if repeated:
         twice = kept.join(ids.select("_i"), "_i", "left_semi")
-        kept = kept.join(ids.select("_i"), "_i", "left_anti").unionByName(twice.dropDuplicates(["_i", "_t"]))
+        # of rows with equal id and text the least as a whole stays, by its fields as JSON, so that reruns agree
+        one = twice.groupBy("_i", "_t").agg(F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row"))
+        kept = kept.join(ids.select("_i"), "_i", "left_anti").select("_row", "_i", "_t").unionByName(one.select("_row", "_i", "_t"))
     return kept.select("_row.*")
 
 

@@ -95,3 +95,14 @@ def test_pivots_of_many_pairs(spark, monkeypatch):
     rows += [(100 + i, " ".join(base + [f"y{i}"])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(neardup.near_duplicates(df, 4)) == near(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_which_of_equal_rows_stays(spark, parts):
+    """Rows of one id and text that differ in other columns: the least stays, in whatever order they lie."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, s, m) for s, m in (("s2", None), (None, {"k": 1}), ("s1", {"k": 2}), ("s1", {"k": 1}))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([*order, (2, "a b", "x", None)], "doc_id long, text string, source string, more map<string, int>").repartition(parts, "source")
+        kept = sorted((r.doc_id, r.source, r.more) for r in neardup.drop_near_duplicates(df).collect())
+        assert kept == [(1, "s1", {"k": 1}), (2, "x", None)]
