@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies stays (five words, similarity 0.8).
 
-    Texts without words and rows with a null id stay; of rows with equal id and text one stays; rows with one id and
+    Texts without words and rows with a null id stay; of rows with equal id and text the least (by its fields as JSON) stays; rows with one id and
     different texts are judged each by its own text; ties go to the smallest id; texts are compared whole."""
     return neardup.drop_near_duplicates(docs)
 
