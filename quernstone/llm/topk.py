@@ -8,7 +8,9 @@ searches one shard alone, dealt by a hash; then, with its kth score as the bar,
 largest norms; then, with the new bar, the rest. A query is copied to those shards only whose ball
 about the origin, |q| times the shard's largest norm, reaches the bar.
 
-The table of the shards' largest norms reaches each task as one row: 16 bytes for SHARD_ROWS vectors.
+Shards are numbered by falling norm, and neighbours share a bound where there are more than MOST_BALLS of
+them. So the table of the largest norms, which reaches each task as one row, holds at most 16 * MOST_BALLS
+bytes at any size; a query then goes to some more shards than it must, and loses none.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component, and rows with a null
 id, take no part; every other row is a candidate of every query but itself, rows with equal ids too,
@@ -31,6 +33,7 @@ from pyspark.sql.window import Window
 from quernstone.sources.tables import forget, table, written
 
 SHARD_ROWS, LEAF = 8192, 128
+MOST_BALLS = 65_536
 NONE = np.iinfo(np.int64).min
 
 
@@ -175,15 +178,27 @@ def _searched(k: int, factor: int):
     return run
 
 
+def sent(queries: DataFrame, balls: DataFrame, a: int, b: int, wide: int, shards: int) -> DataFrame:
+    """queries (norm, bar, home) once for each shard, but home, of the groups a to b that reach the bar. A group is ``wide`` shards.
+
+    The one row of balls meets the queries here, after the shuffle that brought their bars, and is gone before the next."""
+    reach = F.filter(F.slice("balls", a + 1, b - a), lambda x: -x["lo"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("bar"))
+    some = queries.crossJoin(F.broadcast(balls)).withColumn("_x", F.explode(reach)).drop("balls")
+    within = F.sequence(F.col("_x.group") * wide, F.least(F.col("_x.group") * wide + (wide - 1), F.lit(shards - 1)))
+    return some.withColumn("shard", F.explode(within.cast("array<int>"))).where(F.col("shard") != F.col("home")).drop("_x")
+
+
 def top_k(vectors: DataFrame, every: int, k: int, factor: int = 256, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best partners of each row whose id is divisible by ``every``."""
     rows = written(taking_part(vectors, factor, vec_id, vector).withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
     base = written(rows.repartitionByRange(shards, F.desc("norm"), F.xxhash64("row")).withColumn("shard", F.spark_partition_id()))
-    balls = written(base.groupBy("shard").agg(F.max("norm").alias("hi")).agg(F.array_sort(F.collect_list(F.struct((-F.col("hi")).alias("lo"), "shard"))).alias("balls")))
-    queries = rows.where(F.col("vec_id") % every == 0).crossJoin(F.broadcast(balls))  # one row
-    queries = queries.withColumn("home", F.get("balls", F.pmod(F.xxhash64("row"), F.greatest(F.lit(1), F.size("balls"))).cast("int"))["shard"])
+    wide = -(-shards // MOST_BALLS)
+    groups = -(-shards // wide)
+    largest = base.groupBy(F.floor(F.col("shard") / wide).alias("group")).agg(F.max("norm").alias("hi"))
+    balls = written(largest.agg(F.array_sort(F.collect_list(F.struct((-F.col("hi")).alias("lo"), "group"))).alias("balls")))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("home", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     open_bar = F.lit(int(NONE) + 1).cast("long")
     columns = ["shard", "kind", "dim", "row", "vec_id", "bar", "v"]
     vectors_of = base.select("shard", F.lit(0).alias("kind"), "dim", "row", "vec_id", open_bar.alias("bar"), "v")
@@ -197,12 +212,10 @@ def top_k(vectors: DataFrame, every: int, k: int, factor: int = 256, vec_id: str
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     found = searched(queries.withColumns({"shard": F.col("home"), "bar": open_bar}))
     if shards > 1:
-        first = math.ceil(math.sqrt(shards))
-        for a, b in ((0, first), (first, shards)):
+        first = math.ceil(math.sqrt(groups))
+        for a, b in ((0, first), (first, groups)):
             bars = found.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select("row", F.col("s").alias("bar"))
-            rest = queries.join(bars, "row", "left").withColumn("bar", F.coalesce("bar", open_bar))
-            some = F.filter(F.slice("balls", a + 1, b - a), lambda x: (x["shard"] != F.col("home")) & (-x["lo"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("bar")))
-            more = searched(rest.withColumn("x", F.explode(some)).withColumn("shard", F.col("x.shard")))
+            more = searched(sent(queries.join(bars, "row", "left").withColumn("bar", F.coalesce("bar", open_bar)), balls, a, b, wide, shards))
             found = written(ranked(found.unionByName(more)).drop("rank"))
     for done in (rows, base):
         forget(done)

@@ -30,6 +30,24 @@ def test_many_shards_agree_with_brute_force(spark, sf, monkeypatch):
     assert got(topk.op9_exact_top_k(spark, sf)) == brute(rows, 50, 5)
 
 
+def test_shards_that_share_a_bound(spark, sf, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 30)
+    monkeypatch.setattr(topk, "MOST_BALLS", 5)
+    rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
+    assert got(topk.op9_exact_top_k(spark, sf)) == brute(rows, 50, 5)
+
+
+def test_balls_are_not_shuffled_with_the_queries(spark):
+    queries = spark.range(9).selectExpr("id AS row", "1.0D AS norm", "0 AS home")
+    bars = spark.range(9).selectExpr("id AS row", "0L AS bar")
+    balls = spark.range(1).selectExpr("array(struct(-1.0D AS lo, 0L AS group), struct(-1.0D AS lo, 1L AS group)) AS balls")
+    joined = queries.hint("merge").join(bars, "row", "left")
+    out = topk.sent(joined, balls, 0, 2, 2, 3).repartition(3, "shard")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Exchange") < plan.index("NestedLoopJoin") < plan.index("SortMergeJoin")
+    assert sorted(tuple(r) for r in out.select("row", "shard").collect()) == [(i, s) for i in range(9) for s in (1, 2)]
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     rng = random.Random(3)
     rows = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)]
