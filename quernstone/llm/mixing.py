@@ -5,9 +5,13 @@ which bucket a source's budget ends; only that bucket's rows are split again, th
 (36 bits). A row is taken if its hash lies under its source's threshold: no row is sorted, the
 thresholds nest, so a larger budget keeps what a smaller one took, and reruns agree.
 
-Defined cases: a null text has size 0; a null source is the last source; rows with a null id hash
-as the empty string, and rows with equal ids go the same way, each with its own size; a source
-without words gets target 0; an empty table gives an empty result.
+The hash is that of a row's id and of its text, so a source of few ids, or of none, is split as finely
+as one of many.
+
+Defined cases: a null text has size 0 and hashes as an empty one; a null source is the last source; a
+null id hashes as the empty string; rows with equal id and text go the same way, rows with equal ids
+and different texts each their own; a source without words gets target 0; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE), "")), F.lit(0)).cast("long")
 
 
-def hash36(doc_id: Column) -> Column:
-    """The first 36 bits of the id's md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def hash36(doc_id: Column, text: Column) -> Column:
+    """The first 36 bits of the md5 of the id, a colon and the text's md5."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    row = F.concat(known(doc_id), F.lit(":"), F.md5(known(text).cast("binary")))
+    return F.conv(F.substring(F.md5(row.cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -76,7 +82,7 @@ def cutoffs(sizes: DataFrame, goal: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, sizes: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs' columns in _row, with _size, source_size, target and taken. sizes: the written (_source, _h, _size) of docs, where the caller has it."""
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).cast("string").alias("_source"), hash36(F.col(doc_id)).alias("_h"), n_words(F.col(text)).alias("_size"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).cast("string").alias("_source"), hash36(F.col(doc_id), F.col(text)).alias("_h"), n_words(F.col(text)).alias("_size"))
     if sizes is None:
         sizes = written(df.select("_source", "_h", "_size"))
     return taken(df, sizes)
@@ -99,13 +105,13 @@ def mix(docs: DataFrame) -> DataFrame:
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes."""
     docs = table(spark, sf_dir, "documents")
-    sizes = written(docs.select("doc_id", F.col("source").cast("string").alias("_source"), hash36(F.col("doc_id")).alias("_h"), n_words(F.col("text")).alias("_size")))
+    sizes = written(docs.select("doc_id", F.col("source").cast("string").alias("_source"), hash36(F.col("doc_id"), F.col("text")).alias("_h"), n_words(F.col("text")).alias("_size")))
     return taken(sizes, sizes).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def oracle() -> dict[str, str]:
     return {"op3_source_mix": rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 9))::BIGINT h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] w, 2*source_size cap, sum(source_size) OVER ()::DOUBLE total FROM s),
 r AS (SELECT *, (1.5::DOUBLE*total - coalesce(sum(cap) OVER (ORDER BY cap/w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / sum(w) OVER (ORDER BY cap/w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) lv FROM w),

@@ -99,12 +99,13 @@ def kept(rows, metrics, fence, prior, unit):
 
 
 def mix(rows, weights=(5, 2, 1), share=1.5, most=2):
-    """Words that each (doc_id, source, size) row gives. Hashes are compared whole: rows of one hash go together."""
+    """Words that each (doc_id, source, size, text) row gives. Hashes are compared whole: rows of one hash go together."""
     import hashlib
 
-    h = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:9], 16)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    h = lambda d, t: int(md5(("" if d is None else str(d)) + ":" + md5(t or ""))[:9], 16)
     size = defaultdict(int)
-    for _, s, n in rows:
+    for _, s, n, _ in rows:
         size[s] += n
     names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -125,15 +126,15 @@ def mix(rows, weights=(5, 2, 1), share=1.5, most=2):
         times = int(target[s] / size[s] + 1e-12) if size[s] else 0
         budget, total, below = target[s] - times * size[s], 0, 0
         by = defaultdict(int)
-        for d, src, n in rows:
+        for d, src, n, t in rows:
             if src == s:
-                by[h(d)] += n
+                by[h(d, t)] += n
         for x in sorted(by):
             if total + by[x] > budget + 1e-6:
                 below = x + (2 * (budget - total) > by[x])
                 break
             total += by[x]
-        for i, (d, src, n) in enumerate(rows):
+        for i, (d, src, n, t) in enumerate(rows):
             if src == s:
-                out[i] = n * (times + (h(d) < below))
+                out[i] = n * (times + (h(d, t) < below))
     return out, target

@@ -47,7 +47,7 @@ def test_stages_against_brute_force(spark, sf):
     text = passages([r[:2] for r in rows])
     docs = written(stages["suffix_dedup"](spark, docs, sf))
     assert docs.columns == columns and {r.doc_id: (r.text, r.n_chars) for r in docs.collect()} == {d: (t, len(t)) for d, t in text.items()}
-    taken, _ = mix([(r[0], r[3], counts(text[r[0]])[0]) for r in rows])
+    taken, _ = mix([(r[0], r[3], counts(text[r[0]])[0], text[r[0]]) for r in rows])
     docs = written(stages["source_mix"](spark, docs, sf))
     assert docs.columns == columns
     out = [(r.doc_id, r.text) for r in docs.collect()]
@@ -59,3 +59,25 @@ def test_stages_against_brute_force(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    good = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(8))
+    other = good.replace("w", "v")
+    rows = [(1, good, "en", "s"), (1, good, "en", "t"), (2, good, "en", "s"), (2, good, "en", "s"), (None, other, None, None), (None, other, None, None), (3, None, "en", "s"), (4, "", None, "s"), (5, "é " + " ".join(f"z{j}" for j in range(40_000)), "de", "s")]
+    names = ["_i", "_t", "_row", "_h", "_size", "row", "shard", "target", "taken", "kept", "n_words", "piece", "_source", "component_id", "text_crc32"]
+    rows = [(*r[:2], len(r[1] or ""), *r[2:], *[f"{c}{k}" for c in names]) for k, r in enumerate(rows)]
+    schema = "doc_id long, text string, n_chars long, lang string, source string, " + ", ".join(f"`{c}` string" for c in names)
+    for n in (0, len(rows)):
+        docs = written(spark.createDataFrame(rows[:n], schema))
+        for name, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, docs, ""))
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns, name
+                docs = out
+            if name == "quality_rules":
+                assert out.count() == min(n, 7)  # without words: rejected
+            if name == "near_dedup":
+                assert sorted(repr(r.doc_id) for r in out.collect()) == (["1", "5", "None", "None"] if n else [])
+                assert not n or [r._row for r in out.collect() if r.doc_id == 1] == ["_row0"]
+        assert (out.count() > 0) == (n > 0)

@@ -46,7 +46,7 @@ def test_fences_come_from_the_groups(spark):
 def test_mix_against_brute_force(spark):
     rows = many()
     df = spark.createDataFrame(rows, SCHEMA)
-    want, target = mix([(r[0], r[3], counts(r[1])[0]) for r in rows])
+    want, target = mix([(r[0], r[3], counts(r[1])[0], r[1]) for r in rows])
     out = mixing.mixed(df).select("_row.doc_id", "_row.text", "_size", "target", "_source", "taken").collect()
     assert sorted(repr((r.doc_id, r.text, r.taken)) for r in out) == sorted(repr((r[0], r[1], w)) for r, w in zip(rows, want))
     assert all(abs(r.target - target[r._source]) < 1e-6 and r.taken <= 2 * r._size for r in out)
@@ -57,6 +57,12 @@ def test_mix_against_brute_force(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df.where("doc_id < 3")).count() >= 0
 
 
+def test_a_source_of_one_id_meets_its_target(spark):
+    rows = [(None if i % 2 else 7, f"text {i} " * 20, "en", "abc"[i % 3], i) for i in range(3000)]
+    out = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).groupBy("_source", "target").sum("taken").collect()
+    assert len(out) == 3 and all(abs(r["sum(taken)"] - r.target) <= 40 for r in out)
+
+
 def check_shards(rows, docs):
     size = lambda t: len((t or "").encode()) + 8
     assert sorted(repr((r.doc_id, r.size, r.text_crc32)) for r in rows) == sorted(repr((d, size(t), zlib.crc32((t or "").encode()))) for d, t in docs)
