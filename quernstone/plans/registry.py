@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quernstone.plans import evidence_queries, gate_queries, graph_queries, outcome_queries, relation_queries, stream_queries, text_queries, tool_queries, verdict_queries  # noqa: F401
+    from quernstone.plans import candidate_queries, evidence_queries, gate_queries, graph_queries, outcome_queries, relation_queries, stream_queries, text_queries, tool_queries, verdict_queries  # noqa: F401
 
 
 def queries() -> dict:
