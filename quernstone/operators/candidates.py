@@ -60,8 +60,9 @@ def scored(hypotheses: DataFrame, evidence: DataFrame, case: str) -> DataFrame:
 
     hypotheses: case, hypothesis, confidence, files and candidate_files (arrays). evidence: hypothesis, type, source and
     relevance in hundredths, whose sums are exact. Semantic is a mean, structural and error counts are capped, consistency
-    is the share of the files that are candidates. Hypotheses without evidence or files have zeros there."""
+    is the share of the files that are candidates. Three places, half up, whatever the order of the sums. Hypotheses without evidence or files have zeros there."""
     kind = lambda *types: F.col("type").isin(*types)
+    places = lambda x: F.floor(x * 1000 + 0.500001) / 1000
     ran = kind(*ERROR) & F.col("source").isin("execution", "test")
     parts = evidence.groupBy("hypothesis").agg(
         (F.sum(F.when(kind(*SEMANTIC), F.col("relevance"))) / F.count_if(kind(*SEMANTIC)) / 100).alias("_semantic"),
@@ -72,9 +73,9 @@ def scored(hypotheses: DataFrame, evidence: DataFrame, case: str) -> DataFrame:
     both = F.size(F.array_intersect("files", "candidate_files"))
     part = {p: F.coalesce(F.col(f"_{p}"), F.lit(0.0)) for p in ("semantic", "structural", "test", "error")}
     part["consistency"] = F.when(F.size("files") > 0, both / F.size("files")).otherwise(0.0)
-    h = h.withColumn("total", F.round(sum(part.values()), 3))
+    h = h.withColumn("total", places(sum(part.values())))
     order = Window.partitionBy(case).orderBy(F.desc("total"), F.desc("confidence"), "hypothesis")
-    return h.select(case, "hypothesis", *[F.round(v, 3).alias(p) for p, v in part.items()], "total", F.row_number().over(order).cast("long").alias("rank"))
+    return h.select(case, "hypothesis", *[places(v).alias(p) for p, v in part.items()], "total", F.row_number().over(order).cast("long").alias("rank"))
 
 
 def claims(profiles: DataFrame) -> DataFrame:

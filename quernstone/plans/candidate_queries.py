@@ -74,8 +74,8 @@ WITH e AS (SELECT l_orderkey h, ['SEMANTIC_MATCH', 'GRAPH_RELATION', 'STACK_TRAC
 p AS (SELECT h, coalesce(avg(r) FILTER (t IN ('SEMANTIC_MATCH', 'ISSUE_TEXT', 'GRAPH_RELATION')) / 100::DOUBLE, 0) semantic, least(0.6::DOUBLE, 0.2::DOUBLE * count(*) FILTER (t = 'GRAPH_RELATION')) structural, CASE WHEN bool_or(t = 'TEST_REFERENCE') THEN 0.3 ELSE 0 END::DOUBLE test,
   least(0.6::DOUBLE, 0.3::DOUBLE * count(*) FILTER (t IN ('STACK_TRACE', 'CODE_BEHAVIOR') AND s <> 'model')) error, list(f) files FROM e GROUP BY h),
 x AS (SELECT o_custkey g, o_orderkey h, floor(o_totalprice) conf, coalesce(semantic, 0) semantic, coalesce(structural, 0) structural, coalesce(test, 0) test, coalesce(error, 0) error, coalesce(len(list_intersect(files, [o_custkey % 6, (o_custkey + 1) % 6])) / len(files), 0)::DOUBLE consistency FROM orders LEFT JOIN p ON h = o_orderkey),
-y AS (SELECT *, round(semantic + structural + test + error + consistency, 3) total FROM x)
-SELECT g AS o_custkey, h AS hypothesis, round(semantic, 3) AS semantic, round(structural, 3) AS structural, round(test, 3) AS test, round(error, 3) AS error, round(consistency, 3) AS consistency, total, row_number() OVER (PARTITION BY g ORDER BY total DESC, conf DESC, h) AS rank FROM y""")
+y AS (SELECT *, floor((semantic + structural + test + error + consistency) * 1000::DOUBLE + 0.500001::DOUBLE) / 1000::DOUBLE total FROM x)
+SELECT g AS o_custkey, h AS hypothesis, floor((semantic) * 1000::DOUBLE + 0.500001::DOUBLE) / 1000::DOUBLE AS semantic, floor((structural) * 1000::DOUBLE + 0.500001::DOUBLE) / 1000::DOUBLE AS structural, floor((test) * 1000::DOUBLE + 0.500001::DOUBLE) / 1000::DOUBLE AS test, floor((error) * 1000::DOUBLE + 0.500001::DOUBLE) / 1000::DOUBLE AS error, floor((consistency) * 1000::DOUBLE + 0.500001::DOUBLE) / 1000::DOUBLE AS consistency, total, row_number() OVER (PARTITION BY g ORDER BY total DESC, conf DESC, h) AS rank FROM y""")
 def hypothesis_parts(spark, d):
     """A customer's orders as hypotheses with their lines as evidence."""
     c = F.col
