@@ -50,8 +50,36 @@ def covered(frames: DataFrame, candidates: DataFrame, case: str) -> DataFrame:
     return out.select(case, "candidate", depth.cast("long").alias("depth"), F.col("_m.line").alias("line"), F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"), F.coalesce(points, F.lit(0.0)).alias("points"))
 
 
+#: Levels of the dyadic grid of ``first_holding``; spans and places lie within 2 ** LEVELS of 0.
+LEVELS = 40
+
+
+def first_holding(places: DataFrame, spans: DataFrame, keys: list[str], at: str, value: Column) -> DataFrame:
+    """keys, at and the least value (``least``) of the spans (lo, hi) of the keys that hold the place; none where no span does."""
+    return held(places, spans, keys, at, value).groupBy(*keys, at).agg(F.min("_v").alias("least"))
+
+
+def held(places: DataFrame, spans: DataFrame, keys: list[str], at: str, value: Column) -> DataFrame:
+    """Places with the least value (``_v``) of the spans in each cell that holds them, a row for each of their cells.
+
+    A span is cut into the fewest cells of a dyadic grid, at most two of each width, and the least value of each cell is kept; a place asks the cells
+    that it lies in. So no place meets each of its spans: rows grow with places and spans, not with their pairs."""
+    low, high = F.floor("lo").cast("long"), F.floor("hi").cast("long")
+    grids = F.sequence(F.lit(0), F.lit(LEVELS))
+    # a = ceil(lo / 2^n), b = floor((hi + 1) / 2^n): the span's whole cells of level n are a .. b - 1
+    cell = lambda n: F.struct(n.alias("n"), (-F.call_function("shiftright", -F.col("_lo"), n)).alias("a"), F.call_function("shiftright", F.col("_hi") + 1, n).alias("b"))
+    ends = F.filter(F.transform(grids, cell), lambda c: c["a"] < c["b"])
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+    own = lambda c: F.array_distinct(F.concat(F.when(odd(c["a"]), F.array(c["a"])).otherwise(F.array().cast("array<bigint>")), F.when(odd(c["b"]), F.array(c["b"] - 1)).otherwise(F.array().cast("array<bigint>"))))
+    cells = F.flatten(F.transform(ends, lambda c: F.transform(own(c), lambda i: F.struct(c["n"].alias("n"), i.alias("i")))))
+    s = spans.where("lo <= hi").select(*keys, low.alias("_lo"), high.alias("_hi"), value.alias("_v"))
+    s = s.withColumn("_cell", F.explode(cells)).groupBy(*keys, "_cell").agg(F.min("_v").alias("_v"))
+    p = places.select(*keys, at).distinct().withColumn("_cell", F.explode(F.transform(grids, lambda n: F.struct(n.alias("n"), F.call_function("shiftright", F.floor(at).cast("long"), n).alias("i")))))
+    return p.join(s, [*keys, "_cell"])
+
+
 def enclosing(places: DataFrame, spans: DataFrame, file: str, at: str, kinds: tuple[str, ...] = ("method", "function")) -> DataFrame:
-    """Each place with the first span (symbol, kind, nth, lo, hi) that holds it, one of ``kinds`` before any other; null where none does."""
-    best = F.min(F.struct((~F.col("kind").isin(*kinds)).alias("other"), "nth", "symbol", "kind"))
-    found = within(places.select(file, at).distinct(), spans, [file], at).groupBy(file, at).agg(best.alias("_m"))
-    return places.join(found, [file, at], "left").select(*places.columns, F.col("_m.symbol").alias("symbol"), F.col("_m.kind").alias("kind"))
+    """Each place with the first span (symbol, kind, nth, lo, hi) that holds it, one of ``kinds`` before any other; null where none does. Lines are whole numbers."""
+    first = F.struct((~F.col("kind").isin(*kinds)).alias("other"), "nth", "symbol", "kind")
+    found = first_holding(places, spans, [file], at, first)
+    return places.join(found, [file, at], "left").select(*places.columns, F.col("least.symbol").alias("symbol"), F.col("least.kind").alias("kind"))
