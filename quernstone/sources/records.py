@@ -63,10 +63,13 @@ def run_reports(spark: SparkSession, root: str, run: str, folders: tuple[str, ..
     if not there:
         return spark.createDataFrame([], schema)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(there)
+    # a variant for each field, not for the document: the parts of one variant all carry its dictionary of field names, and its size is limited
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    docs = raw.select("path", F.try_parse_json(text).alias("doc")).where(F.schema_of_variant("doc").startswith("OBJECT"))
-    one = docs.select("path", F.try_variant_get("doc", "$.instance_id", "string").alias("instance"), F.try_variant_get("doc", "$.result", "variant").alias("entry"))
-    many = docs.where(F.try_variant_get("doc", "$.instance_id", "string").isNull()).lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select("path", F.col("key").alias("instance"), F.col("value").alias("entry"))
+    docs = raw.select("path", F.when(F.ltrim(F.translate(text, "\t\r\n", "   ")).startswith("{"), F.from_json(text, "map<string,variant>")).alias("doc"))
+    docs = docs.where(F.size(F.array_distinct(F.map_keys("doc"))) == F.size("doc"))  # a name given twice: no valid report
+    alone = F.try_variant_get(F.try_element_at("doc", F.lit("instance_id")), "$", "string")
+    one = docs.select("path", alone.alias("instance"), F.try_element_at("doc", F.lit("result")).alias("entry"))
+    many = docs.where(alone.isNull()).select("path", F.explode("doc").alias("instance", "entry"))
     has = lambda name: F.try_variant_get("entry", f"$.{name}", "variant").isNotNull()
     found = one.where(F.col("instance").isNotNull() & has("resolved")).unionByName(many.where(F.schema_of_variant("entry").startswith("OBJECT") & (has("resolved") | has("tests_status"))))
     first = found.withColumn("_r", F.row_number().over(Window.partitionBy("instance").orderBy("path"))).where("_r = 1")
