@@ -64,9 +64,24 @@ def details(log: Column, test: Column) -> Column:
     block = F.call_function("regexp_extract", log, title, F.lit(1))
     at = F.call_function("locate", name, log)
     rest = F.when((at > 0) & (name != ""), F.substr(log, at, F.lit(2000))).when(log.contains("AssertionError") | log.contains("\nE ") | log.startswith("E "), log).otherwise("")
-    body = F.when(name == "", "").when(block != "", block).otherwise(rest)
+    body = once(block, lambda b: F.when(name == "", "").when(b != "", b).otherwise(rest))
+    return once(body, _of_body)
+
+
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _of_body(body: Column) -> Column:
     errors = F.filter(F.transform(raw_lines(body), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x.startswith("E "))
     errors = F.transform(errors, lambda x: F.trim(F.substr(x, F.lit(3)), F.lit(" \t")))
+    frame = r"([a-zA-Z0-9_\-\.\/]+\.py):(\d+):\s*(.*)"
+    frames = F.zip_with(F.regexp_extract_all(body, F.lit(frame), F.lit(1)), F.regexp_extract_all(body, F.lit(frame), F.lit(2)), lambda f, n: F.struct(f.alias("f"), n.alias("n")))
+    return once(F.struct(errors.alias("errors"), frames.alias("frames")), lambda x: _of_parts(body, x["errors"], x["frames"]))
+
+
+def _of_parts(body: Column, errors: Column, frames: Column) -> Column:
     first = F.coalesce(F.get(errors, F.lit(0)), F.lit(""))
     head = F.regexp_extract(first, r"^([^ :]*):", 1)
     typed = first.rlike(r"^[^ :]*:")
@@ -74,8 +89,6 @@ def details(log: Column, test: Column) -> Column:
     kind = F.when(F.size(errors) == 0, plain_type).when(typed, head).otherwise(F.when(first.contains("assert"), "AssertionError").otherwise("Error"))
     message = F.when(F.size(errors) == 0, F.trim(plain_text)).when(typed, F.trim(F.regexp_replace(first, r"^[^ :]*:", ""))).otherwise(first)
     diff = F.slice(F.filter(errors, lambda x: x.rlike(r"^(?:[-+]|where)")), 1, 4)
-    frame = r"([a-zA-Z0-9_\-\.\/]+\.py):(\d+):\s*(.*)"
-    frames = F.zip_with(F.regexp_extract_all(body, F.lit(frame), F.lit(1)), F.regexp_extract_all(body, F.lit(frame), F.lit(2)), lambda f, n: F.struct(f.alias("f"), n.alias("n")))
     own = F.filter(frames, lambda x: ~x["f"].startswith("/opt") & ~x["f"].contains("site-packages") & ~x["f"].rlike(r"(?:^|/)test"))
     chosen = F.coalesce(F.try_element_at(own, F.lit(-1)), F.try_element_at(frames, F.lit(-1)))
     locus = F.coalesce(F.concat_ws(":", chosen["f"], chosen["n"]), F.lit(""))
