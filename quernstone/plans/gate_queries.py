@@ -13,7 +13,7 @@ from quernstone.operators import verdicts as V
 from quernstone.plans.outcome_queries import OUTCOME, outcomes
 from quernstone.plans.registry import query
 from quernstone.sources import code as C
-from quernstone.sources.tables import table
+from quernstone.sources.tables import dealt, table
 
 
 def _s(*parts):
@@ -80,8 +80,8 @@ def failure_details(spark, d):
     log = log.when(s == 1, _s("___ test_a ___\ntests/test_a.py:3: in t\nE   assert 1 == ", k, "\nE   - 1\nE   + ", k, "\n=== short test summary info ===\nFAILED x\n"))
     log = log.when(s == 2, _s("FAILED tests/x.py::test_a\nlib/z.py:9: KeyError: k", k, "\n==== FAILURES ====\n", other))
     log = log.when(s == 3, _s("so test_a went wrong\nE boom went: ", k, "\n")).when(s == 4, F.lit("all passed"))
-    out = table(spark, d, "orders").select("o_orderkey", L.details(log.otherwise(F.lit(None).cast("string")), F.lit("tests/x.py::test_a")).alias("i"))
-    return out.select("o_orderkey", "i.*")
+    out = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", L.details(log.otherwise(F.lit(None).cast("string")), F.lit("tests/x.py::test_a")).alias("i"))
+    return out.select("o_orderkey", F.inline(F.array("i")))
 
 
 @query("sentinel_log", """
@@ -171,6 +171,6 @@ def static_gate(spark, d):
         0: _s("def a(x, text=1):\n    return -", c("o_custkey"), "\n\ndef b():\n    pass\n"), 1: F.concat(before, F.lit("@@ -1 @@\nx = 1\n")), 2: F.concat(before, F.lit("def (:\n")), 3: before, 4: F.concat(before, more(151)),
         5: _s("def a(x, text=1):\n    return ", c("o_custkey"), "\n"), 6: _s("def a(x):\n    return ", c("o_custkey"), "\n\ndef b():\n    pass\n"), 7: _s("def a(x, text=1):\n    return ", c("o_custkey"), "\n\ns = '```'\n", more(150)),
     }, F.concat(before, F.lit("c = b\n")))
-    o = table(spark, d, "orders").select("o_orderkey", before.alias("x"), after.alias("y")).withColumn("f", C.revision("x", "y"))
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", before.alias("x"), after.alias("y")).withColumn("f", C.revision("x", "y"))
     errors = V.static_gate(c("x"), c("y"), c("f"), F.array(F.lit("a")), F.array(F.lit("text")))
     return o.select("o_orderkey", F.array_join(errors, ",").alias("errors"), c("f.added").alias("added"))
