@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.sources import code
-from quernstone.sources.tables import forget, written
+from quernstone.sources.tables import dealt, forget, written
 
 BUCKETS = 64
 
@@ -23,6 +23,7 @@ def _exists(files: DataFrame, folder: str) -> bool:
 
 def _records(files: DataFrame, what) -> DataFrame:
     """path, fingerprint, bucket and rows of each file; a file that gives no rows has an empty array, so that it is not parsed again."""
+    files = dealt(files, "path")
     rows = code.parsed(files.select("path", "code"), what)
     one = rows.groupBy("path").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "path"])).alias("rows"))
     return files.join(one, "path", "left").select("path", "fingerprint", "bucket", F.coalesce("rows", F.array().cast(one.schema["rows"].dataType)).alias("rows"))
@@ -34,7 +35,7 @@ def refreshed(files: DataFrame, folder: str, what=code.ParseEdges, buckets: int
     now = files.select("path", "fingerprint", "bucket")
     spark = files.sparkSession
     if not _exists(files, folder):
-        _records(files, what).write.partitionBy("bucket").parquet(folder)
+        _records(files, what).repartition("bucket").write.partitionBy("bucket").parquet(folder)  # a file for each bucket
         n = spark.read.parquet(folder).count()
     else:
         old = spark.read.parquet(folder)
@@ -49,7 +50,7 @@ def refreshed(files: DataFrame, folder: str, what=code.ParseEdges, buckets: int
             none = spark.createDataFrame([(b,) for b in touched], "bucket int").select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("fingerprint"), "bucket", F.lit(None).cast(fresh.schema["rows"].dataType).alias("rows"))
             columns = ["path", "fingerprint", "bucket", "rows"]
             both = written(kept.select(*columns).unionByName(fresh).unionByName(none))  # a bucket that has lost all its files is written, too
-            both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+            both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
             forget(both)
         for done in (changed, gone):
             forget(done)
