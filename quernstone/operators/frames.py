@@ -12,16 +12,30 @@ FOREIGN = ("packages", "vendor", "third_party")
 COVERS, DEPTH, INNERMOST = 30.0, 30.0, 30.0
 
 
+def _grid() -> Column:
+    """The number of the narrowest grid that is as wide as the span."""
+    length, n = F.col("hi") - F.col("lo"), F.lit(len(WIDTHS) - 1)
+    for i in reversed(range(len(WIDTHS) - 1)):
+        n = F.when(length < WIDTHS[i], i).otherwise(n)
+    return n
+
+
+def grids(spans: DataFrame) -> list[int]:
+    """The grids that spans lie on."""
+    return sorted(r.n for r in spans.where("lo <= hi").select(_grid().alias("n")).distinct().collect())
+
+
 def within(places: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """places with each span (lo, hi) of their keys that holds ``at``. A place is copied once for each grid, a span at most twice, however long."""
-    length = F.col("hi") - F.col("lo")
-    grid = lambda x, n: F.floor(F.col(x) / WIDTHS[n])
-    cells = F.lit(None)
-    for n in reversed(range(len(WIDTHS))):
-        cell = F.array_distinct(F.transform(F.array(grid("lo", n), grid("hi", n)), lambda b: F.struct(F.lit(n).alias("n"), b.alias("b"))))  # noqa: B023
-        cells = F.when(length < WIDTHS[n], cell).otherwise(cells) if n < len(WIDTHS) - 1 else cell
-    s = spans.where("lo <= hi").withColumn("_cell", F.explode(cells))
-    p = places.withColumn("_cell", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), grid(at, n).alias("b")) for n in range(len(WIDTHS))])))
+    """places with each span (lo, hi) of their keys that holds ``at``. A place is copied once for each grid that a span lies on, a span at most twice, however long.
+    Which grids are in use is asked first: at most len(WIDTHS) numbers."""
+    used, level = grids(spans), _grid()
+    spans = spans.where("lo <= hi")
+    cell = lambda x, n: F.floor(F.col(x) / WIDTHS[n]) * len(WIDTHS) + n
+    cells = F.array().cast("array<long>")
+    for n in used:
+        cells = F.when(level == n, F.array_distinct(F.array(cell("lo", n), cell("hi", n)))).otherwise(cells)
+    s = spans.withColumn("_cell", F.explode(cells))
+    p = places.withColumn("_cell", F.explode(F.array(*[cell(at, n) for n in used]).cast("array<long>")))
     return p.join(s, [*keys, "_cell"]).where(F.col(at).between(F.col("lo"), F.col("hi"))).drop("_cell")
 
 
