@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.sources.tables import written
+from quernstone.sources.tables import dealt_by_rows, written
 
 
 def cochange(items: DataFrame, commit: str, item: str, k: int = 5) -> DataFrame:
-    """item, partner, commits that hold both, and the partner's rank among the first k. The pairs of a commit grow with the square of its items, as the counts asked for do; commits hold few."""
-    i = items.select(commit, item).distinct()
-    pairs = i.join(i.withColumnRenamed(item, "partner"), commit).where(F.col(item) != F.col("partner"))
-    n = pairs.groupBy(item, "partner").agg(F.count("*").alias("together"))
+    """item, partner, commits that hold both, and the partner's rank among the first k. The pairs of a commit grow with the square of its items, as the counts asked for do; commits hold few.
+
+    A pair is made once for both its items, and pairs are dealt by their number before they are counted: counted where the join makes them,
+    a task's counts would be as many as its pairs."""
+    i = items.select(commit, item).where(F.col(commit).isNotNull() & F.col(item).isNotNull())
+    i = dealt_by_rows(i, items.count(), commit).distinct()
+    rows = i.groupBy(commit).agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    pairs = i.join(i.withColumnRenamed(item, "partner"), commit).where(F.col(item) < F.col("partner")).select(item, "partner")
+    n = dealt_by_rows(pairs, rows, item, "partner").groupBy(item, "partner").agg(F.count("*").alias("together"))
+    ways = F.array(F.struct(F.col(item), "partner"), F.struct(F.col("partner").alias(item), F.col(item).alias("partner")))
+    n = n.select(F.explode(ways).alias("p"), "together").select(f"p.{item}", "p.partner", "together")
     w = Window.partitionBy(item).orderBy(F.desc("together"), "partner")
     return n.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
