@@ -13,7 +13,10 @@ from quernstone.operators import verdicts as V
 from quernstone.plans.outcome_queries import OUTCOME, outcomes
 from quernstone.plans.registry import query
 from quernstone.sources import code as C
-from quernstone.sources.tables import dealt, table
+from quernstone.sources.tables import dealt, dealt_by_rows, table
+
+#: Lines of orders whose blame one task reads; each is two to three lines of text.
+BLAMED_ROWS = 250_000
 
 
 def _s(*parts):
@@ -132,7 +135,9 @@ def blame_lines(spark, d):
     xs = F.array_sort(F.collect_list(F.struct(c("l_linenumber").alias("n"), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_quantity").alias("q"))))
     head = lambda x: _s("hash", F.lpad(x["p"].cast("string"), 8, "0"), " 1 2 3\nauthor Ann ", x["s"], "\nauthor-mail <a@b>\nsummary summary of ", x["n"], "\nfilename f.py\n")
     text = F.transform(xs, lambda x, i: F.concat(F.when(i % 3 == 0, head(x)).otherwise(F.lit("")), _s("\tcode ", x["n"])))
-    logs = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("orderkey")).agg(F.array_join(text, "\n").alias("log"))
+    lines = table(spark, d, "lineitem")
+    lines = dealt_by_rows(lines.withColumnRenamed("l_orderkey", "orderkey"), lines.count(), "orderkey", each=BLAMED_ROWS)
+    logs = lines.groupBy("orderkey").agg(F.array_join(text, "\n").alias("log"))
     out = L.blamed(logs, "orderkey", "log")
     from pyspark.sql.window import Window
 

@@ -26,3 +26,11 @@ def test_cochange_deals_pairs_by_their_number(spark, monkeypatch):
     plan = exchanges(out)
     assert pairs > 50 * 4 and f"{-(-pairs // 50)}), REPARTITION_BY_NUM" in plan
     assert H.cochange(df.where(F.lit(False)), "c", "i").count() == 0
+
+
+def test_blame_is_dealt_by_its_lines(spark, monkeypatch):
+    from quernstone.plans import gate_queries
+
+    monkeypatch.setattr(gate_queries, "BLAMED_ROWS", 100)
+    lines = tables.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert f"{-(-lines // 100)}), REPARTITION_BY_NUM" in exchanges(gate_queries.blame_lines(spark, "/root/testdata/sf0.001"))
