@@ -35,8 +35,8 @@ from pyspark.sql.window import Window
 
 from quernstone.llm import textbytes
 from quernstone.llm.components import components
-from quernstone.llm.confirm import confirmed
-from quernstone.llm.neardup import SLICE_BYTES, _sets
+from quernstone.llm.confirm import confirmed_texts
+from quernstone.llm.neardup import SLICE_BYTES
 from quernstone.sources.tables import forget, table, written
 
 BITS = 18
@@ -185,13 +185,17 @@ def _bucket_counts(marks: DataFrame) -> np.ndarray:
     return counts
 
 
-def _live_postings(prefixes: DataFrame, percent: int) -> DataFrame:
+def _live_postings(prefixes: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """token, doc, h, pos, n, matches, live and df of the prefix shingles that two or more documents hold in their prefixes.
 
     live is what the document can share with any other that holds this shingle in its prefix: all its shingles but the dead ones before it. (A partner's
     prefix reaches at least up to this shingle, so it would hold them, too.) Postings at which that is too little for the similarity go."""
     posts = prefixes.select("doc", "h", F.posexplode("prefix").alias("pos", "token"))
-    lists = posts.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("df")).where("lo <> hi")
+    lists = posts.groupBy("token")
+    if repeated:  # one id may hold a shingle in two of its sets
+        lists = lists.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("df")).where("lo <> hi")
+    else:  # less to shuffle: nearly every shingle is one row of this
+        lists = lists.agg(F.count("*").alias("df")).where("df > 1")
     met = posts.join(lists.select("token", "df").hint("merge"), "token")
     before = F.row_number().over(Window.partitionBy("doc", "h").orderBy("pos")) - 1
     met = met.withColumn("dead", F.col("pos") - before).join(prefixes.select("doc", "h", "n", "matches").hint("merge"), ["doc", "h"])
@@ -210,18 +214,14 @@ def _bits_of(ids: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
-def _some_sets(width: int, passed: np.ndarray | None):
-    """doc_id and shingles of the texts whose ids are in the bitmap; of all without one."""
-    sets = _sets(width)
+def _some_texts(passed: np.ndarray):
+    """The rows of doc_id and text whose ids are in the bitmap."""
 
     def run(batches):
         for batch in batches:
-            if passed is not None and batch.num_rows:
-                ids = batch.column(0).fill_null(0).to_numpy()
-                at = _id_bits(ids)
-                batch = batch.filter(pa.array((passed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             if batch.num_rows:
-                yield from sets([batch])
+                at = _id_bits(batch.column(0).to_numpy())
+                yield batch.filter(pa.array((passed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
     return run
 
@@ -246,19 +246,19 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: s
         prefixes = prefixes.dropDuplicates(["doc_id", "print"])
     mark = F.xxhash64("print") if repeated else F.lit(0).cast("long")  # tells the sets of one id apart; a constant takes no room in the shuffles
     prefixes = written(prefixes.select(F.col("doc_id").alias("doc"), mark.alias("h"), "n", "matches", "prefix", "sign"))
-    posts, signs = _live_postings(prefixes, percent), prefixes.select("doc", "h", "n", "sign")
+    posts, signs = _live_postings(prefixes, percent, repeated), prefixes.select("doc", "h", "n", "sign")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that the full sets confirm; only texts of documents in pairs are hashed for that."""
+        """The pairs that the full sets confirm; only texts of documents in pairs travel for that."""
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        if ids.count() <= MOST_IDS:  # some texts more than these pass the bitmap; their sets meet no pair
-            needed, passed = docs, _bits_of(ids)
+        some = docs.where("doc_id IS NOT NULL")
+        if ids.count() <= MOST_IDS:  # some texts more than these pass the bitmap; they meet no pair
+            some = some.mapInArrow(_some_texts(_bits_of(ids)), "doc_id long, text string")
         else:
-            needed, passed = docs.join(ids, "doc_id", "left_semi"), None
-        needed = needed.dropDuplicates(["doc_id", "text"]) if repeated else needed
-        sets = written(needed.where("doc_id IS NOT NULL").mapInArrow(_some_sets(width, passed), "doc_id long, shingles array<long>"))
-        out = confirmed(pairs, sets, percent)
-        for done in (ids, sets):
+            some = some.join(ids, "doc_id", "left_semi")
+        texts = written(some.dropDuplicates(["doc_id", "text"]) if repeated else some)
+        out = confirmed_texts(pairs, texts, width, percent, SLICE_BYTES)
+        for done in (ids, texts):
             forget(done)
         return out
 

@@ -1,10 +1,13 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from brute import near
+from pyspark.sql import functions as F
 
-from quernstone.llm import confirm, simjoin
+from quernstone.llm import confirm, neardup, simjoin
+from quernstone.sources import tables
 from quernstone.sources.tables import table
 
 
@@ -99,3 +102,38 @@ def test_signatures_never_differ_more_than_the_sets():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert int(np.bitwise_count(sign[i] ^ sign[j]).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_texts_confirm_what_their_sets_do(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: rng.randrange(50, 61)] + [f"v{rng.randrange(9)}"] * rng.randrange(3)).upper() for _ in range(40)] + ["", None, "a b", "A  B\n", "é ü"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "a b")], "doc_id long, text string")  # 0 has two texts
+    pairs = spark.createDataFrame([(a, b) for a in range(45) for b in range(a + 1, 45)], "a long, b long")
+    sets = docs.mapInArrow(neardup._sets(3), "doc_id long, shingles array<long>")
+    want = {tuple(r) for r in confirm.confirmed(pairs, sets, 90).collect()}
+    for most_bytes in (50, 10_000):
+        assert {tuple(r) for r in confirm.confirmed_texts(pairs, docs, 3, 90, most_bytes, per_copy=4).collect()} == want
+    assert (42, 43) in want and (0, 42) in want and (40, 41) not in want and 45 < len(want) < 800
+
+
+def test_no_sets_are_shuffled(spark):
+    """Confirmation ships texts: a set of 64-bit hashes is larger and does not compress."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i // 2 * 1000, i // 2 * 1000 + 300)) + f" x{i}") for i in range(40)]
+    seen, wrote = [], simjoin.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simjoin, "written", lambda df: seen.append(df.columns) or wrote(df))
+        assert len({c for _, c in result(simjoin.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)).values()}) == 20
+    assert ["doc_id", "text"] in seen and not any("shingles" in c for c in seen)
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    files = lambda: {str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before = files()
+    out = tables.written(spark.range(200_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.max("id").alias("m")))
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    assert spark.conf.get(tables.CLEANUP, "false") == "false"
