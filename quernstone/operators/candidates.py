@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.sources.tables import dealt_by_rows, written
+
 BLOCK = 4096
+#: Rows of tests in one task: a task that sorts and counts them takes up to some 2 KB for each.
+APART_ROWS = 250_000
 #: Kinds of evidence.
 STRUCTURAL = ("GRAPH_RELATION", "CALL_RELATION", "IMPORT_RELATION")
 SEMANTIC = ("SEMANTIC_MATCH", "SYMBOL_MATCH", "ISSUE_TEXT", *STRUCTURAL)
 ERROR = ("ERROR_MESSAGE", "STACK_TRACE", "CODE_BEHAVIOR")
 
 
-def _run(rows: DataFrame, keys: list[str], at: str, size: Column) -> DataFrame:
-    """keys and _top: the largest number below size that is not among a key's distinct ``at``, -1 without one."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))
-    return rows.withColumn("_full", F.col(at) == size - nth).groupBy(*keys).agg((F.max(size) - 1 - F.count_if("_full")).alias("_top"))
-
-
-def last_without(tests: DataFrame, group: str) -> DataFrame:
+def last_without(t: DataFrame, held: DataFrame, group: str, deal: Callable[..., DataFrame]) -> DataFrame:
     """group, test and _last: the largest nth (from 0) of the group's n candidates that lacks the test, -1 if all have it.
 
-    First the last block of BLOCK candidates that is not full of the test, from counts, then the place in that block: no
-    window sees more than a block or the list of blocks."""
-    t = tests.withColumn("_block", F.floor(F.col("nth") / BLOCK))
-    of_block = lambda b: F.least(F.lit(BLOCK), F.col("n") - b * BLOCK)
-    held = t.groupBy(group, "test", "n", "_block").agg(F.count("*").alias("_held"))
+    t: distinct group, test, n, nth, _block; held: how many of a block's candidates have a test. First the last block of BLOCK
+    candidates that is not full of the test, from counts, then the place in that block: no window sees more than a block or
+    the list of blocks. Of distinct numbers in falling order, those that follow on each other from the top are the ones below
+    the size by their row number."""
     keys = [group, "test"]
+    of_block = F.least(F.lit(BLOCK), F.col("n") - F.col("_block") * BLOCK)
     blocks = F.ceil(F.col("n") / BLOCK)
-    full = held.where(F.col("_held") == of_block(F.col("_block")))
-    block = held.select(*keys, "n").distinct().join(_run(full, keys, "_block", blocks), keys, "left")
-    block = block.withColumn("_b", F.coalesce("_top", blocks - 1)).drop("_top")
-    inside = t.join(block.drop("n"), keys).where(F.col("_block") == F.col("_b")).withColumn("_at", F.col("nth") - F.col("_b") * BLOCK)
-    place = block.join(_run(inside, keys, "_at", of_block(F.col("_b"))), keys, "left")
-    last = F.when(F.col("_b") < 0, -1).otherwise(F.col("_b") * BLOCK + F.coalesce(F.col("_top"), of_block(F.col("_b")) - 1))
-    return place.select(*keys, last.alias("_last"))
+    full = F.col("_held") == of_block
+    nth_full = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(full), F.desc("_block")))
+    block = deal(held, *keys).withColumn("_full", full & (F.col("_block") == blocks - nth_full)).groupBy(*keys, "n").agg((F.max(blocks) - 1 - F.count_if("_full")).alias("_block"))
+    inside = deal(block, *keys, "_block").join(t.drop("n"), [*keys, "_block"], "left").withColumn("_at", F.col("nth") - F.col("_block") * BLOCK)
+    nth = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(F.desc("_at")))
+    run = inside.withColumn("_in", F.col("_at") == of_block - nth).groupBy(*keys, "_block", "n").agg(F.count_if("_in").alias("_run"))
+    return run.select(*keys, F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * BLOCK + of_block - 1 - F.col("_run")).alias("_last"))
 
 
 def told_apart(tests: DataFrame, group: str, show: int = 3) -> DataFrame:
@@ -44,15 +44,24 @@ def told_apart(tests: DataFrame, group: str, show: int = 3) -> DataFrame:
     tests: group, candidate, nth (from 0), n (candidates in the group), test. Returns group, candidate, other (its nth),
     n_unique and the first of those tests. Where pairs are compared one by one and later ones overwrite, what stays is
     the largest nth that lacks one of the candidate's tests; so it is the maximum, over its tests, of the last candidate
-    without the test, and no pair is made. Repeated rows count once; candidates that all others cover are left out."""
-    t = tests.dropDuplicates([group, "candidate", "nth", "test"]).select(group, "candidate", "nth", "n", "test")
-    best = t.join(last_without(t, group), [group, "test"]).groupBy(group, "candidate", "nth").agg(F.max("_last").alias("other")).where("other >= 0")
-    mine = t.select(group, "candidate", "nth", "test").join(best, [group, "candidate", "nth"])
-    theirs = t.select(group, F.col("nth").alias("other"), "test")
-    unique = mine.join(theirs, [group, "other", "test"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(group, "nth").orderBy("test"))
-    few = unique.withColumn("_r", rank).groupBy(group, "candidate", F.col("other").cast("long").alias("other"))
-    return few.agg(F.count("*").alias("n_unique"), F.concat_ws(", ", F.array_sort(F.collect_list(F.when(F.col("_r") <= show, F.col("test"))))).alias("tests"))
+    without the test, and no pair is made. That other lacks the tests whose last one it is and no more: it comes after the
+    last ones of the rest. Repeated rows count once; candidates that all others cover are left out.
+
+    The rows are counted and dealt by their number. Their keys hold a test's candidates of one block, a test's blocks or a
+    candidate's tests, so that a large group is spread over tasks."""
+    rows = written(tests.select(group, "candidate", F.col("nth").cast("long").alias("nth"), "n", "test", F.floor(F.col("nth") / BLOCK).alias("_block")))
+    size = rows.count()
+    deal = lambda df, *keys: dealt_by_rows(df, size, *keys, each=APART_ROWS)
+    keys = [group, "test", "_block"]
+    t = deal(rows, *keys).dropDuplicates([*keys, "candidate", "nth", "n"])
+    held = written(t.groupBy(*keys, "n").agg(F.count("*").alias("_held")))
+    last = deal(held.drop("_held", "n"), group, "test").join(deal(last_without(t, held, group, deal), group, "test"), [group, "test"])
+    of_candidate = Window.partitionBy(group, "nth")
+    best = deal(t.join(deal(last, *keys), keys), group, "nth").withColumn("other", F.max("_last").over(of_candidate))
+    unique = best.where("other >= 0 AND _last = other").withColumn("_r", F.row_number().over(of_candidate.orderBy("test")))
+    few = unique.groupBy(group, "nth", "candidate", F.col("other").cast("long").alias("other"))
+    few = few.agg(F.count("*").alias("n_unique"), F.concat_ws(", ", F.array_sort(F.collect_list(F.when(F.col("_r") <= show, F.col("test"))))).alias("tests"))
+    return few.drop("nth")
 
 
 def scored(hypotheses: DataFrame, evidence: DataFrame, case: str) -> DataFrame:

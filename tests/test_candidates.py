@@ -25,6 +25,18 @@ def test_told_apart_equals_the_pairs(spark, monkeypatch):
     assert C.told_apart(df.limit(0), "g").count() == 0
 
 
+def test_told_apart_is_dealt_by_its_rows(spark, monkeypatch):
+    """Tasks follow the number of rows, and no key is as large as a group: 400 candidates with 12 tests in all."""
+    monkeypatch.setattr(C, "BLOCK", 16)
+    monkeypatch.setattr(C, "APART_ROWS", 100)
+    rows = [(1, i, i, 400, f"t{j}") for i in range(400) for j in range(12) if (i * 7 + j) % 3]
+    df = spark.createDataFrame(rows, "g long, candidate long, nth long, n long, test string")
+    out = C.told_apart(df, "g")
+    assert out.rdd.getNumPartitions() == 32
+    sizes = [n for n in out.rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 400 and max(sizes) < 60
+
+
 def test_within_holds_spans_of_any_length(spark):
     rng = random.Random(6)
     spans = [(rng.randrange(2), n, lo, lo + rng.choice((-1, 0, 3, 15, 16, 255, 4000, 70_000, 3_000_000))) for n, lo in enumerate(rng.randrange(-50, 5000) for _ in range(200))]
