@@ -122,3 +122,20 @@ def test_repeats_over_batches(spark, tmp_path):
     assert {r.sink for r in rows} == {"accepted", "repeated", "refused", "ignored"}
     assert {r.seq for r in D.settled(spark, out, "accepted").collect()} == {2, 4, 6, 10}
     assert "PartitionFilters: [isnotnull(sink" in D.settled(spark, out, "accepted")._jdf.queryExecution().toString()
+
+
+def test_verdicts_keep_their_texts_through_the_state(spark, tmp_path):
+    """The state's step sees a flag and one text, no nested values, and gives back every character and empty list."""
+    ttl = 3600
+    odd = {**GOOD, "issue": {"number": 1, "title": ' "q"\\ ', "body": "a\n\t\u2028\u0001é😀" + "x" * 100_000, "labels": []}}
+    schema = "seq long, at timestamp, headers map<string, string>, body string"
+    rows = [(n, T0 + dt.timedelta(seconds=n), *hub_row(b, delivery=f"d{n}")) for n, b in enumerate((odd, GOOD, "{"))]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(source)
+    stream = D.once_each(D.hub(spark.readStream.schema(schema).parquet(source), SECRET), "at", "seq", ttl)
+    step = next(x for x in str(stream._jdf.queryExecution().analyzed()).split("\n") if "FlatMapGroupsInPandasWithState" in x)
+    assert "said" in step and "verdict" not in step
+    D.settle(stream, out)
+    want = {r.seq: r.verdict for r in D.hub(df, SECRET).collect()}
+    assert {r.seq: r.verdict for r in D.settled(spark, out).collect()} == want and want[0].item.labels == [] and want[2].item is None
